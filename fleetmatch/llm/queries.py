@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetmatch.llm import mixing
+from fleetmatch.llm import chat, mixing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_flow_resharding": sharding.op3_flow_resharding,
+    "op4_trigram_secrets": secrets.op4_trigram_secrets,
+    "op8_snapshot_collapse": chat.op8_snapshot_collapse,
     "op10_entropy_mixing": mixing.op10_entropy_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op8_snapshot_collapse": chat.OP8_SQL,
     "op10_entropy_mixing": mixing.OP10_SQL,
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +33,21 @@ def written(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_key(*columns: str) -> Column:
+    """Hash that only equal rows share (in the given columns)."""
+    return F.xxhash64(*[F.col(c) for c in columns])
+
+
+def attached(base: DataFrame, decisions: DataFrame, key: Column, names: list[str]) -> DataFrame:
+    """``base`` with the columns ``names`` of ``decisions``, matched on ``_key`` in one shuffle of ``base``.
+
+    ``decisions`` has ``_key`` = ``key`` of the row it was made for and one row per row of
+    ``base``.  Rows that share a key are equal, so they are paired off in any order.
+    """
+    lists = decisions.groupBy("_key").agg(F.collect_list(F.struct(*names)).alias("_all"))
+    left = base.drop(*names).withColumn("_key", key)
+    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))))
+    joined = left.join(lists, "_key").withColumn("_own", F.element_at("_all", F.col("_nth")))
+    return joined.select(*[c for c in base.columns if c not in names], *[F.col("_own")[c].alias(c) for c in names])
