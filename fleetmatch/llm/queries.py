@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetmatch.llm import chat, decontamination, exact_dedup, mixing, secrets, sharding
+from fleetmatch.llm import chat, decontamination, exact_dedup, mixing, near_dedup, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_super_minhash": near_dedup.op1_super_minhash,
     "op3_flow_resharding": sharding.op3_flow_resharding,
     "op4_trigram_secrets": secrets.op4_trigram_secrets,
     "op5_suffix_dedup": exact_dedup.op5_suffix_dedup,
