@@ -1,15 +1,58 @@
-"""The corpus pipeline: filter, deduplicate, decontaminate, mix and shard."""
+"""The corpus pipeline: reject toxic texts, deduplicate, decontaminate, mix and shard."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetmatch.llm import decontamination, mixing, near_dedup, sharding, toxicity
+from fleetmatch.llm.store import importable, table, written
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5."""
+    importable(spark)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest doc_id."""
+    importable(spark)
+    return near_dedup.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages cut out; those hit over more than half leave."""
+    importable(spark)
+    return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: none to three times."""
+    importable(spark)
+    return mixing.mix(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ``size``, ``old`` shard, new ``shard`` and ``slot`` in it."""
+    importable(spark)
+    return sharding.resharded(docs, sharding.old_shard(F.col("source")))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: Similarity groups, automata and flows have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` through all STAGES, each written as Parquet and read again."""
-    from fleetmatch.llm.store import table, written
-
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

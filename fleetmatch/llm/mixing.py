@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetmatch.llm.store import table, written
+from fleetmatch.llm.store import attached, row_key, table, written
 
 MAX_COPIES = 3
 #: Rates are compared and rounded at this many decimals, so reruns and engines agree.
@@ -95,19 +95,15 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     documents (histogram), of those in earlier id ranges of the same size, and of
     those in the row's own range of ``rows`` ids.
     """
-    base = docs.drop("size", "source_size", "target", "rate", "copies").withColumn("size", word_count(F.col(text)))
-    lean = written(base.select(F.col(source).alias("source"), "size", F.col(doc_id).alias("doc_id")))
-    ranked = ranked_copies(lean, rows)
-    place = F.row_number().over(Window.partitionBy("_s", "_d").orderBy(F.col("_z").desc()))
-    left = base.withColumns({"_s": F.col(source), "_d": F.col(doc_id), "_z": F.col("size")}).withColumn("_i", place)
-    right = ranked.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), "source_size", "target", "rate", "copies")
-    right = right.withColumn("_i", place)
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("_d", "_s", "_i")]
-    return left.alias("l").join(right.alias("r"), on).select(*[f"l.{c}" for c in base.columns], "r.source_size", "r.target", "r.rate", "r.copies")
+    names = ["size", "source_size", "target", "rate", "copies"]
+    key = row_key(doc_id, source, text)
+    lean = docs.select(key.alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(doc_id).alias("doc_id"))
+    return attached(docs, ranked_copies(written(lean), rows), key, names)
 
 
 def ranked_copies(lean: DataFrame, rows: int = 8192) -> DataFrame:
-    """``source, size, doc_id`` -> the same with ``source_size, target, rate, copies``."""
+    """``source, size, doc_id`` and any others -> the same with ``source_size, target, rate, copies``."""
+    more = [c for c in lean.columns if c not in ("source", "size", "doc_id")]
     histogram = written(lean.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     rates = newton_rates(histogram, water_filled(sizes))
@@ -123,7 +119,7 @@ def ranked_copies(lean: DataFrame, rows: int = 8192) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy(F.col("doc_id").asc_nulls_last()))
     placed = ranges.withColumn("in_range", rank).alias("a").join(
         offsets.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("source", "size", "range")]
-    ).select("a.source", "a.size", "a.doc_id", (F.col("b.offset") + F.col("a.in_range")).alias("rank"))
+    ).select("a.source", "a.size", "a.doc_id", *[f"a.{c}" for c in more], (F.col("b.offset") + F.col("a.in_range")).alias("rank"))
     return rounded(written(placed), rates)
 
 
@@ -155,8 +151,8 @@ def rounded(placed: DataFrame, rates: DataFrame) -> DataFrame:
     for k in reversed(range(len(HEADS))):
         own = F.when(F.col("p.rank") <= HEADS[k], F.col(f"r.rate_{k}")).otherwise(own)
     return placed.alias("p").join(left.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source"))).select(
-        "p.source", "p.size", "p.doc_id", "r.source_size", "r.target", "r.rate", copies_at(own, F.col("p.rank")).alias("copies")
-    )
+        "p.*", "r.source_size", "r.target", "r.rate", copies_at(own, F.col("p.rank")).alias("copies")
+    ).drop("rank")
 
 
 def copies_at(rate: Column, rank: Column) -> Column:
@@ -165,6 +161,12 @@ def copies_at(rate: Column, rank: Column) -> Column:
     return (F.floor(rate) + extra).cast("long")
 
 
+def mix(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    counted = mixed(docs).filter("copies > 0")
+    return counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
 def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lean = written(docs.select("source", word_count(F.col("text")).alias("size"), "doc_id"))
