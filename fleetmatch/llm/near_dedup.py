@@ -9,7 +9,9 @@
 3.  Bands of slots are looked up.  In each bucket every class is linked with the least
     class if their full shingle sets agree (star), so a bucket of n costs n checks.
 4.  Buckets whose members are then still in different groups are searched again, across
-    groups only, with a one-bit sketch ahead of the check on full sets.
+    groups only: their members' rarest shingles are looked up, which is complete for pairs at
+    the limit, and sizes, places and a sketch rule out most others ahead of the check on full
+    sets.
 5.  Groups are joined up (union-find by joins).
 """
 
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetmatch.llm import flat
 from fleetmatch.llm.components import components
@@ -29,10 +32,13 @@ from fleetmatch.llm.store import table, written
 
 SHINGLE = 5
 PERCENT = 75
-SLOTS = 128
-ROWS = 4  # slots in a band: a pair at 0.75 is missed by all 32 bands once in 10**5 or less
-#: Bits of 128 in which the sketches of a pair at 0.75 may differ: 16 expected, over 6 standard deviations more.
-SKETCH_BITS = 40
+SLOTS = 256
+BANDS, ROWS = 32, 4  # bands of slots: a pair at 0.75 is missed by all once in 10**5 or less
+#: A sketch holds two bits of every slot, in longs of 32 slots.
+SKETCH = SLOTS // 32
+#: Slots in which the sketches of a pair at 0.75 may differ: 48 expected, over 5 standard deviations more.
+DIFFERENT = 80
+SKETCHES = [f"sketch_{k}" for k in range(SKETCH)]
 
 
 def shingle_hashes(hashes: np.ndarray, at: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +84,16 @@ def super_min_hash(doc: np.ndarray, value: np.ndarray, n: int, slots: int = SLOT
     return best.reshape(n, slots)
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(rows.ravel()))
+
+
 def _signed(docs: DataFrame, row: str, text: str) -> DataFrame:
-    """``row, n_shingles, set_a, set_b`` (128 bits of the shingle set), ``bands, sketch_a, sketch_b``."""
+    """``row, n_shingles, set_a, set_b`` (128 bits of the shingle set), ``bands`` and the sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in flat.chunks(batches, text):
+        for batch, data, offsets in flat.chunks(batches, text, 1 << 20):
             _, _, hashes, at = flat.words(data, offsets, flat.SPACED, True)
             n = batch.num_rows
             doc, value = shingle_hashes(hashes, at)
@@ -92,22 +103,22 @@ def _signed(docs: DataFrame, row: str, text: str) -> DataFrame:
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat.mix(value ^ np.uint64(salt)))])
                 totals.append(sums[first[1:]] - sums[first[:-1]])
             signature = super_min_hash(doc, value, n)
-            bands = signature.reshape(n, SLOTS // ROWS, ROWS)
-            keys = np.broadcast_to(np.arange(SLOTS // ROWS, dtype=np.uint64), bands.shape[:2]).copy()
+            bands = signature[:, : BANDS * ROWS].reshape(n, BANDS, ROWS)
+            keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2]).copy()
             for k in range(ROWS):
                 keys = flat.mix(keys * flat.BASE + bands[:, :, k])
-            bits = np.packbits((signature & np.uint64(1)).astype(np.uint8), axis=1).copy().view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel().view(np.int64)))
+            bits = np.stack([signature >> np.uint64(1) & np.uint64(1), signature & np.uint64(1)], axis=2).astype(np.uint8)
+            sketch = np.packbits(bits.reshape(n, 2 * SLOTS), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(row).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), *[pa.array(t.view(np.int64)) for t in totals], lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])],
-                names=["row", "n_shingles", "set_a", "set_b", "bands", "sketch_a", "sketch_b"],
+                [batch.column(row).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), *[pa.array(t.view(np.int64)) for t in totals], _lists(keys.view(np.int64)), *[pa.array(sketch[:, k]) for k in range(SKETCH)]],
+                names=["row", "n_shingles", "set_a", "set_b", "bands", *SKETCHES],
             )
 
-    schema = "row long, n_shingles long, set_a long, set_b long, bands array<long>, sketch_a long, sketch_b long"
+    schema = "row long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHES)
     return docs.select(row, text).mapInArrow(sign, schema)
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
     """Of the pairs ``a, b`` those whose full shingle sets agree, compared word by word."""
     texts = docs.select(F.col(row).alias("_r"), F.col(text).alias("_t"))
     with_a = pairs.join(texts.withColumnRenamed("_t", "text_a"), pairs["a"] == F.col("_r")).drop("_r")
@@ -120,23 +131,69 @@ def _alike(pairs: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_a, set_a = object(), set()
         for batch in batches:
-            keep = []
+            linked = []
             for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
                 if a != last_a:
                     last_a, set_a = a, shingles(x.as_py())
                 set_b = shingles(y.as_py())
                 same = len(set_a & set_b)
-                keep.append(same > 0 and 100 * same >= PERCENT * (len(set_a) + len(set_b) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                either = len(set_a) + len(set_b) - same
+                linked.append(same > 0 and 100 * same >= PERCENT * either)
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
 
 
 def _close(a: str, b: str) -> Column:
-    """What sizes and sketches allow: never false for a pair at the limit or above, but for odds below 10**-9."""
+    """What sizes and sketches allow: never false for a pair at the limit or above, but for odds below 10**-6."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    differ = F.bit_count(F.col(f"{a}.sketch_a").bitwiseXOR(F.col(f"{b}.sketch_a"))) + F.bit_count(F.col(f"{a}.sketch_b").bitwiseXOR(F.col(f"{b}.sketch_b")))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (differ <= SKETCH_BITS)
+    differ = F.lit(0)
+    for c in SKETCHES:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        differ += F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (differ <= DIFFERENT)
+
+
+def _sets(rows: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
+    """``row, shingles`` (distinct hashes) of the rows asked for."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in flat.chunks(batches, text, 1 << 20):
+            _, _, hashes, at = flat.words(data, offsets, flat.SPACED, True)
+            doc, value = shingle_hashes(hashes, at)
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(row).cast(pa.int64()), lists], names=["row", "shingles"])
+
+    wanted = docs.select(row, text).join(rows.select(F.col("row").alias(row)), row, "left_semi")
+    return wanted.mapInArrow(cut, "row long, shingles array<long>")
+
+
+def _across(open_: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
+    """Links between components among ``open_`` (row, component, foreign, n_shingles, sketch).
+
+    Shingles are ordered by how many of these rows have them, rarest first.  Two sets of
+    n and m shingles that agree must share ``least`` of them, so their first common one
+    lies at most n - least down the one list and m - least down the other.  Near misses
+    have more shingles of their own than that and never meet, so the pairs that do are few
+    however large a group is.
+    """
+    sets = written(_sets(open_, docs, row, text))
+    single = sets.select("row", F.explode("shingles").alias("shingle"))
+    common = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("df", "shingle")) - 1
+    ranked = single.join(common, "shingle").withColumn("place", place).join(open_, "row")
+    n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
+    spare = F.col("n_shingles") - F.ceil(F.col("n_shingles") * F.lit(PERCENT / 100))
+    prefix = written(ranked.filter((F.col("place") <= spare) & (F.col("df") > 1)))
+    least = F.ceil((n + m) * F.lit(PERCENT / (100 + PERCENT)) - 1e-6)
+    fits = (n - F.col("x.place") >= least) & (m - F.col("y.place") >= least)
+    x, y = prefix.filter("foreign = 1").alias("x"), prefix.alias("y")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & fits & _close("x", "y"))
+    pairs = met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("q")), "b")
+    same = F.size(F.array_intersect("p", "q"))
+    return both.filter(same * 100 >= (F.size("p") + F.size("q") - same) * PERCENT).select("a", "b")
 
 
 def grouped(docs: DataFrame, row: str, text: str) -> DataFrame:
@@ -149,23 +206,17 @@ def grouped(docs: DataFrame, row: str, text: str) -> DataFrame:
     bands = heads.select("row", F.explode("bands").alias("band"))
     leaders = bands.groupBy("band").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = written(bands.join(leaders.select("band", "leader"), "band"))
-    sketches = written(heads.select("row", "n_shingles", "sketch_a", "sketch_b"))
+    sketches = written(heads.select("row", "n_shingles", *SKETCHES))
 
     star = buckets.filter("row <> leader").select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
     star = star.join(sketches.alias("x"), F.col("a") == F.col("x.row")).join(sketches.alias("y"), F.col("b") == F.col("y.row")).filter(_close("x", "y"))
-    links = written(_alike(star.select("a", "b"), docs, row, text))
+    links = written(_linked(star.select("a", "b"), docs, row, text))
 
     group = components(links)
     placed = buckets.join(group.withColumnRenamed("node", "row"), "row", "left").select("band", "row", F.coalesce("component", "row").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    open_ = placed.join(mixed.select("band", "low"), "band").join(sketches, "row")
-    open_ = written(open_)
-    # rows outside a bucket's first group against all rows of the bucket, so a large group is never paired with itself
-    x, y = open_.filter("component <> low").alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y"))
-    pairs = across.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
-    pairs = written(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _alike(pairs, docs, row, text)
+    open_ = written(placed.join(mixed.select("band", "low"), "band").groupBy("row").agg(F.first("component").alias("component"), F.max((F.col("component") != F.col("low")).cast("int")).alias("foreign")))
+    more = _across(open_.join(sketches, "row"), docs, row, text)
 
     whole = components(links.unionByName(more)).select(F.col("node").alias("first"), "component")
     out = members.join(whole, "first", "left")
