@@ -1 +1,96 @@
 """Queries of the streaming operators, run to the end of what there is."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetmatch import schemas
+from fleetmatch.functions.spatial import RADII, with_cell, with_shard
+from fleetmatch.operators.candidates import tier_pairs
+from fleetmatch.plans.catalog import query
+from fleetmatch.plans.spatial import layout, online
+from fleetmatch.plans.state import ONCE, RIDERS, folded
+from fleetmatch.sources.event_log import tail_event_log
+from fleetmatch.sources.fixtures import Inputs
+from fleetmatch.sources.tables import scratch
+from fleetmatch.streaming import streams as S
+
+
+def arrivals(fx: Inputs, rows: DataFrame, parts: list[str]) -> DataFrame:
+    """``rows`` as a stream that gets the rows of one condition after the other."""
+    path = scratch(fx.spark, "arrivals")
+    for condition in parts:
+        rows.filter(condition).coalesce(1).write.mode("append").parquet(path)
+    return tail_event_log(fx.spark, path, "parquet", rows.schema, maxFilesPerTrigger="1")
+
+
+def changes(fx: Inputs, stream: DataFrame, mode: str = "update") -> DataFrame:
+    path = scratch(fx.spark, "changes")
+    done = S.update_log(stream, path, scratch(fx.spark, "stream"), mode)
+    done.awaitTermination()
+    return fx.spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+def latest(rows: DataFrame, key: str) -> DataFrame:
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "version").alias("s"))
+    return best.select(key, *[F.col(f"s.{c}").alias(c) for c in rows.columns if c not in (key, "version")])
+
+
+def halves(fx: Inputs, name: str, column: str) -> tuple[DataFrame, list[str]]:
+    rows = fx(name)
+    cut = (rows.agg(F.max(column)).first()[0] or 0) // 2
+    return rows, [f"{column} <= {cut}", f"{column} > {cut}"]
+
+
+@query("t1_stream_order_state", folded(ONCE, True))
+def stream_order_state(fx: Inputs) -> DataFrame:
+    rows, parts = halves(fx, "lifecycle_dup", "seq")
+    again = [f"({p}) and offset_value {sign} 1000000" for p in parts for sign in ("<", ">=")]
+    return latest(changes(fx, S.stream_order_state(arrivals(fx, rows, again))), "order_id")
+
+
+@query("t3_stream_rider_state", RIDERS + "online IS NOT NULL")
+def stream_rider_state(fx: Inputs) -> DataFrame:
+    rows, parts = halves(fx, "rider_events", "seq")
+    return latest(changes(fx, S.stream_rider_state(arrivals(fx, rows, parts))), "uid")
+
+
+@query("t2_stream_match")
+def stream_match(fx: Inputs) -> DataFrame:
+    lay = layout(fx)
+    o = with_shard(with_cell(fx("match_orders"), lay.cell), lay)
+    r = with_shard(with_cell(online(fx), lay.cell), lay)
+    own = tier_pairs(o, r, lay).filter(F.col("tier") < len(RADII)).select(F.col("ox").alias("cell_x"), F.col("oy").alias("cell_y"))
+    columns = ["home_shard", "is_order", "seq", "order_id", "x", "y", "cell_x", "cell_y", "load"]
+    left = o.join(own, ["cell_x", "cell_y"], "left_semi").withColumns({"is_order": F.lit(True), "load": F.lit(0).cast("long")}).select(*columns)
+    right = r.select("home_shard", F.lit(False).alias("is_order"), F.lit(0).cast("long").alias("seq"), F.col("uid").alias("order_id"), "x", "y", "cell_x", "cell_y", F.lit(0).cast("long").alias("load"))
+    cut = (o.agg(F.max("seq")).first()[0] or 0) // 2
+    rows = arrivals(fx, right.unionByName(left), ["not is_order", f"is_order and seq <= {cut}", f"is_order and seq > {cut}"])
+    return changes(fx, S.stream_match(rows, lay), "append")
+
+
+@query("t5_publish_outbox_stream", "SELECT topic, count(*) AS events, count(DISTINCT event_id) AS ids FROM outbox WHERE published_at IS NULL AND topic <> 'lost-topic' GROUP BY topic")
+def publish_outbox_stream(fx: Inputs) -> DataFrame:
+    rows, path = fx("outbox"), scratch(fx.spark, "topics")
+    stream = arrivals(fx, rows, ["shard_id < 32", "shard_id >= 32"])
+    S.publish_outbox_stream(stream, path, [schemas.MATCH_REQUESTS, schemas.ORDER_EVENTS], scratch(fx.spark, "stream")).awaitTermination()
+    return fx.spark.read.parquet(path).groupBy("topic").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("s3_tail_event_log", "SELECT shard_id, count(*) AS events, max(offset_value) AS last_offset FROM lifecycle GROUP BY shard_id")
+def tail(fx: Inputs) -> DataFrame:
+    got = changes(fx, arrivals(fx, fx("lifecycle").select("shard_id", "offset_value", "event_id"), ["shard_id < 32", "shard_id >= 32"]), "append")
+    return got.groupBy("shard_id").agg(F.count(F.lit(1)).alias("events"), F.max("offset_value").alias("last_offset"))
+
+
+@query("t6_stream_event_rates", "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL")
+def stream_event_rates(fx: Inputs) -> DataFrame:
+    from fleetmatch.sources.tables import table
+
+    rows = table(fx.spark, fx.sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    cut = (rows.agg(F.max("event_id")).first()[0] or 0) // 2
+    stream = arrivals(fx, rows, [f"event_id <= {cut}", f"event_id > {cut}"])
+    # windows change until the watermark passes them: the last count of each is the greatest
+    out = changes(fx, S.stream_event_rates(stream, "1 hour", "2 hours"))
+    return out.groupBy(F.unix_timestamp("window_start").alias("window_start"), "event_type").agg(F.max("events").alias("events"))
