@@ -20,18 +20,18 @@ WORDS = Spec(window=20, gram=5, earlier=True, symbols=word_symbols, width=8)
 
 def _with_parts(docs: DataFrame, spec: Spec, id_: str, text: str) -> DataFrame:
     rows, row = numbered(docs, id_)
-    parts = stretches(rows, spec, row, text)
-    return rows.join(parts.withColumnRenamed("row", row), row, "left").drop(row)
+    parts = stretches(rows, spec, row, text).select(F.col("row").alias(row), F.col("parts").alias("_parts"))
+    return rows.join(parts, row, "left").drop(row)
 
 
 def _mapped(joined: DataFrame, names: str, make) -> DataFrame:
-    base = joined.drop("parts", *[f.name for f in T._parse_datatype_string(names).fields])
+    base = joined.drop("_parts", *[f.name for f in T._parse_datatype_string(names).fields])
     schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(names).fields])
     kept = [f.name for f in base.schema.fields]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in flat.chunks(batches, make.text):
-            parts = [merged(p) for p in batch.column("parts").to_pylist()]
+            parts = [merged(p) for p in batch.column("_parts").to_pylist()]
             raw = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(batch.num_rows)]
             yield flat.added(batch.select(kept), make(raw, parts))
 
