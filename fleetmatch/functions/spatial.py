@@ -97,9 +97,7 @@ def neighbor_shards(shards: DataFrame, layout: Layout) -> DataFrame:
 
 def other_shards(shards: DataFrame, layout: Layout) -> DataFrame:
     """``shard_id`` -> pairs with every shard that is neither itself nor a neighbour."""
-    spark = shards.sparkSession
-    every = spark.range(layout.shards).select(F.col("id").cast("int").alias("other"))  # fixed by the layout
-    pairs = shards.select("shard_id").crossJoin(F.broadcast(every))
+    pairs = shards.select("shard_id", F.explode(F.sequence(F.lit(0), F.lit(layout.shards - 1))).alias("other"))
     near = neighbor_shards(shards, layout).select("shard_id", F.col("neighbor").alias("other"))
     return pairs.join(near, ["shard_id", "other"], "left_anti").filter("other <> shard_id")
 

@@ -30,15 +30,16 @@ def ring_points(nodes: DataFrame, replicas: int, hash_expr: Callable[[Column], C
 def assign_by_ring(keys: DataFrame, nodes: DataFrame, replicas: int = REPLICAS, hash_expr: Callable[[Column], Column] = crc32) -> DataFrame:
     """``keys`` (column ``key``) with ``node``: the first ring point at or after the key's hash, around the ring.
 
-    '' on an empty ring.  The ring is one sorted array (nodes times replicas), so a key
-    finds its point by itself and nothing is sorted or shuffled.
+    '' on an empty ring.  The ring is one sorted literal array (nodes times replicas), so a
+    key finds its point by itself and nothing is sorted, joined or shuffled.
     """
-    points = ring_points(nodes, replicas, hash_expr)
-    ring = points.agg(F.array_sort(F.collect_list(F.struct("point", "node"))).alias("ring"))
-    found = keys.crossJoin(F.broadcast(ring)).withColumn("_h", hash_expr(F.col("key").cast("string")))
-    after = F.filter("ring", lambda p: p["point"] >= F.col("_h"))
-    at = F.when(F.size(after) > 0, F.get(after, F.lit(0))["node"]).otherwise(F.get("ring", F.lit(0))["node"])
-    return found.withColumn("node", F.coalesce(at, F.lit(""))).drop("ring", "_h")
+    points = sorted(ring_points(nodes, replicas, hash_expr).collect())  # nodes times replicas rows
+    if not points:
+        return keys.withColumn("node", F.lit(""))
+    ring = F.array(*[F.struct(F.lit(p).cast("long").alias("point"), F.lit(n).alias("node")) for p, n in points])
+    own = hash_expr(F.col("key").cast("string"))
+    after = F.filter(ring, lambda p: p["point"] >= own)
+    return keys.withColumn("node", F.coalesce(F.get(after, F.lit(0))["node"], F.lit(points[0][1])))
 
 
 def placement_diff(current: DataFrame, nodes: DataFrame, replicas: int = REPLICAS, hash_expr: Callable[[Column], Column] = crc32) -> DataFrame:
@@ -65,11 +66,11 @@ def placement_balance(current: DataFrame, nodes: DataFrame, n: int) -> DataFrame
     """Per alive node its owned keys, with totals: ``node, owned, distinct_owned, without_owner, alive``."""
     valid = current.filter(F.col("key").between(0, n - 1) & F.col("node").isNotNull())
     owned = current.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("owned"))
-    totals = valid.agg(F.count_distinct("key").alias("distinct_owned"))
-    alive = nodes.agg(F.count_distinct("node").alias("alive"))
+    distinct = valid.agg(F.count_distinct("key")).first()[0]
+    alive = nodes.agg(F.count_distinct("node")).first()[0]
     per_node = nodes.join(owned, "node", "left").select("node", F.coalesce("owned", F.lit(0)).cast("long").alias("owned"))
-    out = per_node.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(alive))  # one row each
-    return out.select("node", "owned", "distinct_owned", F.greatest(F.lit(0), F.lit(n) - F.col("distinct_owned")).cast("long").alias("without_owner"), "alive")
+    totals = {"distinct_owned": distinct, "without_owner": max(0, n - distinct), "alive": alive}
+    return per_node.withColumns({k: F.lit(v).cast("long") for k, v in totals.items()})
 
 
 def modulo_placement(shards: DataFrame, n: int) -> DataFrame:
