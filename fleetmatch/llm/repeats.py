@@ -12,6 +12,12 @@
     sorted orders with long enough common extensions.
 4.  Stretches are gathered per row and joined to the texts.
 
+With ``blocks`` the anchors are others: every text is cut into reference blocks of
+``gram`` symbols that do not overlap, and every rolling gram of every text probes them.
+A window of two blocks less one symbol or more holds a whole block, so where a window
+occurs again, a block of the one text meets a probe of the other at the same place.
+Probes are packed and dealt by hash; only those that hit go on.
+
 With ``earlier`` a window counts only if an equal one starts earlier (in row order);
 else any other start counts.
 """
@@ -25,12 +31,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fleetmatch.llm import flat
 from fleetmatch.llm.store import written
 from fleetmatch.llm.suffixes import Text
 
+#: Contexts of one gram that are sorted in one task; grams with more have their windows counted one by one.
+CROWD = 5_000
+#: A probe: 32 bits of the gram's hash besides those that choose the bucket, the text's ordinal in its chunk, the position.
+PROBE = np.dtype([("gram", "<u4"), ("text", "<u2"), ("place", "<u4")])
+#: Bytes of text whose probes one bucket holds, so a bucket fits in a task's memory whatever the corpus.
+PROBE_BYTES = 16 << 20
+#: Bytes of text in a chunk: texts of a window have 39 bytes or more, so their ordinals fit in 16 bits.
+PROBE_CHUNK = 1 << 21
 #: From the bytes and offsets of texts: the symbols and where each text's symbols begin.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -42,6 +55,7 @@ class Spec:
     earlier: bool
     symbols: Symbols
     width: int  # bytes of a symbol in a shipped context
+    blocks: bool = False  # anchors are probes that hit a reference block, instead of least grams
 
 
 def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +102,7 @@ def anchors(symbols: np.ndarray, offsets: np.ndarray, spec: Spec) -> tuple[np.nd
 
 def _anchor_rows(docs: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in flat.chunks(batches, text, 1 << 20):
+        for batch, data, offsets in flat.chunks(batches, text, 1 << 19):
             where, position, gram, context, left, length = anchors(*spec.symbols(data, offsets), spec)
             ids = batch.column(row).to_numpy(zero_copy_only=False)[where]
             yield pa.RecordBatch.from_arrays(
@@ -100,10 +114,10 @@ def _anchor_rows(docs: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
-    """Rows with ``wanted`` (gram, at) -> the context of each."""
+    """Rows with ``wanted`` (gram, at, crowded) -> the context of each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in flat.chunks(batches, text, 1 << 20):
+        for batch, data, offsets in flat.chunks(batches, text, 1 << 19):
             symbols, begin = spec.symbols(data, offsets)
             wanted = batch.column("wanted")
             grams = wanted.flatten().field("gram").to_numpy()
@@ -118,9 +132,9 @@ def _contexts(texts: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
             ends[1:] = np.cumsum(n * spec.width)
             blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat_symbols.tobytes())])
             ids = batch.column(row).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(ids, pa.int64()), pa.array(at), blobs], names=["gram", "row", "at", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(ids, pa.int64()), pa.array(at), blobs, wanted.flatten().field("crowded")], names=["gram", "row", "at", "blob", "crowded"])
 
-    return texts.mapInArrow(cut, "gram long, row long, at long, blob binary")
+    return texts.mapInArrow(cut, "gram long, row long, at long, blob binary, crowded boolean")
 
 
 def solved(group: np.ndarray, row: np.ndarray, at: np.ndarray, blobs: pa.Array, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +172,7 @@ def solved(group: np.ndarray, row: np.ndarray, at: np.ndarray, blobs: pa.Array,
     return row[which], position[which] - (last - 1), position[which] - first + spec.window
 
 
-def _solve(contexts: DataFrame, spec: Spec, rows: int = 20_000) -> DataFrame:
+def _solve(contexts: DataFrame, spec: Spec, rows: int = 6_000) -> DataFrame:
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -185,27 +199,161 @@ def _solve(contexts: DataFrame, spec: Spec, rows: int = 20_000) -> DataFrame:
     return dealt.mapInArrow(solve, "row long, start long, end long")
 
 
-def stretches(docs: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
-    """``row, parts``: repeated stretches (start, end) in symbols, unmerged; rows without any are left out."""
-    context = Window.partitionBy("gram", "context")
-    gram = Window.partitionBy("gram")
-    found = _anchor_rows(docs, spec, row, text).repartition("gram")
-    found = found.withColumn("nth", F.row_number().over(context.orderBy("row", "at")))
-    found = found.withColumn("several", F.min("context").over(gram) != F.max("context").over(gram))
-    found = found.withColumn("copies", F.count(F.lit(1)).over(context))
-    found = found.withColumn("alone", F.min("copies").over(gram) == 1)
-    asked = (F.col("nth") == 1) & F.col("several") & (F.lit(spec.earlier) | F.col("alone"))
-    whole = F.col("nth") > 1 if spec.earlier else F.col("copies") > 1
-    found = written(found.select("gram", "row", "at", asked.alias("asked"), whole.alias("whole")).filter("asked or whole"))
+def _probes(docs: DataFrame, spec: Spec, row: str, text: str, buckets: int) -> DataFrame:
+    """Every rolling gram of every text, packed: ``bucket, rows, blob``, one blob per chunk of texts and bucket.
+
+    ``rows`` names the texts of a blob.  Every gram-th position of a text begins a
+    reference block; a chunk holds one text alone if that is longer.
+    """
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in flat.chunks(batches, text, PROBE_CHUNK):
+            symbols, at = spec.symbols(data, offsets)
+            ids = batch.column(row).to_numpy(zero_copy_only=False)
+            sizes = np.diff(at)
+            counts = np.where(sizes >= spec.window, sizes - spec.gram + 1, 0)
+            total = int(counts.sum())
+            if not total:
+                continue
+            doc = np.repeat(np.arange(len(sizes)), counts)
+            place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = at[:-1][doc] + place
+            gram = flat.range_hashes(flat.prefix_hashes(symbols), start, start + spec.gram)
+            order = np.argsort(gram)
+            gram, doc, place = gram[order], doc[order], place[order]
+            cuts = np.searchsorted(gram, (np.arange(1, buckets) * (2.0**64 / buckets)).astype(np.uint64))
+            parts = np.split(np.arange(total), cuts)
+            out: dict[str, list] = {"bucket": [], "rows": [], "blob": []}
+            for k, part in enumerate(parts):
+                if len(part):
+                    here, ordinal = np.unique(doc[part], return_inverse=True)
+                    packed = np.empty(len(part), PROBE)
+                    packed["gram"], packed["text"], packed["place"] = gram[part] & np.uint64(0xFFFFFFFF), ordinal, place[part]
+                    out["bucket"].append(k)
+                    out["rows"].append(ids[here])
+                    out["blob"].append(packed.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["rows"], pa.list_(pa.int64())), pa.array(out["blob"], pa.binary())], names=list(out))
+
+    return docs.select(row, text).mapInArrow(probe, "bucket int, rows array<long>, blob binary")
+
+
+def _hits(probes: DataFrame, spec: Spec, buckets: int) -> DataFrame:
+    """Probes whose gram is that of a reference block and occurs again: ``row, place``.
+
+    Grams that agree in the bits at hand only are let through; what follows compares all.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(blobs: list, rows: list) -> pa.RecordBatch:
+            packed = np.concatenate([np.frombuffer(b, PROBE) for b in blobs])
+            first = np.cumsum([0, *[len(r) for r in rows]])[:-1]
+            text = packed["text"].astype(np.int64) + np.repeat(first, [len(b) // PROBE.itemsize for b in blobs])
+            ids, place = np.concatenate(rows), packed["place"].astype(np.int64)
+            _, which, n = np.unique(packed["gram"], return_inverse=True, return_counts=True)
+            block = np.zeros(len(n), bool)
+            block[which[place % spec.gram == 0]] = True
+            hit = np.flatnonzero((block & (n > 1))[which])
+            return pa.RecordBatch.from_arrays([pa.array(ids[text[hit]]), pa.array(place[hit])], names=["row", "place"])
+
+        last, blobs, rows = None, [], []
+        for batch in batches:
+            for bucket, own, blob in zip(batch.column("bucket").to_pylist(), batch.column("rows"), batch.column("blob"), strict=True):
+                if bucket != last and blobs:
+                    yield found(blobs, rows)
+                    blobs, rows = [], []
+                last = bucket
+                blobs.append(blob.as_py())
+                rows.append(own.values.to_numpy())
+        if blobs:
+            yield found(blobs, rows)
+
+    dealt = probes.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, "row long, place long")
+
+
+def _block_rows(docs: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
+    """Anchors as ``_anchor_rows`` gives them, at the probes that hit."""
+    words = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(8, int(words / PROBE_BYTES))
+    hits = _hits(_probes(docs, spec, row, text, buckets), spec, buckets)
+    places = hits.groupBy("row").agg(F.collect_list("place").alias("places")).withColumnRenamed("row", row)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in flat.chunks(batches, text, 1 << 19):
+            symbols, begin = spec.symbols(data, offsets)
+            listed = batch.column("places")
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
+            position = listed.flatten().to_numpy()
+            at = begin[doc] + position
+            prefix = flat.prefix_hashes(symbols)
+            low = np.maximum(begin[doc], at - (spec.window - spec.gram))
+            high = np.minimum(begin[doc + 1], at + spec.window)
+            gram = flat.range_hashes(prefix, at, at + spec.gram)
+            context = flat.mix(flat.range_hashes(prefix, low, high) + (at - low).astype(np.uint64))
+            ids = batch.column(row).to_numpy(zero_copy_only=False)[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids, pa.int64()), pa.array(position << 32 | (at - low) << 16 | (high - low))], names=["gram", "context", "row", "at"])
+
+    return docs.select(row, text).join(places, row).mapInArrow(rows, "gram long, context long, row long, at long")
+
+
+def stretches(docs: DataFrame, spec: Spec, row: str, text: str, crowd: int = CROWD) -> DataFrame:
+    """``row, parts``: repeated stretches (start, end) in symbols, unmerged; rows without any are left out.
+
+    Grams and contexts are counted by grouped aggregates, which combine ahead of the
+    shuffle, and joined back, so a gram that a third of all rows hold is never gathered.
+    """
+    anchored = written(_block_rows(docs, spec, row, text)) if spec.blocks else _anchor_rows(docs, spec, row, text)
+    grams = anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("several")).filter("n > 1")
+    shared = written(anchored.join(written(grams.select("gram", "several")), "gram"))  # plain joins: Spark splits hot grams
+    classes = shared.groupBy("gram", "context", "several").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "at")).alias("first"))
+    classes = written(classes)
+    # what a gram's contexts are compared for: any that is alone, or with `earlier` the first of each
+    asking = classes.filter("several").groupBy("gram").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("contexts"))
+    asking = asking.filter((F.col("least") == 1) | F.lit(spec.earlier)).select("gram", (F.col("contexts") > crowd).alias("crowded"))
+    wanted = classes.join(asking, "gram").select("first.row", F.struct("gram", "first.at", "crowded").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
+
+    repeated = shared.join(classes.filter("copies > 1").select("gram", "context", "first"), ["gram", "context"])
+    if spec.earlier:
+        repeated = repeated.filter(F.struct("row", "at") != F.col("first"))
     low = F.shiftright("at", 32) - F.shiftright("at", 16).bitwiseAND(0xFFFF)
-    certain = found.filter("whole").select("row", low.alias("start"), (low + F.col("at").bitwiseAND(0xFFFF)).alias("end"))
-    wanted = found.filter("asked").groupBy("row").agg(F.collect_list(F.struct("gram", "at")).alias("wanted"))
+    certain = repeated.select("row", low.alias("start"), (low + F.col("at").bitwiseAND(0xFFFF)).alias("end"))
+
     texts = docs.select(row, text).join(wanted.withColumnRenamed("row", row), row)
-    uncertain = _solve(_contexts(texts, spec, row, text), spec)
+    contexts = _contexts(texts, spec, row, text)
+    if asking.filter("crowded").limit(1).count():
+        contexts = written(contexts)
+        uncertain = _solve(contexts.filter("not crowded"), spec).unionByName(_counted(contexts.filter("crowded"), spec))
+    else:
+        uncertain = _solve(contexts, spec)
     parts = certain.unionByName(uncertain).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
     return written(parts)
 
 
+def _counted(contexts: DataFrame, spec: Spec) -> DataFrame:
+    """The exact way for grams with very many contexts: every window of a context by its own hash."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat.texts(batch.column("blob"))
+            symbols = data.astype(np.uint64) + np.uint64(1) if spec.width == 1 else np.frombuffer(data.tobytes(), np.uint64)
+            offsets = offsets // spec.width
+            at = batch.column("at").to_numpy()
+            low = (at >> 32) - (at >> 16 & 0xFFFF)
+            n = np.maximum(np.diff(offsets) - spec.window + 1, 0)
+            which = np.repeat(np.arange(len(n)), n)
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            start = offsets[which] + step
+            keys = flat.range_hashes(flat.prefix_hashes(symbols), start, start + spec.window)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("row").take(pa.array(which)), pa.array(low[which] + step)], names=["key", "row", "start"])
+
+    every = written(contexts.mapInArrow(windows, "key long, row long, start long").distinct())
+    counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start")).alias("first")).filter("n > 1")
+    again = every.join(counts, "key")
+    if spec.earlier:
+        again = again.filter(F.struct("row", "start") != F.col("first"))
+    return again.select("row", "start", (F.col("start") + spec.window).alias("end"))
+
+
 def merged(parts: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted((p["start"], p["end"]) for p in parts or []):
