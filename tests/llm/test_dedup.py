@@ -119,6 +119,16 @@ def test_repeated_words(spark, corpus):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute_words(corpus, 20)
 
 
+def test_crowded_grams_are_counted_exactly(spark, corpus, monkeypatch):
+    real = repeats.stretches
+    monkeypatch.setattr(exact_dedup, "stretches", lambda *a: real(*a, crowd=2))
+    docs = documents(spark, corpus)
+    got = exact_dedup.without_repeated_words(docs).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute_words(corpus, 20)
+    got = exact_dedup.without_repeated_bytes(docs).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {k: v[1] for k, v in brute_bytes(corpus, 200).items()}
+
+
 def test_repeats_of_given_documents(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
     got = {r[0]: tuple(r[1:]) for r in exact_dedup.op5_suffix_dedup(spark, SF).collect()}
