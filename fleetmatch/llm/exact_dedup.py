@@ -16,6 +16,8 @@ from fleetmatch.llm.store import table
 
 BYTES = Spec(window=200, gram=32, earlier=False, symbols=byte_symbols, width=1)
 WORDS = Spec(window=20, gram=5, earlier=True, symbols=word_symbols, width=8)
+#: The same result by fixed reference blocks that every rolling window probes; needs more memory and disk (README).
+BLOCKS = Spec(window=20, gram=10, earlier=True, symbols=word_symbols, width=8, blocks=True)
 
 
 def _with_parts(docs: DataFrame, spec: Spec, id_: str, text: str) -> DataFrame:

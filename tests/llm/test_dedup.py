@@ -119,6 +119,11 @@ def test_repeated_words(spark, corpus):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute_words(corpus, 20)
 
 
+def test_fixed_blocks_and_rolling_probes(spark, corpus):
+    got = exact_dedup.without_repeated_words(documents(spark, corpus), spec=exact_dedup.BLOCKS).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute_words(corpus, 20)
+
+
 def test_crowded_grams_are_counted_exactly(spark, corpus, monkeypatch):
     real = repeats.stretches
     monkeypatch.setattr(exact_dedup, "stretches", lambda *a: real(*a, crowd=2))
