@@ -30,16 +30,16 @@ def ring_points(nodes: DataFrame, replicas: int, hash_expr: Callable[[Column], C
 def assign_by_ring(keys: DataFrame, nodes: DataFrame, replicas: int = REPLICAS, hash_expr: Callable[[Column], Column] = crc32) -> DataFrame:
     """``keys`` (column ``key``) with ``node``: the first ring point at or after the key's hash, around the ring.
 
-    '' on an empty ring.  The ring is one sorted literal array (nodes times replicas), so a
-    key finds its point by itself and nothing is sorted, joined or shuffled.
+    '' on an empty ring.  The ring is a sorted literal (nodes times replicas; names
+    without commas), so a key finds its point by itself and nothing is sorted, joined or shuffled.
     """
     points = sorted(ring_points(nodes, replicas, hash_expr).collect())  # nodes times replicas rows
     if not points:
         return keys.withColumn("node", F.lit(""))
-    ring = F.array(*[F.struct(F.lit(p).cast("long").alias("point"), F.lit(n).alias("node")) for p, n in points])
+    at, names = (F.split(F.lit(",".join(str(p[k]) for p in points)), ",") for k in (0, 1))
     own = hash_expr(F.col("key").cast("string"))
-    after = F.filter(ring, lambda p: p["point"] >= own)
-    return keys.withColumn("node", F.coalesce(F.get(after, F.lit(0))["node"], F.lit(points[0][1])))
+    before = F.size(F.filter(at.cast("array<long>"), lambda p: p < own))
+    return keys.withColumn("node", F.get(names, before % len(points)))
 
 
 def placement_diff(current: DataFrame, nodes: DataFrame, replicas: int = REPLICAS, hash_expr: Callable[[Column], Column] = crc32) -> DataFrame:
