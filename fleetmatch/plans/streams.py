@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetmatch import schemas
-from fleetmatch.functions.spatial import RADII, with_cell, with_shard
-from fleetmatch.operators.candidates import tier_pairs
+from fleetmatch.operators.matching import OUTCOME
 from fleetmatch.plans.catalog import query
 from fleetmatch.plans.spatial import layout, online
 from fleetmatch.plans.state import ONCE, RIDERS, folded
@@ -58,16 +57,14 @@ def stream_rider_state(fx: Inputs) -> DataFrame:
 
 @query("t2_stream_match")
 def stream_match(fx: Inputs) -> DataFrame:
-    lay = layout(fx)
-    o = with_shard(with_cell(fx("match_orders"), lay.cell), lay)
-    r = with_shard(with_cell(online(fx), lay.cell), lay)
-    own = tier_pairs(o, r, lay).filter(F.col("tier") < len(RADII)).select(F.col("ox").alias("cell_x"), F.col("oy").alias("cell_y"))
-    columns = ["home_shard", "is_order", "seq", "order_id", "x", "y", "cell_x", "cell_y", "load"]
-    left = o.join(own, ["cell_x", "cell_y"], "left_semi").withColumns({"is_order": F.lit(True), "load": F.lit(0).cast("long")}).select(*columns)
-    right = r.select("home_shard", F.lit(False).alias("is_order"), F.lit(0).cast("long").alias("seq"), F.col("uid").alias("order_id"), "x", "y", "cell_x", "cell_y", F.lit(0).cast("long").alias("load"))
-    cut = (o.agg(F.max("seq")).first()[0] or 0) // 2
+    orders, path = fx("match_orders"), scratch(fx.spark, "matches")
+    load = F.lit(0).cast("long").alias("load")
+    left = orders.select(F.lit(True).alias("is_order"), "seq", "order_id", "x", "y", load)
+    right = online(fx).select(F.lit(False).alias("is_order"), F.lit(0).cast("long").alias("seq"), F.col("uid").alias("order_id"), "x", "y", load)
+    cut = (orders.agg(F.max("seq")).first()[0] or 0) // 2
     rows = arrivals(fx, right.unionByName(left), ["not is_order", f"is_order and seq <= {cut}", f"is_order and seq > {cut}"])
-    return changes(fx, S.stream_match(rows, lay), "append")
+    S.stream_match(rows, layout(fx), path, scratch(fx.spark, "stream")).awaitTermination()
+    return fx.spark.read.schema(OUTCOME).parquet(path).select("order_id", "rider_id", "score", "home_shard")
 
 
 @query("t5_publish_outbox_stream", "SELECT topic, count(*) AS events, count(DISTINCT event_id) AS ids FROM outbox WHERE published_at IS NULL AND topic <> 'lost-topic' GROUP BY topic")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetmatch import schemas as S
 from fleetmatch.functions.spatial import LOAD_WEIGHT, RADII, Layout
-from fleetmatch.operators.matching import CAP, _home
+from fleetmatch.operators.matching import CAP, OUTCOME, match_orders
 from fleetmatch.operators.outbox import split_by_topic
 
 ORDER_FIELDS = ("status", "x", "y", "attempt", "cancel_reason", "retry_reason", "miss_reason", "rider_id", "score", "last_event_id", "updated_at")
@@ -96,36 +96,34 @@ def stream_rider_state(events: DataFrame) -> DataFrame:
     return events.groupBy("uid").applyInPandasWithState(_rider, f"uid long, {schema}, online boolean, version long", f"online boolean, {schema}, last long", "update", GroupStateTimeout.NoTimeout)
 
 
-RIDERS_STATE = "uid array<long>, x array<int>, y array<int>, cell_x array<long>, cell_y array<long>, load array<long>"
+RIDERS = "uid long, x int, y int, online boolean, count long"
 
 
-def stream_match(rows: DataFrame, layout: Layout, k: int = 10, cap: int = CAP, load_weight: int = LOAD_WEIGHT, radii: tuple[int, ...] = RADII) -> DataFrame:
-    """Outcomes of orders by riders of their own home shard, as both arrive.
+def stream_match(rows: DataFrame, layout: Layout, path: str, checkpoint: str, k: int = 10, cap: int = CAP, load_weight: int = LOAD_WEIGHT, radii: tuple[int, ...] = RADII, mode: str = "exact_home") -> StreamingQuery:
+    """Writes an outcome of every order to ``path``/batch=..., as riders and orders arrive; no rider is a miss.
 
-    ``rows`` has riders and orders as home_shard, is_order, seq, order_id (a rider's uid),
-    x, y, cell_x, cell_y, load.  A shard's riders and their loads are state; orders of a
-    batch are taken in ``seq`` order after the batch's new riders.
+    ``rows`` has riders and orders as is_order, seq, order_id (a rider's uid), x, y, load.
+    Orders of a batch are matched by ``match_orders``, those of other shards' riders
+    included, after the batch's new riders; a rider that comes again replaces its row.
+    Riders with their loads after a batch are in ``path``-riders/batch=..., so a batch that
+    is run again after a failure starts from the same loads and replaces what it wrote.
     """
-    replay = _home(layout, cap, k, load_weight, radii)
-    names = ["order_id", "x", "y", "cell_x", "cell_y", "load"]
-
-    def match(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(parts))
-        if state.exists:
-            held = pd.DataFrame(dict(zip(names, state.get, strict=True)))
-            part = pd.concat([held.assign(home_shard=key[0], is_order=False, seq=0), part])
-        part["is_order"] = part.is_order.astype(bool)
-        out = replay(key, part)
-        riders = part[~part.is_order].drop_duplicates("order_id", keep="last").set_index("order_id")
-        gained = out.rider_id.dropna().astype("int64").value_counts()
-        riders["load"] = riders.load.add(gained, fill_value=0).reindex(riders.index).astype("int64")
-        flat = riders.reset_index()
-        state.update(tuple(flat[n].tolist() for n in names))
-        if len(out):
-            yield out
-
-    schema = "order_id long, rider_id long, score long, home_shard int"
-    return rows.groupBy("home_shard").applyInPandasWithState(match, schema, RIDERS_STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def match(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        place = F.struct("x", "y", F.lit(True).alias("online"), F.col("load").alias("count"))
+        riders = batch.filter("not is_order").groupBy(F.col("order_id").alias("uid")).agg(F.max_by(place, "seq").alias("s")).select("uid", "s.*")
+        if number:
+            held = spark.read.schema(RIDERS).parquet(f"{path}-riders/batch={number - 1}")
+            riders = held.join(riders.select("uid"), "uid", "left_anti").unionByName(riders)
+        out = match_orders(batch.filter("is_order"), riders, layout, k, cap, load_weight, radii, mode)
+        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        taken = spark.read.schema(OUTCOME).parquet(f"{path}/batch={number}").filter("rider_id is not null")
+        gained = taken.groupBy(F.col("rider_id").alias("uid")).agg(F.count(F.lit(1)).alias("_more"))
+        after = riders.join(gained, "uid", "left").withColumn("count", F.col("count") + F.coalesce("_more", F.lit(0))).drop("_more")
+        after.write.mode("overwrite").parquet(f"{path}-riders/batch={number}")
+
+    return rows.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def publish_outbox_stream(outbox: DataFrame, path: str, known: list[str], checkpoint: str) -> StreamingQuery:
