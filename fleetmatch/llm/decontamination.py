@@ -10,16 +10,17 @@ benchmark can hold a hit, so numpy finds these and the automaton reads no others
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetmatch.llm import flat
-from fleetmatch.llm.store import table
+from fleetmatch.llm.store import table, written
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton; a larger benchmark is split into more passes over the texts.
@@ -27,6 +28,17 @@ BLOCK_BYTES = 16 << 20
 EXTRA = "n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
+def _united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of stretches [start, end), in order; stretches that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Automaton:
     """Suffix automaton over word ids of several items."""
 
@@ -160,7 +172,11 @@ class Automaton:
                 if spans:
                     doc = int(np.searchsorted(at, x, "right")) - 1
                     own = found.setdefault(doc, ([], set()))
-                    own[0].extend((x + s, x + e) for s, e in spans)
+                    for s, e in spans:
+                        if own[0] and own[0][-1][1] == x + s:
+                            own[0][-1] = (own[0][-1][0], x + e)
+                        else:
+                            own[0].append((x + s, x + e))
                     own[1].update(items)
         return np.diff(at), found, (starts, ends, at)
 
@@ -214,53 +230,119 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     return out
 
 
+SPANS = "_row long, spans array<struct<start:bigint,end:bigint>>"
+CUT = "_row long, text string, n_left long, whole long"
+
+
+def _cut(raw: bytes, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """``raw`` without the stretches of words."""
+    out, last = [], 0
+    for a, b in spans:
+        out.append(raw[last : starts[a]])
+        last = int(ends[b - 1])
+    return b"".join([*out, raw[last:]])
+
+
 def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
     """``docs`` without benchmark passages: hit words are cut out, and rows hit over more than ``coverage`` leave.
 
     A cut can bring words together that form a passage again, so a text is scanned
     until nothing is hit.  Texts without a hit are untouched; ``n_chars`` follows the text.
+    A benchmark of several blocks gives the result of one: every round scans the texts
+    for all blocks before it cuts, and coverage is of the words there were at first.
     """
     spark, schema = docs.sparkSession, docs.schema
-    blocks = list(_blocks(benchmark, "item_id", text))
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
-
-            def cut(raw: bytes) -> bytes | None:
-                whole = None
-                while True:
-                    n, found, (starts, ends, _) = automaton.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    whole = int(n[0]) if whole is None else whole
-                    if not found:
-                        return raw if whole == 0 or int(n[0]) >= (1 - coverage) * whole and int(n[0]) else None
-                    out, last = [], 0
-                    for a, b in sorted(found[0][0]):
-                        out.append(raw[last : starts[a]])
-                        last = int(ends[b - 1])
-                    raw = b"".join([*out, raw[last:]])
-
-            for batch, data, offsets in flat.chunks(batches, text):
-                _, found, _ = automaton.scan(data, offsets)
-                if found:
-                    column, keep = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool)
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, "item_id", text)]  # each bounded by BLOCK_BYTES
+    if len(blocks) > 1:
+        return _cleaned_by_blocks(docs, blocks, text, coverage, window)
+
+    def clean(batches: Iterator[pa.RecordBatch], shared=blocks[0]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(shared.value, window)
+
+        def cut(raw: bytes) -> bytes | None:
+            whole = None
+            while True:
+                n, found, (starts, ends, _) = automaton.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                whole = int(n[0]) if whole is None else whole
+                if not found:
+                    return raw if whole == 0 or int(n[0]) >= (1 - coverage) * whole and int(n[0]) else None
+                raw = _cut(raw, found[0][0], starts, ends)
+
+        for batch, data, offsets in flat.chunks(batches, text):
+            _, found, _ = automaton.scan(data, offsets)
+            if found:
+                column, keep = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool)
+                for k in found:
+                    left = cut(column[k].encode())
+                    keep[k] = left is not None
+                    column[k] = None if left is None else left.decode()
+                names = {text: pa.array(column, batch.schema.field(text).type)}
+                if "n_chars" in batch.schema.names:
+                    chars = batch.column("n_chars").to_pylist()
                     for k in found:
-                        left = cut(column[k].encode())
-                        keep[k] = left is not None
-                        column[k] = None if left is None else left.decode()
-                    names = {text: pa.array(column, batch.schema.field(text).type)}
-                    if "n_chars" in batch.schema.names:
-                        chars = batch.column("n_chars").to_pylist()
-                        for k in found:
-                            chars[k] = None if column[k] is None else len(column[k])
-                        names["n_chars"] = pa.array(chars, batch.schema.field("n_chars").type)
-                    batch = pa.RecordBatch.from_arrays([names.get(f.name, batch.column(f.name)) for f in batch.schema], schema=batch.schema)
-                    batch = batch.filter(pa.array(keep))
-                yield batch
-
-        docs = docs.mapInArrow(clean, schema)
-    return docs
+                        chars[k] = None if column[k] is None else len(column[k])
+                    names["n_chars"] = pa.array(chars, batch.schema.field("n_chars").type)
+                batch = pa.RecordBatch.from_arrays([names.get(f.name, batch.column(f.name)) for f in batch.schema], schema=batch.schema)
+                batch = batch.filter(pa.array(keep))
+            yield batch
+
+    return docs.mapInArrow(clean, schema)
+
+
+def _cleaned_by_blocks(docs: DataFrame, blocks: list[Broadcast], text: str, coverage: float, window: int) -> DataFrame:
+    """``cleaned`` where the benchmark has several automata; only rows that are hit are cut and scanned again."""
+
+    def passes(rows: DataFrame) -> DataFrame:
+        out = None
+        for shared in blocks:
+
+            def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                automaton = Automaton(shared.value, window)
+                for batch, data, offsets in flat.chunks(batches):
+                    _, found, (_, _, at) = automaton.scan(data, offsets)
+                    ids = batch.column("_row").to_pylist()
+                    spans = [[{"start": a - int(at[k]), "end": b - int(at[k])} for a, b in found[k][0]] for k in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[k] for k in found], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["_row", "spans"]
+                    )
+
+            one = rows.select("_row", "text").mapInArrow(scan, SPANS)
+            out = one if out is None else out.unionByName(one)
+        return written(out.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans")))  # one list a block
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                raw = r["text"].encode()
+                starts, ends, _, _ = flat.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), flat.ALNUM, True)
+                spans = _united((s["start"], s["end"]) for s in r["spans"])
+                left = len(starts) - sum(b - a for a, b in spans)
+                whole = len(starts) if r["whole"] is None else r["whole"]
+                rows.append({"_row": r["_row"], "text": _cut(raw, spans, starts, ends).decode(), "n_left": left, "whole": whole})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("_row", pa.int64()), ("text", pa.string()), ("n_left", pa.int64()), ("whole", pa.int64())]))
+
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    open_ = rows.select("_row", F.col(text).alias("text"), F.lit(None).cast("long").alias("whole"))
+    done = None
+    while True:
+        hits = passes(open_)
+        still = hits.limit(1).count()
+        if "n_left" in open_.columns:
+            over = open_.join(hits.select("_row"), "_row", "left_anti") if still else open_
+            done = over if done is None else done.unionByName(over)
+        if not still:
+            break
+        open_ = written(open_.join(hits, "_row").select("_row", "text", "whole", "spans").mapInArrow(cut, CUT))
+    if done is None:
+        return rows.drop("_row")
+    stays = (F.col("n_left") > 0) & (F.col("n_left") >= (1 - coverage) * F.col("whole"))
+    final = done.select("_row", F.col("text").alias("_text"), stays.alias("_stays"))
+    out = rows.join(final, "_row", "left").filter("coalesce(_stays, true)")
+    new = {text: F.coalesce("_text", text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(new).select(*docs.columns)
 
 
 def digest(ids: list[str]) -> str:
