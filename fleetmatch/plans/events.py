@@ -191,6 +191,11 @@ def pending_outbox(fx: Inputs) -> DataFrame:
     return X.pending_outbox(fx("outbox"), 20, 90).select("event_id", "aggregate_id")
 
 
+@query("w6_pending_outbox_all", "SELECT event_id, aggregate_id FROM outbox WHERE published_at IS NULL")
+def pending_outbox_all(fx: Inputs) -> DataFrame:
+    return X.pending_outbox(fx("outbox")).select("event_id", "aggregate_id")
+
+
 @query("x1_split_by_topic", "SELECT topic, CASE WHEN topic = 'lost-topic' THEN 'unknown topic lost-topic' ELSE '' END AS error, count(*) AS events FROM outbox GROUP BY ALL")
 def split_by_topic(fx: Inputs) -> DataFrame:
     good, bad = X.split_by_topic(fx("outbox"), [schemas.MATCH_REQUESTS, schemas.ORDER_EVENTS])

@@ -17,6 +17,16 @@ def order_result_summary(fx: Inputs) -> DataFrame:
     return R.order_result_summary(fx("order_status"), 1, 10_000)
 
 
+def last_order(fx: Inputs) -> int:
+    return fx("order_status").agg(F.max("order_id")).first()[0] or 0
+
+
+@query("a4_order_result_summary_all", """SELECT count(*) AS created, CAST(count(*) FILTER (status = 'matched') AS BIGINT) AS matched, CAST(count(*) FILTER (status = 'missed') AS BIGINT) AS missed, count(*) FILTER (status IN ('matched', 'missed')) AS terminal, max(attempt) AS max_attempt,
+  round(count(*) FILTER (status = 'matched') / greatest(count(*), 1), 6) AS match_rate FROM order_status""")
+def order_result_summary_all(fx: Inputs) -> DataFrame:
+    return R.order_result_summary(fx("order_status"), 1, last_order(fx))
+
+
 @query("a5_retry_progress", "SELECT CAST(k AS INT) AS retry_round, count(*) FILTER (status = 'matched' OR status = 'missed' AND attempt >= k) AS terminal FROM order_status, (SELECT range AS k FROM range(4)) GROUP BY k")
 def retry_progress(fx: Inputs) -> DataFrame:
     return R.retry_progress(fx("order_status"), 3)
@@ -83,6 +93,14 @@ def capacity_report(fx: Inputs) -> DataFrame:
     return R.capacity_report([(100, 1000, status, 2.0), (1000, 10_000, status, 20.0)])
 
 
+@query("a12_capacity_report_all", """WITH c AS (SELECT (SELECT count(*) FROM riders_small) AS riders, CAST(2.0 AS DOUBLE) AS seconds UNION ALL SELECT (SELECT count(*) FROM riders), 20.0)
+SELECT CAST(riders AS INT) AS riders, CAST((SELECT max(order_id) FROM order_status) AS INT) AS orders, m AS matched, k AS missed, round(m / greatest(n, 1), 6) AS match_rate, CAST((m + k) / seconds AS DOUBLE) AS orders_per_second
+FROM c, (SELECT count(*) AS n, count(*) FILTER (status = 'matched') AS m, count(*) FILTER (status = 'missed') AS k FROM order_status)""")
+def capacity_report_all(fx: Inputs) -> DataFrame:
+    status, last = fx("order_status"), last_order(fx)
+    return R.capacity_report([(fx("riders_small").count(), last, status, 2.0), (fx("riders").count(), last, status, 20.0)])
+
+
 INCREASE = "i AS (SELECT metric, ts, CASE WHEN lag(value) OVER w IS NULL THEN 0 WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END AS increase FROM counter_samples WINDOW w AS (PARTITION BY metric ORDER BY ts))"
 
 

@@ -95,6 +95,12 @@ def list_missed_for_retry(fx: Inputs) -> DataFrame:
     return T.list_missed_for_retry(fx("order_status"), 10, 9000, 3)
 
 
+@query("w4_list_missed_for_retry_all", "SELECT order_id, shard_id FROM order_status WHERE status = 'missed' AND attempt < 3")
+def list_missed_for_retry_all(fx: Inputs) -> DataFrame:
+    last = fx("order_status").agg(F.max("order_id")).first()[0] or 0
+    return T.list_missed_for_retry(fx("order_status"), 1, last, 3)
+
+
 def _all_riders(fx: Inputs) -> DataFrame:
     return fx("riders").withColumn("count", F.lit(0).cast("long"))
 

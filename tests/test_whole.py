@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from fleetmatch.functions.spatial import Layout
 from fleetmatch.operators import matching as M
+from fleetmatch.plans.catalog import ORACLES, QUERIES
 from fleetmatch.streaming import streams as S
+from tests.conftest import assert_same
 
 ROWS = "is_order boolean, seq long, order_id long, x int, y int, load long"
 
@@ -40,3 +44,16 @@ def test_stream_match_is_match_orders(spark, tmp_path):
     homes = {x[3] for x in M.match_orders(o([(True, 0, u, x, y, 0) for _, _, u, x, y, _ in riders]), r, lay).collect()}
     assert any(rider is not None and home not in homes for _, rider, _, home in got)  # matched across shards
     assert any(rider is None for _, rider, *_ in got)
+
+
+LARGER = "/root/testdata/sf0.01"  # 15,000 orders
+
+
+@pytest.mark.parametrize("name", ["a4_order_result_summary_all", "a12_capacity_report_all", "w4_list_missed_for_retry_all", "w6_pending_outbox_all", "a8_placement_balance_all"])
+def test_whole_tables(spark, name):
+    assert_same(QUERIES[name](spark, LARGER), ORACLES[name], LARGER)
+
+
+def test_every_order_is_counted(spark):
+    orders = spark.read.parquet(f"{LARGER}/orders.parquet").count()
+    assert QUERIES["a4_order_result_summary_all"](spark, LARGER).first()["created"] == orders > 10_000
