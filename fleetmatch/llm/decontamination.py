@@ -196,15 +196,17 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
 
     Null and empty texts have no words; a benchmark without words hits nothing; columns
     of these names are replaced.  One pass over the texts unless the benchmark has more
-    than BLOCK_BYTES; then passes are merged by a hash of the whole row.
+    than BLOCK_BYTES; then rows are numbered and passes merged by that number.
     """
     spark = docs.sparkSession
     names = ["n_words", "n_hit", "items", "spans"]
     base = docs.drop(*names)
-    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(EXTRA).fields])
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item, text)]  # each bounded by BLOCK_BYTES
+    rows = written(base.withColumn("_row", F.monotonically_increasing_id())) if len(blocks) > 1 else base
+    source = rows.select("_row", text) if len(blocks) > 1 else base
+    schema = T.StructType([*source.schema.fields, *T._parse_datatype_string(EXTRA).fields])
     passes = []
-    for block in _blocks(benchmark, item, text):
-        shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK_BYTES
+    for shared in blocks:
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value, window)
@@ -218,15 +220,15 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
                     "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 })
 
-        passes.append(base.mapInArrow(scan, schema))
+        passes.append(source.mapInArrow(scan, schema))
     out = passes[0]
     for more in passes[1:]:
         out = out.unionByName(more)
     if len(passes) > 1:
         covered = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))))
-        merged = out.groupBy(*base.columns).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), covered.alias("_at"))
+        merged = out.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), covered.alias("_at"))
         runs = F.aggregate("_at", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda acc, i: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] == i), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (i + 1).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(i.alias("start"), (i + 1).alias("end"))))))
-        out = merged.select(*base.columns, "n_words", F.size("_at").cast("long").alias("n_hit"), "items", runs.alias("spans"))
+        out = rows.join(merged, "_row").select(*base.columns, "n_words", F.size("_at").cast("long").alias("n_hit"), "items", runs.alias("spans"))
     return out
 
 

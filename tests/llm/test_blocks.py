@@ -33,3 +33,13 @@ def test_cleaned_by_blocks_is_cleaned_at_once(spark, bench, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
     assert rows() == want
     assert 0 < len(want) < 2 * len(texts)
+
+
+def test_repeated_rows_are_kept_by_blocks(spark, bench, monkeypatch):
+    docs = documents(spark, [None, "", "lone", f"head {ITEMS[0]} {ITEMS[1]}. {ITEMS[2]} tail", "plain words"])
+    docs = docs.unionByName(docs)
+    rows = lambda: sorted(map(repr, decontamination.scanned(docs, bench).collect()))
+    want = rows()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
+    assert rows() == want
+    assert len(want) == 10
