@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import io
+import re
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parents[1]
+#: Folders of intermediate tables that this process wrote and has not removed yet, oldest first.
+_made: list[str] = []
+_shipped: set[str] = set()  # applications that have the package
+
+
+def _one_machine(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset a session on one machine (tests) gets a temporary folder; on a
+    cluster that is an error, as executors would not see the folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not _one_machine(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -23,13 +41,50 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+    """``df`` written once as Parquet to the shared folder and read back.
+
+    Cuts the lineage like ``checkpoint()``: a lost executor costs no recomputation,
+    and later readers scan only the columns they need.
+    """
     path = scratch(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables ``written`` since ``mark()``, but for the last ``keep``; nothing may need them any more."""
+    gone = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    for path in gone:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package: by path on one machine, else as an archive in the shared folder."""
+    sc = spark.sparkContext
+    if _one_machine(spark):
+        sc.environment.setdefault("PYTHONPATH", str(PACKAGE.parent))
+    elif sc.applicationId not in _shipped:
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as archive:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                archive.write(file, file.relative_to(PACKAGE.parent))
+        path = f"{scratch(spark, PACKAGE.name)}.zip"
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers import this package where the session was started elsewhere
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
