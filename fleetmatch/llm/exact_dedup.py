@@ -11,29 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetmatch.llm import flat
-from fleetmatch.llm.repeats import Spec, byte_symbols, merged, numbered, stretches, word_symbols
-from fleetmatch.llm.store import table
+from fleetmatch.llm.repeats import Spec, byte_symbols, merged, stretches, word_symbols
+from fleetmatch.llm.store import fresh, numbered, table
 
 BYTES = Spec(window=200, gram=32, earlier=False, symbols=byte_symbols, width=1)
-WORDS = Spec(window=20, gram=5, earlier=True, symbols=word_symbols, width=8)
-#: The same result by fixed reference blocks that every rolling window probes; needs more memory and disk (README).
-BLOCKS = Spec(window=20, gram=10, earlier=True, symbols=word_symbols, width=8, blocks=True)
+#: Fixed reference blocks of ten words, probed by every rolling window.
+WORDS = Spec(window=20, gram=10, earlier=True, symbols=word_symbols, width=8, blocks=True)
 
 
-def _with_parts(docs: DataFrame, spec: Spec, id_: str, text: str) -> DataFrame:
-    rows, row = numbered(docs, id_)
-    parts = stretches(rows, spec, row, text).select(F.col("row").alias(row), F.col("parts").alias("_parts"))
-    return rows.join(parts, row, "left").drop(row)
-
-
-def _mapped(joined: DataFrame, names: str, make) -> DataFrame:
-    base = joined.drop("_parts", *[f.name for f in T._parse_datatype_string(names).fields])
-    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(names).fields])
-    kept = [f.name for f in base.schema.fields]
+def _mapped(docs: DataFrame, spec: Spec, id_: str, names: str, make) -> DataFrame:
+    """``docs`` with what ``make`` does with each text and its repeated stretches, in columns ``names``."""
+    rows, row, _ = numbered(docs, id_, make.text)
+    held = fresh(rows, "_parts")
+    parts = stretches(rows, spec, row, make.text).select(F.col("row").alias(row), F.col("parts").alias(held))
+    joined = rows.join(parts, row, "left").drop(row)
+    fields = T._parse_datatype_string(names).fields
+    base = docs.drop(*[f.name for f in fields])
+    schema = T.StructType([*base.schema.fields, *fields])
+    kept = base.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in flat.chunks(batches, make.text):
-            parts = [merged(p) for p in batch.column("_parts").to_pylist()]
+            parts = [merged(p) for p in batch.column(held).to_pylist()]
             raw = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(batch.num_rows)]
             yield flat.added(batch.select(kept), make(raw, parts))
 
@@ -80,10 +79,11 @@ def without_repeated_bytes(docs: DataFrame, id_: str = "doc_id", text: str = "te
 
     A byte goes if it lies in a window of ``spec.window`` bytes that also starts anywhere
     else, in the same text or another; all copies go.  Null texts are empty; texts
-    shorter than a window are kept.  Repeated rows are copies of one another.  Columns of
-    the added names are replaced.
+    shorter than a window are kept, and longer ones are treated whole whatever their
+    length.  Repeated rows, repeated and null ids are copies of one another.  Columns of
+    the added names are replaced, others stay.
     """
-    return _mapped(_with_parts(docs, spec, id_, text), "n_bytes long, n_removed long, n_spans long, kept binary", _Bytes(text))
+    return _mapped(docs, spec, id_, "n_bytes long, n_removed long, n_spans long, kept binary", _Bytes(text))
 
 
 def without_repeated_words(docs: DataFrame, id_: str = "doc_id", text: str = "text", spec: Spec = WORDS) -> DataFrame:
@@ -91,10 +91,11 @@ def without_repeated_words(docs: DataFrame, id_: str = "doc_id", text: str = "te
 
     A word goes if it lies in a window of ``spec.window`` words that also starts earlier: in
     a row with a smaller id, or earlier in the same row; the first copy stays.  Rows that
-    share an id come in any fixed order.  Null texts have no words.  Columns of the added
-    names are replaced.
+    share an id or have none come in the order of a hash of their texts.  Null and empty
+    texts have no words; texts of any length are treated whole.  Columns of the added names
+    are replaced, others stay.
     """
-    return _mapped(_with_parts(docs, spec, id_, text), "n_words long, n_removed long, kept string", _Words(text))
+    return _mapped(docs, spec, id_, "n_words long, n_removed long, kept string", _Words(text))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,24 +10,24 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Base of the second, independent hash, over symbols that are mixed with SALT first.
+SECOND, SALT = np.uint64(0xC2B2AE3D27D4EB4F | 1), np.uint64(0x165667B19E3779F9)
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    global _powers, _inverses
-    if len(_powers) < n:
+def powers(n: int, base: np.uint64 = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n."""
+    held = _tables.get(int(base))
+    if held is None or len(held[0]) < n:
         size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         out = []
-        for step in (BASE, inverse):
+        for step in (base, np.uint64(pow(int(base), -1, 1 << 64))):
             a = np.full(size, step, np.uint64)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
-        _powers, _inverses = out
-    return _powers[:n], _inverses[:n]
+        held = _tables[int(base)] = (out[0], out[1])
+    return held[0][:n], held[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,17 +39,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hashes(symbols: np.ndarray) -> np.ndarray:
+def prefix_hashes(symbols: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
     """Polynomial hashes of all prefixes of uint64 ``symbols``, one longer than it."""
     out = np.zeros(len(symbols) + 1, np.uint64)
-    power, _ = powers(len(symbols))
+    power, _ = powers(len(symbols), base)
     np.cumsum(symbols * power, out=out[1:])
     return out
 
 
-def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def second_hashes(symbols: np.ndarray) -> np.ndarray:
+    """Prefix hashes that are independent of ``prefix_hashes``; for ``range_hashes`` with SECOND."""
+    return prefix_hashes(mix(symbols ^ SALT), SECOND)
+
+
+def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
     """Hashes of symbols[start:end] that depend on their content alone."""
-    _, inverse = powers(len(prefix))
+    _, inverse = powers(len(prefix), base)
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 

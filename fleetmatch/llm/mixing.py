@@ -1,27 +1,29 @@
 """Mixing sources to target weights by entropy balancing.
 
-The mix keeps, per source, a total of words near a target while staying as close
-as possible (in relative entropy over words) to the corpus as it is.  The convex
-dual has one multiplier per source; the optimal document rate is exponentially
-tilted, ``rate = exp(lambda_source)``.  Newton steps on the dual are Spark
-aggregations over the (source, size) histogram of the corpus; rates are then
-rounded into whole copies by systematic rounding down the documents of a source
-in order of falling size, which keeps the sum of words near the target.
+Every document gets a rate, as close as possible in relative entropy to taking each
+document once, such that the rates' words add up to the target of its source and no
+rate is above MAX_COPIES.  The convex dual has one multiplier per source, and its
+optimum tilts documents exponentially: ``rate = min(MAX_COPIES, exp(lambda * size))``.
+So a source that must grow does so by its long documents first, and one that must
+shrink keeps its short ones.  Newton steps on the dual are Spark aggregations over the
+(source, size) histogram; rates are then rounded into whole copies systematically, down
+the sizes of a source, from the one of STARTS starting points that comes nearest the target.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetmatch.llm.store import attached, row_key, table, written
+from fleetmatch.llm.store import fresh, numbered, table, written
 
 MAX_COPIES = 3
-#: Rates are compared and rounded at this many decimals, so reruns and engines agree.
-DECIMALS = 9
-#: Ranks by size at which a source's rate is set anew while rounding.
-HEADS = (8, 64, 512)
+#: Rates are rounded to whole parts of a copy, so sums of them are exact and reruns and engines agree.
+PARTS = 1_000_000
+STARTS = 64
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,164 +59,172 @@ def water_filled(sources: DataFrame) -> DataFrame:
     )
 
 
-def newton_rates(histogram: DataFrame, targets: DataFrame, tolerance: float = 1e-13, most: int = 60) -> DataFrame:
-    """``source, size, n`` and ``source, source_size, target`` -> per source ``rate`` = exp(multiplier).
+def newton_multipliers(histogram: DataFrame, targets: DataFrame, tolerance: float = 1e-14, most: int = 100) -> DataFrame:
+    """``source, size, n`` and ``source, source_size, target`` -> the latter with ``lam`` and ``scale``.
 
-    Minimises sum_s [ mass_s exp(l_s) - target_s l_s ]; gradient and (diagonal)
-    Hessian of every step are one grouped aggregation of the histogram.  Steps upward
-    are damped to 1, which keeps the iteration monotone from any start.
+    Minimises, per source, ``sum n phi(lam x) - lam T`` with ``phi' = min(MAX_COPIES, exp)``,
+    where sizes x and the target T are in units of ``scale``, the source's mean size.
+    Gradient and Hessian of all sources are one grouped aggregation of the histogram a
+    step.  The optimum lies between two known bounds; a Newton step that leaves what is
+    still open between them is replaced by its middle.  A source without words stays at 0.
     """
-    state = written(targets.withColumn("lam", F.lit(0.0)))
-    mass = F.sum(F.col("h.size") * F.col("h.n") * F.exp(F.col("s.lam")))
+    limit = math.log(MAX_COPIES)
+    shape = histogram.filter("size > 0").groupBy(F.col("source").alias("_s")).agg(F.min("size").alias("_least"), F.sum("n").alias("_docs"))
+    known = targets.join(shape, F.col("source").eqNullSafe(F.col("_s")), "left")
+    known = known.withColumn("scale", F.coalesce(F.col("source_size") / F.col("_docs"), F.lit(1.0))).withColumn("_x", F.col("_least") / F.col("scale"))
+    has = (F.col("target") > 0) & F.col("_x").isNotNull()
+    low = F.when(has, F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size")) / F.col("_x"))).otherwise(0.0)
+    high = F.when(has, F.lit(limit) / F.col("_x")).otherwise(0.0)
+    start = F.when(F.col("target") >= F.col("source_size") * F.lit(float(MAX_COPIES)), F.col("high")).otherwise(0.0)
+    state = known.withColumns({"low": low, "high": high}).withColumn("lam", start).select("source", "source_size", "target", "scale", "low", "high", "lam")
+    state = written(state)
+    x, n, at = F.col("h.size") / F.col("s.scale"), F.col("h.n"), F.col("s.lam")
+    rate = F.least(F.lit(float(MAX_COPIES)), F.exp(at * x))
+    keys = ["source", "source_size", "target", "scale", "low", "high", "lam"]
     for _ in range(most):
-        step = (F.col("target") - F.col("mass")) / F.col("mass")
-        state = written(
-            histogram.alias("h")
-            .join(state.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source")))
-            .groupBy("s.source", "s.source_size", "s.target", "s.lam")
-            .agg(mass.alias("mass"))
-            .select(
-                "source", "source_size", "target",
-                (F.col("lam") + F.when((F.col("mass") > 0) & (F.col("target") > 0), F.least(step, F.lit(1.0))).otherwise(0.0)).alias("lam"),
-                F.when((F.col("mass") > 0) & (F.col("target") > 0), F.abs(step)).otherwise(0.0).alias("off"),
-            )
+        sums = (
+            histogram.filter("size > 0").alias("h").join(state.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source")))
+            .groupBy(*[f"s.{k}" for k in keys])
+            .agg(F.sum(n * x * rate).alias("words"), F.sum(F.when(at * x < F.lit(limit), n * x * x * rate).otherwise(0.0)).alias("bend"))
         )
+        slope = F.col("words") - F.col("target") / F.col("scale")
+        sums = sums.withColumn("slope", slope)
+        sums = sums.withColumns({"low": F.when(F.col("slope") < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(F.col("slope") > 0, F.col("lam")).otherwise(F.col("high"))})
+        newton = F.when(F.col("bend") > 0, F.col("lam") - F.col("slope") / F.col("bend"))
+        inside = (newton > F.col("low")) & (newton < F.col("high"))
+        new = F.when(F.col("slope") == 0, F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        state = written(sums.withColumn("new", new).select("source", "source_size", "target", "scale", "low", "high", F.col("new").alias("lam"), (F.abs(F.col("new") - F.col("lam")) / (F.abs("lam") + 1)).alias("off")))
         if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-    rate = F.when(F.col("target") > 0, F.round(F.exp("lam"), DECIMALS)).otherwise(0.0)
-    return state.select("source", "source_size", "target", F.least(rate, F.lit(float(MAX_COPIES))).alias("rate"))
+    lams = state.select(F.col("source").alias("_name"), F.col("lam").alias("_lam"))
+    out = known.join(lams, F.col("source").eqNullSafe(F.col("_name")), "left")
+    return out.select("source", "source_size", "target", "scale", F.coalesce("_lam", F.lit(0.0)).alias("lam"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows: int = 8192) -> DataFrame:
-    """Every row of ``docs`` with ``size, source_size, target, rate, copies`` (long) added.
+def class_copies(histogram: DataFrame, multipliers: DataFrame) -> DataFrame:
+    """Per (source, size): ``source, size, n, source_size, target, rate`` and ``whole``, the copies that its documents share.
 
-    Null texts and texts without words have size 0 and 0 copies at rate 0, else the
-    rounding's; an empty table gives an empty table.  Input columns that carry one of
-    the added names are replaced.  Documents of a source are ranked by (size falling,
-    doc_id) without a window over the whole source: the rank is the count of larger
-    documents (histogram), of those in earlier id ranges of the same size, and of
-    those in the row's own range of ``rows`` ids.
+    Down the sizes of a source, the cumulated rates are cut at whole numbers, so the
+    copies of a class are its n rates rounded up or down.  Of STARTS places to begin the
+    count at, that whose words come nearest the target is taken.
+    """
+    rated = histogram.alias("h").join(multipliers.alias("m"), F.col("h.source").eqNullSafe(F.col("m.source")))
+    parts = F.round(F.least(F.lit(float(MAX_COPIES)), F.exp(F.col("m.lam") * (F.col("h.size") / F.col("m.scale")))) * PARTS).cast("long")
+    rated = rated.select("h.source", "h.size", "h.n", "m.source_size", "m.target", parts.alias("parts"))
+    down = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)  # one row a size
+    rated = written(rated.withColumn("upto", F.sum(F.col("n") * F.col("parts")).over(down)))
+    whole = F.expr(f"(upto + k * {PARTS} div {STARTS}) div {PARTS} - (upto - n * parts + k * {PARTS} div {STARTS}) div {PARTS}")
+    tried = rated.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))).groupBy("source", "target", "k").agg(F.sum(whole * F.col("size")).alias("words"))
+    best = tried.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("off"), "k")).alias("b")).select("source", "b.k")
+    chosen = rated.alias("r").join(best.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source"))).select("r.*", "b.k")
+    return chosen.select("source", "size", "n", "source_size", "target", (F.col("parts") / PARTS).alias("rate"), whole.cast("long").alias("whole"))
+
+
+def ranked_copies(lean: DataFrame, row: str, rows: int = 8192) -> DataFrame:
+    """``source, size`` and the unique long ``row`` -> ``row, source, size, source_size, target, rate, copies``.
+
+    The whole copies of a (source, size) are spread evenly down its rows.  A row's place
+    there is the count of those in earlier ranges of ``rows`` numbers and of those before
+    it in its own range, so no class is sorted as a whole however many rows it has.
     """
-    names = ["size", "source_size", "target", "rate", "copies"]
-    key = row_key(doc_id, source, text)
-    lean = docs.select(key.alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(doc_id).alias("doc_id"))
-    return attached(docs, ranked_copies(written(lean), rows), key, names)
-
-
-def ranked_copies(lean: DataFrame, rows: int = 8192) -> DataFrame:
-    """``source, size, doc_id`` and any others -> the same with ``source_size, target, rate, copies``."""
-    more = [c for c in lean.columns if c not in ("source", "size", "doc_id")]
     histogram = written(lean.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    rates = newton_rates(histogram, water_filled(sizes))
-    ranges = lean.withColumn("range", F.floor(F.coalesce(F.col("doc_id"), F.lit(-1)) / F.lit(rows)))
-    counts = written(ranges.groupBy("source", "size", "range").agg(F.count(F.lit(1)).alias("n")))
-    larger = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(0).cast("long")
-    above = histogram.select("source", "size", F.coalesce(F.sum("n").over(larger), none).alias("above"))
-    offsets = counts.withColumn("within", F.coalesce(F.sum("n").over(earlier), none)).drop("n")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("source", "size")]
-    offsets = offsets.alias("a").join(above.alias("b"), same).select("a.*", (F.col("b.above") + F.col("a.within")).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy(F.col("doc_id").asc_nulls_last()))
-    placed = ranges.withColumn("in_range", rank).alias("a").join(
-        offsets.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("source", "size", "range")]
-    ).select("a.source", "a.size", "a.doc_id", *[f"a.{c}" for c in more], (F.col("b.offset") + F.col("a.in_range")).alias("rank"))
-    return rounded(written(placed), rates)
-
-
-def rounded(placed: DataFrame, rates: DataFrame) -> DataFrame:
-    """``source, size, doc_id, rank`` with the sources' rates -> whole copies, systematically down the ranks.
-
-    The largest documents come first, in bands that end at HEADS; each later band's
-    rate is what is left of the target over what is left of the source, so a band
-    mends the rounding of the band before and the last error is that of small
-    documents.  Only the bounded heads are looked at again.
+    classes = written(class_copies(histogram, newton_multipliers(histogram, written(water_filled(sizes)))))
+    ranges = lean.select(F.col(row).alias("row"), "source", "size", F.floor(F.col(row) / F.lit(rows)).alias("range"))
+    key = ["source", "size", "range"]
+    counts = written(ranges.groupBy(*key).agg(F.count(F.lit(1)).alias("here")))
+    earlier = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # one row a range
+    offsets = counts.withColumn("before", F.sum("here").over(earlier) - F.col("here")).drop("here")
+    offsets = offsets.alias("a").join(classes.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("source", "size")])
+    offsets = offsets.select("a.*", "b.n", "b.source_size", "b.target", "b.rate", "b.whole")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("row"))
+    placed = ranges.withColumn("nth", nth).alias("a").join(offsets.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key])
+    copies = F.expr("(b.whole * (b.before + a.nth)) div b.n - (b.whole * (b.before + a.nth - 1)) div b.n")
+    return placed.select("a.row", "a.source", "a.size", "b.source_size", "b.target", "b.rate", copies.cast("long").alias("copies"))
+
+
+ADDED = ["size", "source_size", "target", "rate", "copies"]
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Every row of ``docs`` with ``size, source_size, target, rate, copies`` (long) added.
+
+    Null texts and texts without words have size 0 and a rate of 1; an empty table gives
+    an empty table.  Input columns that carry one of the added names are replaced.
+    Repeated rows, repeated and null ids are rows of their own; a null source is a
+    source.  Of texts of a source with as many words, copies go down the ids evenly.
+    Texts are read for their word counts alone, however long, and shuffled once.
     """
-    sizes = placed.groupBy("source").agg(F.min("rank").alias("_"))
-    left = sizes.alias("p").join(rates.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source"))).select(
-        "r.*", F.col("r.target").alias("want"), F.col("r.source_size").cast("double").alias("have"), F.col("r.rate").alias("rate_0")
-    )
-    head = placed.filter(F.col("rank") <= HEADS[-1])
-    for k, (low, high) in enumerate(zip((0, *HEADS[:-1]), HEADS, strict=True)):
-        band = head.filter((F.col("rank") > low) & (F.col("rank") <= high)).alias("p")
-        band = band.join(left.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")))
-        band = band.withColumn("copies", copies_at(F.col(f"r.rate_{k}"), F.col("p.rank")))
-        got = band.groupBy("p.source").agg(F.sum(F.col("copies") * F.col("p.size")).alias("got"), F.sum("p.size").alias("gone"))
-        left = left.alias("r").join(got.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")), "left")
-        left = left.select("r.*", F.coalesce("g.got", F.lit(0)).alias("got"), F.coalesce("g.gone", F.lit(0)).alias("gone"))
-        left = left.withColumn("want", F.col("want") - F.col("got")).withColumn("have", F.col("have") - F.col("gone"))
-        rate = F.when(F.col("have") > 0, F.round(F.col("want") / F.col("have"), DECIMALS)).otherwise(0.0)
-        left = left.withColumn(f"rate_{k + 1}", F.least(F.greatest(rate, F.lit(0.0)), F.lit(float(MAX_COPIES)))).drop("got", "gone")
-    left = written(left)
-    own = F.col(f"r.rate_{len(HEADS)}")
-    for k in reversed(range(len(HEADS))):
-        own = F.when(F.col("p.rank") <= HEADS[k], F.col(f"r.rate_{k}")).otherwise(own)
-    return placed.alias("p").join(left.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source"))).select(
-        "p.*", "r.source_size", "r.target", "r.rate", copies_at(own, F.col("p.rank")).alias("copies")
-    ).drop("rank")
-
-
-def copies_at(rate: Column, rank: Column) -> Column:
-    part = rate - F.floor(rate)
-    extra = F.floor(F.round(part * rank, DECIMALS) + 0.5) - F.floor(F.round(part * (rank - 1), DECIMALS) + 0.5)
-    return (F.floor(rate) + extra).cast("long")
-
-
-def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    counted = mixed(docs).filter("copies > 0")
-    return counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows, row, _ = numbered(docs, doc_id, source, text)
+    lean = written(rows.select(F.col(row).alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    own = ranked_copies(lean, "row").select(F.col("row").alias(row), F.struct(*ADDED).alias(fresh(rows, "_own")))
+    joined = rows.join(own, row)
+    return joined.select(*[c for c in docs.columns if c not in ADDED], *[F.col(own.columns[1])[c].alias(c) for c in ADDED])
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: none to MAX_COPIES times; all columns stay as they are."""
+    rows, row, _ = numbered(docs, doc_id, source, text)
+    lean = written(rows.select(F.col(row).alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    times = fresh(rows, "_times")
+    taken = ranked_copies(lean, "row").filter("copies > 0").select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(times))
+    return rows.join(taken, row).withColumn(times, F.explode(times)).select(*docs.columns)
 
 
 def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    lean = written(docs.select("source", word_count(F.col("text")).alias("size"), "doc_id"))
-    out = ranked_copies(lean)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def _sql() -> str:
-    copies = "CAST(floor({r}) + floor(round(({r} - floor({r})) * rank, 9) + 0.5) - floor(round(({r} - floor({r})) * (rank - 1), 9) + 0.5) AS BIGINT)"
-    bands, own = "", "CASE"
-    for k, (low, high) in enumerate(zip((0, *HEADS[:-1]), HEADS, strict=True)):
-        bands += f""", g{k} AS (
-  SELECT x.*, coalesce(got, 0) AS got{k}, coalesce(gone, 0) AS gone{k} FROM b{k} x LEFT JOIN (
-    SELECT p.source, sum({copies.format(r=f"rate_{k}")} * p.size) AS got, sum(p.size) AS gone, true AS found
-    FROM p JOIN b{k} y ON p.source IS NOT DISTINCT FROM y.source WHERE rank > {low} AND rank <= {high} GROUP BY p.source
-  ) z ON x.source IS NOT DISTINCT FROM z.source
-), b{k + 1} AS (
-  SELECT *, want{k} - got{k} AS want{k + 1}, have{k} - gone{k} AS have{k + 1},
-    CASE WHEN have{k} - gone{k} > 0 THEN least(greatest(round((want{k} - got{k}) / (have{k} - gone{k}), 9), 0.0), 3.0) ELSE 0.0 END AS rate_{k + 1} FROM g{k}
-)"""
-        own += f" WHEN rank <= {high} THEN rate_{k}"
-    return SQL_HEAD + bands + f"""
-SELECT doc_id, size, source_size, target, {copies.format(r="own")} * size AS taken
-FROM (SELECT p.*, r.* EXCLUDE (source), {own} ELSE rate_{len(HEADS)} END AS own FROM p JOIN b{len(HEADS)} r ON p.source IS NOT DISTINCT FROM r.source)
-"""
+    rows, row, is_id = numbered(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text")
+    lean = written(rows.select(F.col(row).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")))
+    out = ranked_copies(lean, "row")
+    if not is_id:
+        out = out.join(lean.select("row", "doc_id"), "row")
+    return out.select((F.col("row") if is_id else F.col("doc_id")).alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-SQL_HEAD = r"""
-WITH d AS (
+#: The multipliers by bisection, everything else as above.
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), h AS (
+  SELECT source, size, count(*) AS n FROM d GROUP BY source, size
 ), s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+  SELECT source, CAST(sum(size * n) AS BIGINT) AS source_size, sum(n) FILTER (size > 0) AS docs, min(size) FILTER (size > 0) AS least,
+    list(CAST(size AS DOUBLE)) FILTER (size > 0) AS sizes, list(CAST(n AS DOUBLE)) FILTER (size > 0) AS counts FROM h GROUP BY source
 ), w AS (
-  SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM s
+  SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * {MAX_COPIES}.0::DOUBLE AS cap FROM s
 ), l AS (
   SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
       / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w WINDOW o AS (ORDER BY cap / weight, source ASC NULLS LAST)
 ), t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, coalesce(source_size / CAST(docs AS DOUBLE), 1.0) AS scale, least, sizes, counts,
     CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, weight * coalesce((SELECT level FROM l x WHERE x.weight * x.level <= x.cap ORDER BY x.cap / x.weight, x.source ASC NULLS LAST LIMIT 1), 0.0)) END AS target
   FROM l
+), b AS (
+  SELECT 0 AS step, source, CASE WHEN target > 0 THEN least(0.0, ln(target / source_size) / (least / scale)) ELSE 0.0 END AS low,
+    CASE WHEN target > 0 THEN ln({MAX_COPIES}.0) / (least / scale) ELSE 0.0 END AS high FROM t
+  UNION ALL
+  SELECT step + 1, source, CASE WHEN words < target THEN middle ELSE low END, CASE WHEN words < target THEN high ELSE middle END FROM (
+    SELECT b.*, (low + high) / 2 AS middle, t.target,
+      list_sum(list_transform(list_zip(t.sizes, t.counts), lambda p: p[1] * p[2] * least({MAX_COPIES}.0, exp((b.low + b.high) / 2 * (p[1] / t.scale))))) AS words
+    FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source WHERE step < 80
+  )
+), m AS (
+  SELECT t.*, CASE WHEN target >= source_size * {MAX_COPIES}.0 THEN high ELSE (low + high) / 2 END AS lam FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source WHERE step = 80
 ), r AS (
-  SELECT *, CASE WHEN target > 0 THEN least(round(target / source_size, 9), 3.0) ELSE 0.0 END AS rate FROM t
+  SELECT h.source, size, n, source_size, target, CAST(round(least({MAX_COPIES}.0, exp(lam * (size / scale))) * {PARTS}) AS BIGINT) AS parts
+  FROM h JOIN m ON h.source IS NOT DISTINCT FROM m.source
+), u AS (
+  SELECT *, CAST(sum(n * parts) OVER (PARTITION BY source ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM r
+), k AS (
+  SELECT source, target, k, sum(((upto + k * {PARTS} // {STARTS}) // {PARTS} - (upto - n * parts + k * {PARTS} // {STARTS}) // {PARTS}) * size) AS words
+  FROM u, range({STARTS}) x(k) GROUP BY source, target, k
+), c AS (
+  SELECT source, arg_min(k, {{'off': abs(words - target), 'k': k}}) AS k FROM k GROUP BY source
 ), p AS (
-  SELECT doc_id, size, source, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id) AS rank FROM d
-), b0 AS (
-  SELECT *, target AS want0, CAST(source_size AS DOUBLE) AS have0, rate AS rate_0 FROM r
-)"""
-
-OP10_SQL = _sql()
+  SELECT u.*, (upto + k * {PARTS} // {STARTS}) // {PARTS} - (upto - n * parts + k * {PARTS} // {STARTS}) // {PARTS} AS whole FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY source, size ORDER BY doc_id) AS nth FROM d
+)
+SELECT doc_id, e.size, source_size, target, CAST((whole * nth // n - whole * (nth - 1) // n) * e.size AS BIGINT) AS taken
+FROM e JOIN p ON e.source IS NOT DISTINCT FROM p.source AND e.size = p.size
+"""

@@ -27,8 +27,7 @@ from pyspark.sql.window import Window
 
 from fleetmatch.llm import flat
 from fleetmatch.llm.components import components
-from fleetmatch.llm.repeats import numbered
-from fleetmatch.llm.store import table, written
+from fleetmatch.llm.store import hot_join, numbered, table, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -200,8 +199,10 @@ def grouped(docs: DataFrame, row: str, text: str) -> DataFrame:
     """``row, n_shingles, component`` of every row; ``row`` must be unique."""
     signed = written(_signed(docs, row, text))
     same_set = ["n_shingles", "set_a", "set_b"]
-    classes = signed.filter("n_shingles > 0").groupBy(*same_set).agg(F.min("row").alias("first"))
-    members = written(signed.select("row", *same_set).join(classes, same_set, "left").select("row", "n_shingles", F.coalesce("first", "row").alias("first")))
+    some = signed.filter("n_shingles > 0")
+    classes = written(some.groupBy(*same_set).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")))
+    own = hot_join(some.select("row", *same_set), classes, same_set, "copies", F.col("row")).select("row", "n_shingles", "first")
+    members = written(own.unionByName(signed.filter("n_shingles = 0").select("row", "n_shingles", F.col("row").alias("first"))))
     heads = signed.join(classes.select(F.col("first").alias("row")), "row", "left_semi")
     bands = heads.select("row", F.explode("bands").alias("band"))
     leaders = bands.groupBy("band").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -224,33 +225,31 @@ def grouped(docs: DataFrame, row: str, text: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``; other columns play no part.
 
     Rows whose shingle sets have a Jaccard similarity of 0.75 or more are linked (checked
-    on full sets); a component's id is its smallest doc_id, and that row is kept.  Null
-    texts and texts without words have no shingles and no links.  Rows without an id or
-    with a repeated one are told apart: one row of a component is kept.
+    on full sets, texts of any length); a component's id is its smallest doc_id, and that
+    row is kept.  Null texts and texts without words have no shingles and no links.  Rows
+    without an id or with a repeated one are told apart: one row of a component is kept.
     """
-    rows, row = numbered(docs, id_)
+    rows, row, is_id = numbered(docs, id_, text)
     found = grouped(rows, row, text)
-    if _unique(docs, id_):
-        return found.select(F.col("row").alias(id_), "n_shingles", F.col("component").alias("component_id"), (F.col("row") == F.col("component")).alias("kept"))
-    ids = rows.select(F.col(row).alias("row"), F.col(id_).alias("_id"))
-    heads = ids.select(F.col("row").alias("component"), F.col("_id").alias("component_id"))
-    out = found.join(ids, "row").join(heads, "component")
-    return out.select(F.col("_id").alias(id_), "n_shingles", "component_id", (F.col("row") == F.col("component")).alias("kept"))
-
-
-def _unique(docs: DataFrame, id_: str) -> bool:
-    n = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_).alias("d")).first()
-    return n["n"] == n["d"]
+    kept = (F.col("row") == F.col("component")).alias("kept")
+    if is_id:
+        return found.select(F.col("row").alias(id_), "n_shingles", F.col("component").alias("component_id"), kept)
+    ids = rows.select(F.col(row).alias("row"), F.col(id_).alias("own"))
+    found = written(found)
+    sizes = written(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    heads = written(sizes.join(ids.select(F.col("row").alias("component"), F.col("own").alias("head")), "component"))
+    out = hot_join(found.join(ids, "row"), heads, ["component"], "n", F.col("row"))
+    return out.select(F.col("own").alias(id_), "n_shingles", F.col("head").alias("component_id"), kept)
 
 
 def one_of_each(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one of the smallest id."""
-    rows, row = numbered(docs, id_)
+    """``docs`` with one row of each group of near-duplicates: the one of the smallest id; all columns stay."""
+    rows, row, _ = numbered(docs, id_, text)
     gone = grouped(rows, row, text).filter("row <> component").select(F.col("row").alias(row))
-    return rows.join(gone, row, "left_anti").drop(row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op1_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

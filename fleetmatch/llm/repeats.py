@@ -16,7 +16,12 @@ With ``blocks`` the anchors are others: every text is cut into reference blocks
 ``gram`` symbols that do not overlap, and every rolling gram of every text probes them.
 A window of two blocks less one symbol or more holds a whole block, so where a window
 occurs again, a block of the one text meets a probe of the other at the same place.
-Probes are packed and dealt by hash; only those that hit go on.
+Chunks of texts send each distinct gram once, sorted and packed, to a bucket of the
+hash space; those that are a block and occur again come back to the chunk as anchors.
+
+Grams and contexts are compared by 64 and 128 bits of hash (two independent ones); what
+is sorted is verified symbol by symbol besides.  Keys that many rows share are spread
+over tasks (``hot_join``).
 
 With ``earlier`` a window counts only if an equal one starts earlier (in row order);
 else any other start counts.
@@ -33,17 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetmatch.llm import flat
-from fleetmatch.llm.store import written
+from fleetmatch.llm.store import hot_join, written
 from fleetmatch.llm.suffixes import Text
 
 #: Contexts of one gram that are sorted in one task; grams with more have their windows counted one by one.
 CROWD = 5_000
-#: A probe: 32 bits of the gram's hash besides those that choose the bucket, the text's ordinal in its chunk, the position.
-PROBE = np.dtype([("gram", "<u4"), ("text", "<u2"), ("place", "<u4")])
-#: Bytes of text whose probes one bucket holds, so a bucket fits in a task's memory whatever the corpus.
-PROBE_BYTES = 16 << 20
-#: Bytes of text in a chunk: texts of a window have 39 bytes or more, so their ordinals fit in 16 bits.
-PROBE_CHUNK = 1 << 21
+#: Bytes of text whose grams one bucket holds on average, so a bucket fits in a task's memory whatever the corpus.
+BUCKET_BYTES = 8 << 20
+#: Bits of the running number of a text that are dropped for its chunk's number: 512 texts a chunk.
+CHUNK_BITS = 9
+ANCHORS = "gram long, context long, check long, row long, at long"
+SET = ["gram", "context", "check"]
 #: From the bytes and offsets of texts: the symbols and where each text's symbols begin.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -56,6 +61,7 @@ class Spec:
     symbols: Symbols
     width: int  # bytes of a symbol in a shipped context
     blocks: bool = False  # anchors are probes that hit a reference block, instead of least grams
+    bits: int = 64  # of the first hash of a context or window; tests take few, so that it collides
 
 
 def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +73,12 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, at
 
 
-def anchors(symbols: np.ndarray, offsets: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
-    """Of the windows of all texts: text, position in it, gram hash, context hash, symbols left of it, context length."""
+def anchors(symbols: np.ndarray, offsets: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of all texts, where their anchors are: text and position in it."""
     n, w = len(symbols), spec.window - spec.gram + 1
     lengths = np.diff(offsets)
-    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if n < spec.window or not (lengths >= spec.window).any():
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     prefix = flat.prefix_hashes(symbols)
     at = np.arange(n - spec.gram + 1)
     grams = flat.range_hashes(prefix, at, at + spec.gram)
@@ -94,23 +99,30 @@ def anchors(symbols: np.ndarray, offsets: np.ndarray, spec: Spec) -> tuple[np.nd
     chosen[least[np.cumsum(valid[:-1]) > 0].astype(np.int64)] = True
     place = np.flatnonzero(chosen)
     text = np.searchsorted(offsets, place, "right") - 1
-    low = np.maximum(offsets[text], place - (spec.window - spec.gram))
-    high = np.minimum(offsets[text + 1], place + spec.window)
-    context = flat.mix(flat.range_hashes(prefix, low, high) + (place - low).astype(np.uint64))
-    return text, place - offsets[text], grams[place], context, place - low, high - low
+    return text, place - offsets[text]
+
+
+def _rows_at(text: np.ndarray, position: np.ndarray, ids: np.ndarray, symbols: np.ndarray, offsets: np.ndarray, spec: Spec) -> pa.RecordBatch:
+    """ANCHORS of anchors at the positions in texts; ``at`` packs position, symbols left of the anchor and context length."""
+    at = offsets[text] + position
+    low = np.maximum(offsets[text], at - (spec.window - spec.gram))
+    high = np.minimum(offsets[text + 1], at + spec.window)
+    prefix, second = flat.prefix_hashes(symbols), flat.second_hashes(symbols)
+    left = (at - low).astype(np.uint64)
+    gram = flat.range_hashes(prefix, at, at + spec.gram)
+    context = flat.mix(flat.range_hashes(prefix, low, high) + left) >> np.uint64(64 - spec.bits)
+    check = flat.mix(flat.range_hashes(second, low, high, flat.SECOND) ^ left)
+    packed = position << 32 | (at - low) << 16 | (high - low)
+    return pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in (gram, context, check)], pa.array(ids[text], pa.int64()), pa.array(packed)], names=[*SET, "row", "at"])
 
 
 def _anchor_rows(docs: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in flat.chunks(batches, text, 1 << 19):
-            where, position, gram, context, left, length = anchors(*spec.symbols(data, offsets), spec)
-            ids = batch.column(row).to_numpy(zero_copy_only=False)[where]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids, pa.int64()), pa.array(position << 32 | left << 16 | length)],
-                names=["gram", "context", "row", "at"],
-            )
+            symbols, begin = spec.symbols(data, offsets)
+            yield _rows_at(*anchors(symbols, begin, spec), batch.column(row).to_numpy(zero_copy_only=False), symbols, begin, spec)
 
-    return docs.select(row, text).mapInArrow(rows, "gram long, context long, row long, at long")
+    return docs.select(row, text).mapInArrow(rows, ANCHORS)
 
 
 def _contexts(texts: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
@@ -199,120 +211,163 @@ def _solve(contexts: DataFrame, spec: Spec, rows: int = 6_000) -> DataFrame:
     return dealt.mapInArrow(solve, "row long, start long, end long")
 
 
-def _probes(docs: DataFrame, spec: Spec, row: str, text: str, buckets: int) -> DataFrame:
-    """Every rolling gram of every text, packed: ``bucket, rows, blob``, one blob per chunk of texts and bucket.
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of the batches whose rows have one ``chunk``, with its number."""
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield int(chunk[a]), batch.slice(a, b - a)
+
+
+def _grams(data: np.ndarray, offsets: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, where texts begin in them, and of every rolling gram of a text as long as a window: text, position, hash."""
+    symbols, at = spec.symbols(data, offsets)
+    sizes = np.diff(at)
+    counts = np.where(sizes >= spec.window, sizes - spec.gram + 1, 0)
+    doc = np.repeat(np.arange(len(sizes)), counts)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = at[:-1][doc] + place
+    return symbols, at, doc, place, flat.range_hashes(flat.prefix_hashes(symbols), start, start + spec.gram)
+
+
+def _keys(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of the hash space in the high half, the hash's low half in the low half."""
+    return ((grams >> np.uint64(32)) * np.uint64(buckets)) & np.uint64(0xFFFFFFFF00000000) | grams & np.uint64(0xFFFFFFFF)
+
+
+def _packed(low: np.ndarray, block: np.ndarray, again: np.ndarray) -> bytes:
+    """Sorted distinct 32-bit numbers as differences, byte by byte from the highest, and two bits of each."""
+    step = np.diff(low, prepend=np.uint32(0)).astype(">u4")
+    return step.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(block).tobytes() + np.packbits(again).tobytes()
+
+
+def _unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(blob, np.uint8)
+    low = np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(">u4").ravel().astype(np.int64))
+    width = -(-n // 8)
+    bits = [np.unpackbits(raw[4 * n + k * width : 4 * n + (k + 1) * width], count=n).astype(bool) for k in (0, 1)]
+    return low, bits[0], bits[1]
 
-    ``rows`` names the texts of a blob.  Every gram-th position of a text begins a
-    reference block; a chunk holds one text alone if that is longer.
+
+def _probes(texts: DataFrame, spec: Spec, text: str, buckets: int) -> DataFrame:
+    """The distinct rolling grams of every chunk, ``bucket, chunk, n, blob``, marked where one is a reference block or repeats in the chunk.
+
+    Every gram-th position of a text begins a block.
     """
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in flat.chunks(batches, text, PROBE_CHUNK):
-            symbols, at = spec.symbols(data, offsets)
-            ids = batch.column(row).to_numpy(zero_copy_only=False)
-            sizes = np.diff(at)
-            counts = np.where(sizes >= spec.window, sizes - spec.gram + 1, 0)
-            total = int(counts.sum())
-            if not total:
-                continue
-            doc = np.repeat(np.arange(len(sizes)), counts)
-            place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = at[:-1][doc] + place
-            gram = flat.range_hashes(flat.prefix_hashes(symbols), start, start + spec.gram)
-            order = np.argsort(gram)
-            gram, doc, place = gram[order], doc[order], place[order]
-            cuts = np.searchsorted(gram, (np.arange(1, buckets) * (2.0**64 / buckets)).astype(np.uint64))
-            parts = np.split(np.arange(total), cuts)
-            out: dict[str, list] = {"bucket": [], "rows": [], "blob": []}
-            for k, part in enumerate(parts):
-                if len(part):
-                    here, ordinal = np.unique(doc[part], return_inverse=True)
-                    packed = np.empty(len(part), PROBE)
-                    packed["gram"], packed["text"], packed["place"] = gram[part] & np.uint64(0xFFFFFFFF), ordinal, place[part]
-                    out["bucket"].append(k)
-                    out["rows"].append(ids[here])
-                    out["blob"].append(packed.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["rows"], pa.list_(pa.int64())), pa.array(out["blob"], pa.binary())], names=list(out))
-
-    return docs.select(row, text).mapInArrow(probe, "bucket int, rows array<long>, blob binary")
-
-
-def _hits(probes: DataFrame, spec: Spec, buckets: int) -> DataFrame:
-    """Probes whose gram is that of a reference block and occurs again: ``row, place``.
-
-    Grams that agree in the bits at hand only are let through; what follows compares all.
+        for chunk, part in _by_chunk(batches):
+            for _, data, offsets in flat.chunks(iter([part]), text, 1 << 20):
+                _, _, _, place, gram = _grams(data, offsets, spec)
+                if not len(gram):
+                    continue
+                keys = _keys(gram, buckets)
+                order = np.argsort(keys)
+                keys, block = keys[order], place[order] % spec.gram == 0
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                n = np.diff(np.append(first, len(keys)))
+                keys, block = keys[first], np.logical_or.reduceat(block, first)
+                own = (keys >> np.uint64(32)).astype(np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+                low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                parts = [(int(own[a]), chunk, int(b - a), _packed(low[a:b], block[a:b], n[a:b] > 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "chunk", "n", "blob"])
+
+    return texts.mapInArrow(probe, "bucket long, chunk long, n int, blob binary")
+
+
+def _hits(probes: DataFrame) -> DataFrame:
+    """``chunk, keys``: grams of a chunk that are a reference block somewhere and occur more than once.
+
+    A bucket has at most one entry a chunk and gram, so copies and stock phrases within
+    chunks cost nothing.  Keys of different grams can be equal; what follows compares all.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(blobs: list, rows: list) -> pa.RecordBatch:
-            packed = np.concatenate([np.frombuffer(b, PROBE) for b in blobs])
-            first = np.cumsum([0, *[len(r) for r in rows]])[:-1]
-            text = packed["text"].astype(np.int64) + np.repeat(first, [len(b) // PROBE.itemsize for b in blobs])
-            ids, place = np.concatenate(rows), packed["place"].astype(np.int64)
-            _, which, n = np.unique(packed["gram"], return_inverse=True, return_counts=True)
-            block = np.zeros(len(n), bool)
-            block[which[place % spec.gram == 0]] = True
-            hit = np.flatnonzero((block & (n > 1))[which])
-            return pa.RecordBatch.from_arrays([pa.array(ids[text[hit]]), pa.array(place[hit])], names=["row", "place"])
-
-        last, blobs, rows = None, [], []
+        def found(bucket: int, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            parts = [_unpacked(blob, n) for _, n, blob in held]
+            low, block, again = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            order = np.argsort(low, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], low[order][1:] != low[order][:-1]]))
+            size = np.diff(np.append(first, len(low)))
+            good = np.logical_or.reduceat(block[order], first) & ((size > 1) | np.logical_or.reduceat(again[order], first))
+            hit = np.zeros(len(low), bool)
+            hit[order] = np.repeat(good, size)
+            ends = np.concatenate([[0], np.cumsum(hit)])[np.cumsum([0, *[n for _, n, _ in held]])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(low[hit] | bucket << 32, pa.int64()))
+            out = pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in held], pa.int64()), lists], names=["chunk", "keys"])
+            return out.filter(pa.array(np.diff(ends) > 0))
+
+        last, held = None, []
         for batch in batches:
-            for bucket, own, blob in zip(batch.column("bucket").to_pylist(), batch.column("rows"), batch.column("blob"), strict=True):
-                if bucket != last and blobs:
-                    yield found(blobs, rows)
-                    blobs, rows = [], []
+            for bucket, chunk, n, blob in zip(*[batch.column(c).to_pylist() for c in ("bucket", "chunk", "n", "blob")], strict=True):
+                if bucket != last and held:
+                    yield found(last, held)
+                    held = []
                 last = bucket
-                blobs.append(blob.as_py())
-                rows.append(own.values.to_numpy())
-        if blobs:
-            yield found(blobs, rows)
+                held.append((chunk, n, blob))
+        if held:
+            yield found(last, held)
 
-    dealt = probes.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "row long, place long")
+    dealt = probes.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, "chunk long, keys array<long>")
 
 
 def _block_rows(docs: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
-    """Anchors as ``_anchor_rows`` gives them, at the probes that hit."""
-    words = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(8, int(words / PROBE_BYTES))
-    hits = _hits(_probes(docs, spec, row, text, buckets), spec, buckets)
-    places = hits.groupBy("row").agg(F.collect_list("place").alias("places")).withColumnRenamed("row", row)
+    """ANCHORS at the grams that hit: each chunk's keys and texts are sorted together and met in one pass."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(8, int(total / BUCKET_BYTES))
+    texts = written(docs.select(F.col(row).alias("row"), F.col(text).alias("text"), F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk")))
+    hits = _hits(_probes(texts, spec, "text", buckets))
+    none = F.lit(None)
+    both = hits.select("chunk", F.lit(0).alias("kind"), none.cast("long").alias("row"), none.cast("string").alias("text"), "keys").unionByName(
+        texts.select("chunk", F.lit(1).alias("kind"), "row", "text", none.cast("array<long>").alias("keys"))
+    )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in flat.chunks(batches, text, 1 << 19):
-            symbols, begin = spec.symbols(data, offsets)
-            listed = batch.column("places")
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
-            position = listed.flatten().to_numpy()
-            at = begin[doc] + position
-            prefix = flat.prefix_hashes(symbols)
-            low = np.maximum(begin[doc], at - (spec.window - spec.gram))
-            high = np.minimum(begin[doc + 1], at + spec.window)
-            gram = flat.range_hashes(prefix, at, at + spec.gram)
-            context = flat.mix(flat.range_hashes(prefix, low, high) + (at - low).astype(np.uint64))
-            ids = batch.column(row).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids, pa.int64()), pa.array(position << 32 | (at - low) << 16 | (high - low))], names=["gram", "context", "row", "at"])
+        last, keys = None, np.zeros(0, np.int64)
+        for chunk, part in _by_chunk(batches):
+            if chunk != last:
+                last, keys = chunk, np.zeros(0, np.int64)
+            n = int((part.column("kind").to_numpy() == 0).sum())  # these come first
+            if n:
+                keys = np.sort(np.concatenate([keys, part.slice(0, n).column("keys").flatten().to_numpy()]))
+            if not len(keys):
+                continue
+            for batch, data, offsets in flat.chunks(iter([part.slice(n)]), "text", 1 << 19):
+                symbols, begin, doc, place, gram = _grams(data, offsets, spec)
+                own = _keys(gram, buckets).astype(np.int64)
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == own)
+                if len(hit):
+                    yield _rows_at(doc[hit], place[hit], batch.column("row").to_numpy(zero_copy_only=False), symbols, begin, spec)
 
-    return docs.select(row, text).join(places, row).mapInArrow(rows, "gram long, context long, row long, at long")
+    return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(rows, ANCHORS)
 
 
 def stretches(docs: DataFrame, spec: Spec, row: str, text: str, crowd: int = CROWD) -> DataFrame:
     """``row, parts``: repeated stretches (start, end) in symbols, unmerged; rows without any are left out.
 
     Grams and contexts are counted by grouped aggregates, which combine ahead of the
-    shuffle, and joined back, so a gram that a third of all rows hold is never gathered.
+    shuffle, and joined back with hot ones spread, so a gram that a third of all rows
+    hold is never gathered.
     """
     anchored = written(_block_rows(docs, spec, row, text)) if spec.blocks else _anchor_rows(docs, spec, row, text)
-    grams = anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("several")).filter("n > 1")
-    shared = written(anchored.join(written(grams.select("gram", "several")), "gram"))  # plain joins: Spark splits hot grams
-    classes = shared.groupBy("gram", "context", "several").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "at")).alias("first"))
-    classes = written(classes)
+    several = F.min(F.struct("context", "check")) != F.max(F.struct("context", "check"))
+    grams = written(anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), several.alias("several")).filter("n > 1"))
+    place = F.xxhash64("row", "at")
+    shared = written(hot_join(anchored, grams, ["gram"], "n", place).drop("n"))
+    classes = written(shared.groupBy(*SET, "several").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "at")).alias("first")))
     # what a gram's contexts are compared for: any that is alone, or with `earlier` the first of each
     asking = classes.filter("several").groupBy("gram").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("contexts"))
-    asking = asking.filter((F.col("least") == 1) | F.lit(spec.earlier)).select("gram", (F.col("contexts") > crowd).alias("crowded"))
-    wanted = classes.join(asking, "gram").select("first.row", F.struct("gram", "first.at", "crowded").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
+    asking = written(asking.filter((F.col("least") == 1) | F.lit(spec.earlier)).select("gram", "contexts", (F.col("contexts") > crowd).alias("crowded")))
+    compared = hot_join(classes.select("gram", "first"), asking, ["gram"], "contexts", F.xxhash64("first"))
+    wanted = compared.select("first.row", F.struct("gram", "first.at", "crowded").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
 
-    repeated = shared.join(classes.filter("copies > 1").select("gram", "context", "first"), ["gram", "context"])
+    again = classes.filter("copies > 1").select(*SET, "first", "copies")
+    repeated = hot_join(shared.drop("several"), again, SET, "copies", place)
     if spec.earlier:
         repeated = repeated.filter(F.struct("row", "at") != F.col("first"))
     low = F.shiftright("at", 32) - F.shiftright("at", 16).bitwiseAND(0xFFFF)
@@ -330,7 +385,7 @@ def stretches(docs: DataFrame, spec: Spec, row: str, text: str, crowd: int = CRO
 
 
 def _counted(contexts: DataFrame, spec: Spec) -> DataFrame:
-    """The exact way for grams with very many contexts: every window of a context by its own hash."""
+    """The exact way for grams with very many contexts: every window of a context by 128 bits of hash."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,12 +398,13 @@ def _counted(contexts: DataFrame, spec: Spec) -> DataFrame:
             which = np.repeat(np.arange(len(n)), n)
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             start = offsets[which] + step
-            keys = flat.range_hashes(flat.prefix_hashes(symbols), start, start + spec.window)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("row").take(pa.array(which)), pa.array(low[which] + step)], names=["key", "row", "start"])
+            keys = flat.range_hashes(flat.prefix_hashes(symbols), start, start + spec.window) >> np.uint64(64 - spec.bits)
+            checks = flat.range_hashes(flat.second_hashes(symbols), start, start + spec.window, flat.SECOND)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(checks.view(np.int64)), batch.column("row").take(pa.array(which)), pa.array(low[which] + step)], names=["key", "check", "row", "start"])
 
-    every = written(contexts.mapInArrow(windows, "key long, row long, start long").distinct())
-    counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start")).alias("first")).filter("n > 1")
-    again = every.join(counts, "key")
+    every = written(contexts.mapInArrow(windows, "key long, check long, row long, start long").distinct())
+    counts = written(every.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start")).alias("first")).filter("n > 1"))
+    again = hot_join(every, counts, ["key", "check"], "n", F.xxhash64("row", "start"))
     if spec.earlier:
         again = again.filter(F.struct("row", "start") != F.col("first"))
     return again.select("row", "start", (F.col("start") + spec.window).alias("end"))
@@ -362,15 +418,3 @@ def merged(parts: list[dict] | None) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
-
-
-def numbered(docs: DataFrame, id_: str) -> tuple[DataFrame, str]:
-    """``docs`` and a column that tells rows apart and orders them as ``id_`` does.
-
-    That is ``id_`` itself where it is unique and never null (checked on that column
-    alone).  Otherwise rows are sorted by it (nulls first) and numbered.
-    """
-    ids = docs.groupBy(id_).count().agg(F.max("count").alias("n"), F.max(F.col(id_).isNull()).alias("null")).first()
-    if dict(docs.dtypes)[id_] in ("bigint", "int") and (ids["n"] or 0) <= 1 and not ids["null"]:
-        return docs.withColumn("_row", F.col(id_).cast("long")), "_row"
-    return written(docs.orderBy(id_).withColumn("_row", F.monotonically_increasing_id())), "_row"

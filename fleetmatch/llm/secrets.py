@@ -16,7 +16,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetmatch.llm.store import row_key, table
+from fleetmatch.llm.store import fresh, numbered, table
 
 
 @dataclass(frozen=True)
@@ -101,9 +101,8 @@ def found(text: Column, rule: Rule) -> Column:
 def postings(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str) -> DataFrame:
     """Inverted index (trigram, key) over the trigrams that the rules' queries name."""
     grams = sorted({g for r in rules for way in trigram_query(r.pattern) or [] for g in way})
-    low = F.lower(F.col(text))
-    present = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in grams]))
-    return docs.select(F.col(key), low.alias("_low")).select(key, F.explode(present).alias("trigram"))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
+    return docs.select(F.col(key), F.lower(F.col(text)).alias("low")).select(key, F.explode(present).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], key: str) -> DataFrame:
@@ -126,24 +125,26 @@ def _of_kind(kind: str) -> Column:
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``found``: array<struct<start, rank, kind, end>> by start, then rule.
 
-    Null and empty texts have none.  Rows are matched to their candidates by a hash of
-    (id, text), so repeated ids and repeated rows are scanned each for itself.
+    Null and empty texts have none; long texts are scanned whole.  Repeated rows, repeated
+    and null ids are scanned each for itself.  A column ``found`` is replaced, others stay.
+    Where matches of two rules start together, the rule listed first comes first.
     """
-    key = row_key(id_, text)
-    base = docs.drop("found").withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_row", key)
-    narrow = base.select("_row", "_text").filter(F.length("_text") > 0)
+    rows, row, _ = numbered(docs, id_, text)
+    body = F.coalesce(F.col(text), F.lit(""))
+    narrow = rows.select(F.col(row).alias("row"), body.alias("text")).filter(F.length("text") > 0)
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
-    wanted = candidates(postings(narrow, indexed, "_row", "_text"), indexed, "_row")
+    name = fresh(rows, "_kinds")
+    wanted = candidates(postings(narrow, indexed, "row", "text"), indexed, "row").select(F.col("row").alias(row), F.col("kinds").alias(name))
     full = [r for r in rules if not trigram_query(r.pattern)]
-    checked = base.join(wanted, "_row", "left")
-    kinds = F.coalesce("kinds", F.array().cast("array<string>"))
+    checked = rows.join(wanted, row, "left")
+    kinds = F.coalesce(F.col(name), F.array().cast("array<string>"))
     spans = []
     for rank, rule in enumerate(rules):
-        own = found(F.col("_text"), rule)
+        own = found(body, rule)
         if rule not in full:
             own = F.when(F.array_contains(kinds, rule.kind), own)
         spans.append(F.coalesce(_tagged(own, rank, rule.kind), F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")))
-    return checked.withColumn("found", F.array_sort(F.concat(*spans))).select(*[c for c in docs.columns if c != "found"], "found")
+    return checked.select(*[c for c in docs.columns if c != "found"], F.array_sort(F.concat(*spans)).alias("found"))
 
 
 def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fleetmatch.llm.store import attached, row_key, table, written
+from fleetmatch.llm.store import fresh, numbered, table, written
 
 SHARDS = 24
 OVERHEAD = 8  # bytes a row takes besides its text
@@ -86,19 +86,19 @@ def stretches(flow: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int
 
 
 def placements(lean: DataFrame, shards: int = SHARDS, block_rows: int = 4096) -> DataFrame:
-    """``_key, old, size`` (written) -> the same with ``shard`` int and ``slot`` long.
+    """``row`` (unique, long), ``old, size`` (written) -> the same with ``shard`` int and ``slot`` long.
 
     Rows of an old shard are grouped into blocks of about ``block_rows`` rows of
     like size; only blocks are sorted and summed as a whole, so a shard that holds
     a third of all rows is spread over many tasks.  Within a shard slots run from 0
-    without gaps.  An empty table gives an empty table.
+    without gaps.  Rows of one size are laid out by ``row``.  An empty table gives an empty table.
     """
     spark = lean.sparkSession
     rows = lean.withColumn("band", F.floor(F.log2(F.col("size"))).cast("int"))
     classes = rows.groupBy("old", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
-    rows = rows.join(classes, ["old", "band"]).withColumn("block", F.pmod(F.xxhash64("_key"), F.col("blocks"))).drop("blocks")
+    rows = rows.join(classes, ["old", "band"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
     block = ["old", "band", "block"]
-    in_block = Window.partitionBy(*block).orderBy(F.col("size").desc(), "_key")
+    in_block = Window.partitionBy(*block).orderBy(F.col("size").desc(), "row")
     rows = rows.withColumns({"nth": F.row_number().over(in_block), "before": F.sum("size").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     blocks = written(rows.groupBy(*block).agg(F.sum("size").alias("bytes")))
     layout = Window.partitionBy("old").orderBy(F.col("band").desc(), "block").rowsBetween(Window.unboundedPreceding, 0)
@@ -110,12 +110,12 @@ def placements(lean: DataFrame, shards: int = SHARDS, block_rows: int = 4096) ->
     middle = F.col("start") + F.col("before") + F.floor(F.col("size") / 2)
     placed = rows.join(starts, block).withColumn("middle", middle)
     placed = placed.join(F.broadcast(cut), (placed["old"] == cut["old"]) & (F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high")))
-    placed = written(placed.select("_key", rows["old"], "size", "band", "block", "nth", "shard"))
+    placed = written(placed.select("row", rows["old"], "size", "band", "block", "nth", "shard"))
     pieces = placed.groupBy(*block, "shard").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("first"))
     filled = Window.partitionBy("shard").orderBy("old", F.col("band").desc(), "block").rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("from", F.sum("n").over(filled) - F.col("n") - F.col("first"))
     out = placed.join(pieces.select(*block, "shard", "from"), [*block, "shard"])
-    return out.select("_key", "old", "size", "shard", (F.col("from") + F.col("nth")).cast("long").alias("slot"))
+    return out.select("row", "old", "size", "shard", (F.col("from") + F.col("nth")).cast("long").alias("slot"))
 
 
 def old_shard(source: Column, shards: int = SHARDS) -> Column:
@@ -123,35 +123,48 @@ def old_shard(source: Column, shards: int = SHARDS) -> Column:
     return F.pmod(F.crc32(F.coalesce(source.cast("string"), F.lit("")).cast("binary")), F.lit(shards)).cast("int")
 
 
+ADDED = ["size", "old", "shard", "slot"]
+
+
 def resharded(docs: DataFrame, old: Column, shards: int = SHARDS, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``size`` long, ``old`` int, ``shard`` int and ``slot`` long.
 
-    Null texts take OVERHEAD bytes.  Input columns of these names are replaced.
-    Repeated rows each get a slot of their own.  Texts are shuffled once, in the
-    last join; all decisions are made on keys and sizes.
+    Null texts take OVERHEAD bytes, as empty ones do; a text of any length is one row of
+    its size.  Input columns of these names are replaced.  Repeated rows, repeated and null
+    ids are rows with a slot each.  Texts are shuffled once, in the last join; all
+    decisions are made on row numbers and sizes.
     """
-    key = row_key(id_, text)
-    lean = written(docs.select(key.alias("_key"), old.alias("old"), row_size(F.col(text)).alias("size")))
-    return attached(docs, placements(lean, shards), key, ["size", "old", "shard", "slot"])
+    rows, row, _ = numbered(docs, id_, text)
+    lean = written(rows.select(F.col(row).alias("row"), old.alias("old"), row_size(F.col(text)).alias("size")))
+    own = fresh(rows, "_own")
+    placed = placements(lean, shards).select(F.col("row").alias(row), F.struct(*ADDED).alias(own))
+    joined = rows.join(placed, row)
+    return joined.select(*[c for c in docs.columns if c not in ADDED], *[F.col(own)[c].alias(c) for c in ADDED])
 
 
-def rewrite_affected(placed: DataFrame, path: str, rows_per_file: int = 1_000_000) -> list[int]:
-    """Writes the shards that gain or lose rows under ``path``/shard=N; returns their numbers."""
+def rewrite_affected(placed: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Writes the shards that gain or lose rows under ``path``/shard=N; ``placed`` with their rows read from there.
+
+    Shards that stay as they are aren't written.  ``placed`` should be written, as it is read more than once.
+    """
     moved = placed.filter(F.col("old") != F.col("shard"))
     hit = moved.select(F.explode(F.array("old", "shard")).alias("s")).distinct().collect()  # at most one row a shard
     affected = sorted(r["s"] for r in hit)
-    out = placed.filter(F.col("shard").isin(affected)).withColumn("chunk", F.floor(F.col("slot") / rows_per_file))
-    out = out.repartition("shard", "chunk").sortWithinPartitions("shard", "slot").drop("chunk")
+    if not affected:
+        return placed
+    chunk = fresh(placed, "_chunk")
+    out = placed.filter(F.col("shard").isin(affected)).withColumn(chunk, F.floor(F.col("slot") / rows_per_file))
+    out = out.repartition("shard", chunk).sortWithinPartitions("shard", "slot").drop(chunk)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return affected
+    read = placed.sparkSession.read.schema(placed.schema).parquet(path).filter(F.col("shard").isin(affected))
+    return read.select(*placed.columns).unionByName(placed.filter(~F.col("shard").isin(affected)))
 
 
 def op3_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    rows, row, _ = numbered(table(spark, sf_dir, "documents"), "doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
-    lean = written(docs.select(F.struct("doc_id").alias("_key"), old_shard(F.col("source")).alias("old"), row_size(F.col("text")).alias("size"), crc))
-    keyed = lean.select(F.xxhash64("_key.doc_id", "text_crc32").alias("_key"), "_key.doc_id", "old", "size", "text_crc32")
-    placed = attached(keyed.drop("_key", "old", "size"), placements(keyed.select("_key", "old", "size")), F.xxhash64("doc_id", "text_crc32"), ["size", "shard", "slot"])
+    lean = written(rows.select(F.col(row).alias("row"), "doc_id", old_shard(F.col("source")).alias("old"), row_size(F.col("text")).alias("size"), crc))
+    placed = lean.select("row", "doc_id", "text_crc32").join(placements(lean.select("row", "old", "size")), "row")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard")
     )

@@ -1,60 +1,61 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""What the corpus operators share: intermediate tables, names that are free, numbered rows, joins on hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from fleetmatch.sources.tables import importable, mark, release, table, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+__all__ = ["Numbered", "fresh", "hot_join", "importable", "mark", "numbered", "release", "table", "written"]
 
+#: Keys with more than one in HOT of all rows are spread over WAYS tasks each; there are fewer than HOT of them.
+HOT, WAYS = 1000, 64
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back.
-
-    Cuts the lineage like ``checkpoint()``: a lost executor costs no recomputation,
-    and later readers scan only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the session was started elsewhere."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
+class Numbered(NamedTuple):
+    rows: DataFrame
+    name: str  # of the column that tells rows apart
+    is_id: bool  # whether that is the id itself
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def numbered(docs: DataFrame, id_: str, *more: str) -> Numbered:
+    """``docs`` and a long column that tells rows apart and orders them as ``id_`` does.
 
-def row_key(*columns: str) -> Column:
-    """Hash that only equal rows share (in the given columns)."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+    That is ``id_`` itself where it is an integer, unique and never null (checked on that
+    column alone).  Otherwise rows are sorted by it (nulls first), then by a hash of the
+    columns ``more``, which also spreads an id that many rows share, and numbered.
+    """
+    name = fresh(docs, "_row")
+    if dict(docs.dtypes)[id_] in ("bigint", "int", "smallint", "tinyint"):
+        ids = docs.groupBy(id_).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.max(F.col(id_).isNull()).alias("null")).first()
+        if (ids["n"] or 0) <= 1 and not ids["null"]:
+            return Numbered(docs.withColumn(name, F.col(id_).cast("long")), name, True)
+    order = docs.orderBy(id_, F.xxhash64(*[F.col(c) for c in more]) if more else F.lit(0))
+    return Numbered(written(order.withColumn(name, F.monotonically_increasing_id())), name, False)
 
 
-def attached(base: DataFrame, decisions: DataFrame, key: Column, names: list[str]) -> DataFrame:
-    """``base`` with the columns ``names`` of ``decisions``, matched on ``_key`` in one shuffle of ``base``.
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, by: Column) -> DataFrame:
+    """``rows`` inner-joined to ``keyed`` (one row per key, ``count`` rows each), with hot keys spread out.
 
-    ``decisions`` has ``_key`` = ``key`` of the row it was made for and one row per row of
-    ``base``.  Rows that share a key are equal, so they are paired off in any order.
+    A key that more than one row in HOT has is dealt over WAYS tasks by the column ``by``
+    of ``rows``, against as many copies of its row of ``keyed``.  Fewer than HOT keys can
+    be hot, so their list is safe to broadcast.  ``keyed`` should be written; keys are not null.
     """
-    lists = decisions.groupBy("_key").agg(F.collect_list(F.struct(*names)).alias("_all"))
-    left = base.drop(*names).withColumn("_key", key)
-    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))))
-    joined = left.join(lists, "_key").withColumn("_own", F.element_at("_all", F.col("_nth")))
-    return joined.select(*[c for c in base.columns if c not in names], *[F.col("_own")[c].alias(c) for c in names])
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    ways, part = fresh(rows, "_ways"), fresh(rows, "_part")
+    is_hot = F.col(count) * HOT > F.lit(total)
+    hot = F.broadcast(keyed.filter(is_hot).select(*on, F.lit(WAYS).alias(ways)))
+    left = rows.join(hot, on, "left").withColumn(part, F.pmod(F.xxhash64(by), F.coalesce(F.col(ways), F.lit(1))).cast("int"))
+    right = keyed.withColumn(part, F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(WAYS - 1)).otherwise(F.lit(0)))))
+    return left.drop(ways).join(right, [*on, part]).drop(part)

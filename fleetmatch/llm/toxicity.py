@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetmatch.llm import flat
-from fleetmatch.llm.store import table, written
+from fleetmatch.llm.store import fresh, table, written
 
 #: The classifier is fitted on a sample of labelled rows of about this many at most, whatever the corpus.
 SAMPLE = 24_000
@@ -207,19 +207,18 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", bound: int =
     return Model(model.words, model.word_scores, model.heads, model.head_scores, rate, slope, offset)
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score", passages: str = "passages") -> DataFrame:
     """Every row of ``docs`` with ``score`` (0 to 1) and ``passages`` (start, end in words, log of 1/E).
 
-    Null and empty texts have no passage and the score of no evidence.  Columns of these
-    names are replaced.
+    Null and empty texts have no passage and the score of no evidence; texts of any
+    length are scored whole; equal texts score alike.  Columns of these names are replaced.
     """
-    names = "score double, passages array<struct<start:long,end:long,log_inverse_e:double>>"
-    base = docs.drop("score", "passages")
-    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(names).fields])
+    base = docs.drop(score, passages)
+    more = [T.StructField(score, T.DoubleType()), T.StructField(passages, T._parse_datatype_string("array<struct<start:long,end:long,log_inverse_e:double>>"))]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("log_inverse_e", pa.float64())]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch, data, offsets in flat.chunks(batches, text):
             n_words, found = _passages(m, data, offsets)
@@ -229,18 +228,18 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [{"start": a, "end": b, "log_inverse_e": float(e)} for a, b, s in found.get(k, []) if (e := m.rate * s - np.log(n_words[k] + 1.0)) >= -np.log(SIGNIFICANT)]
                 for k in range(batch.num_rows)
             ]
-            yield flat.added(batch, {"score": pa.array(value), "passages": pa.array(spans, kind)})
+            yield flat.added(batch, {score: pa.array(value), passages: pa.array(spans, kind)})
 
-    return base.mapInArrow(score, schema)
+    return base.mapInArrow(apply, T.StructType([*base.schema.fields, *more]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that score below ``limit``."""
-    names = docs.columns
-    return scored(docs, fitted(docs, labels)).filter(F.col("score") < limit).select(*names)
+    """Rows of ``docs`` that score below ``limit``, as they are."""
+    score, passages = fresh(docs, "_score"), fresh(docs, "_passages")
+    return scored(docs, fitted(docs, labels), score=score, passages=passages).filter(F.col(score) < limit).select(*docs.columns)
 
 
 def op7_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

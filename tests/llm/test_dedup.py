@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -52,6 +53,16 @@ def test_near_duplicates_of_given_documents(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_near([t for _, t in docs])
 
 
+def test_near_duplicates_keep_other_kinds_of_ids(spark, corpus):
+    docs = documents(spark, corpus)
+    named = docs.selectExpr("concat('d', lpad(cast(doc_id as string), 4, '0')) as doc_id", "text", "_row")
+    want = {f"d{i:04}": (n, f"d{c:04}", k) for i, (n, c, k) in brute_near(corpus).items()}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(named).collect()} == want
+    twice = near_dedup.near_duplicates(docs.unionByName(docs)).collect()
+    assert len(twice) == 2 * len(corpus)
+    assert {r["doc_id"]: r["component_id"] for r in twice} == {i: c for i, (_, c, _) in brute_near(corpus).items()}
+
+
 def test_one_of_each_with_repeated_and_null_ids(spark, corpus):
     docs = documents(spark, corpus)
     twice = docs.unionByName(docs).unionByName(docs.filter("doc_id = 40").selectExpr("cast(null as long) doc_id", *docs.columns[1:]))
@@ -119,11 +130,35 @@ def test_repeated_words(spark, corpus):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute_words(corpus, 20)
 
 
-def test_fixed_blocks_and_rolling_probes(spark, corpus):
-    got = exact_dedup.without_repeated_words(documents(spark, corpus), spec=exact_dedup.BLOCKS).collect()
+LEAST = repeats.Spec(window=20, gram=5, earlier=True, symbols=repeats.word_symbols, width=8)
+
+
+def test_least_grams_as_anchors_of_words(spark, corpus):
+    got = exact_dedup.without_repeated_words(documents(spark, corpus), spec=LEAST).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute_words(corpus, 20)
 
 
+def test_packed_probes_come_back():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 8, 500):
+        low = np.sort(rng.choice(2**32, n, replace=False)).astype(np.uint32)
+        bits = rng.random((2, n)) < 0.3
+        back = repeats._unpacked(repeats._packed(low, *bits), n)
+        assert (back[0] == low).all() and (back[1] == bits[0]).all() and (back[2] == bits[1]).all()
+
+
+@pytest.mark.parametrize("crowd", [2, 5_000])
+def test_colliding_hashes_do_no_harm(spark, corpus, monkeypatch, crowd):
+    """Contexts and windows whose first hash has two bits: the second tells them apart."""
+    real = repeats.stretches
+    monkeypatch.setattr(exact_dedup, "stretches", lambda *a: real(*a, crowd=crowd))
+    docs = documents(spark, corpus)
+    got = exact_dedup.without_repeated_words(docs, spec=replace(exact_dedup.WORDS, bits=2)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute_words(corpus, 20)
+    got = exact_dedup.without_repeated_bytes(docs, spec=replace(exact_dedup.BYTES, bits=2)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {k: v[1] for k, v in brute_bytes(corpus, 200).items()}
+
+
 def test_crowded_grams_are_counted_exactly(spark, corpus, monkeypatch):
     real = repeats.stretches
     monkeypatch.setattr(exact_dedup, "stretches", lambda *a: real(*a, crowd=2))
@@ -180,8 +215,8 @@ def test_equal_windows_have_equal_anchors():
     spec = repeats.Spec(window=20, gram=5, earlier=False, symbols=repeats.byte_symbols, width=1)
     shared = rng.integers(1, 9, 20).astype(np.uint64)
     text = np.concatenate([rng.integers(1, 9, 37), shared, rng.integers(1, 9, 50), shared, rng.integers(1, 9, 11)]).astype(np.uint64)
-    _, position, gram, *_ = repeats.anchors(text, np.array([0, len(text)]), spec)
-    inside = lambda at: {(p - at, g) for p, g in zip(position.tolist(), gram.tolist(), strict=True) if at <= p <= at + 15}
+    _, position = repeats.anchors(text, np.array([0, len(text)]), spec)
+    inside = lambda at: {p - at for p in position.tolist() if at <= p <= at + 15}
     assert inside(37) & inside(107)
 
 
