@@ -36,6 +36,9 @@ def maximal(turns: DataFrame) -> DataFrame:
     """``conv_id, n_turns, n_copies`` of the conversations that stay.
 
     Null roles and texts equal only nulls.  Rows without conv_id form one conversation.
+    Turns of one number come in order of role and text, and a turn that is there twice is
+    two turns.  Empty texts are turns; long ones are hashed whole.  Other columns play no
+    part, whatever their names; an empty table gives an empty one.
     """
     keys = written(prefix_keys(turns))
     full = keys.filter(F.col("nth") == F.col("n_turns")).groupBy("n_turns", "h1", "h2")

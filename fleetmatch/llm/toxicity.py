@@ -1,12 +1,13 @@
 """Toxic passages as maximum-scoring segments.
 
-Words get log-odds between toxic and clean labelled documents under a Dirichlet
-(here two-class) prior that is centred on the word's first letters, so words that were
-never seen lean on their relatives.  Every other word costs a little.  A linear scan
-finds all maximal scoring segments of a text; a segment's significance follows the
-extreme-value law of such scans, E = n exp(-lambda S), with lambda the root of
-sum_w p(w) exp(lambda s(w)) = 1 over clean text.  The best segment's log E-value is
-calibrated to a probability on labelled rows that the lexicon did not see.
+Every word has log-odds between toxic and clean labelled text, counted in words, under a
+Dirichlet prior (of two classes) that is centred on the word's first letters; a word that
+was never seen has the log-odds of these alone.  Each word costs a constant besides, so
+that clean text falls.  A linear scan finds all maximal scoring segments of a text; a
+segment's significance follows the extreme-value law of such scans, E = n exp(-lambda S),
+with lambda the root of sum_w p(w) exp(lambda s(w)) = 1, where p is the share of a word
+in clean text under the same prior.  The best segment's log E-value is calibrated to a
+probability on labelled rows that the log-odds did not see.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from fleetmatch.llm.store import fresh, table, written
 #: The classifier is fitted on a sample of labelled rows of about this many at most, whatever the corpus.
 SAMPLE = 24_000
 HEAD, HEAD_LEAST = 4, 6  # bytes of a word's head; words shorter than HEAD_LEAST have none
-PRIOR = 2.0  # weight of the prior in documents
-COST = 0.25  # of a word without evidence
+PRIOR, HEAD_PRIOR = 0.5, 20.0  # weight of the prior of a word and of a head, in words
+COST = 3.0  # of every word
 SIGNIFICANT = 1e-3  # E-value of a passage that is reported
 
 
@@ -59,37 +60,31 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _counted(sample: DataFrame, text: str) -> DataFrame:
-    """Documents that hold a word or head: ``kind`` (0 word, 1 head, 2 all words), ``key, toxic, n``."""
+    """Words by class, ``head`` (whether it is a head's count), ``key, of`` (the word's head), ``a`` in toxic and ``b`` in clean text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in flat.chunks(batches, text):
             hashes, heads, at = _tokens(data, offsets)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            for kind, key, of in ((0, hashes.view(np.int64), doc), (1, heads[heads >= 0], doc[heads >= 0])):
-                pair = np.unique(np.stack([of, key]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
-                keys, which = np.unique(np.stack([pair[1], label[pair[0]]]), axis=1, return_inverse=True)
-                n = np.bincount(which.ravel(), minlength=keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind)), pa.array(keys[0]), pa.array(keys[1]), pa.array(n)], names=["kind", "key", "toxic", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(label), 2)), pa.array(np.zeros(len(label), np.int64)), pa.array(label), pa.array(np.diff(at).astype(np.int64))], names=["kind", "key", "toxic", "n"])
+            label = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at))
+            for is_head, key in ((False, hashes.view(np.int64)), (True, heads)):
+                known, first, which = np.unique(key, return_index=True, return_inverse=True)
+                n = [np.bincount(which[label == c], minlength=len(known)) for c in (1, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), is_head)), pa.array(known), pa.array(heads[first]), *map(pa.array, n)], names=["head", "key", "of", "a", "b"])
 
-    rows = sample.select(text, F.col("toxic").cast("long").alias("toxic")).mapInArrow(count, "kind long, key long, toxic long, n long")
-    toxic = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a")
-    clean = F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")
-    return rows.groupBy("kind", "key").agg(toxic, clean)
+    rows = sample.select(text, F.col("toxic").cast("long").alias("toxic")).mapInArrow(count, "head boolean, key long, of long, a long, b long")
+    return rows.groupBy("head", "key").agg(F.max("of").alias("of"), F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def segments(position: np.ndarray, score: np.ndarray, cost: float = COST) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a text whose words cost ``cost`` but at ``position``.
+def segments(position: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score) of a text.
 
-    Linear: each new segment is merged leftwards while that raises its score.
+    Given are the places of its words that score above 0, and the sums of all words'
+    scores ahead of and up to each.  Linear: each new segment is merged leftwards while
+    that raises its score.
     """
     held: list[list[float]] = []  # start, end, sum before, sum after
-    total, last = 0.0, 0
-    for i, s in zip(position.tolist(), score.tolist(), strict=True):
-        total -= cost * (i - last)
-        new = [i, i + 1, total, total + s]
-        total, last = total + s, i + 1
+    for i, low, high in zip(position.tolist(), before.tolist(), after.tolist(), strict=True):
+        new = [i, i + 1, low, high]
         while held:
             j = len(held) - 1
             while j >= 0 and held[j][2] >= new[2]:
@@ -99,26 +94,30 @@ def segments(position: np.ndarray, score: np.ndarray, cost: float = COST) -> lis
             new = [held[j][0], new[1], held[j][2], new[3]]
             del held[j:]
         held.append(new)
-    return [(int(a), int(b), after - before) for a, b, before, after in held]
+    return [(int(a), int(b), high - low) for a, b, low, high in held]
 
 
-def _scores(model: Model, hashes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words with evidence of toxicity, and their scores."""
+def _scores(model: Model, hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Log-odds of every word less its cost."""
     out = np.zeros(len(hashes))
     for known, value, key in ((model.heads, model.head_scores, heads), (model.words, model.word_scores, hashes)):
         if len(known) and len(key):
             k = np.minimum(np.searchsorted(known, key), len(known) - 1)
             out = np.where(known[k] == key, value[k], out)
-    place = np.flatnonzero(out > 0)
-    return place, out[place]
+    return out - COST
 
 
 def _passages(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int, float]]]]:
     hashes, heads, at = _tokens(data, offsets)
-    place, score = _scores(model, hashes, heads)
-    doc = np.searchsorted(at, place, "right") - 1
-    cuts = np.searchsorted(doc, np.arange(len(at)))
-    found = {int(d): segments(place[cuts[d] : cuts[d + 1]] - at[d], score[cuts[d] : cuts[d + 1]]) for d in np.unique(doc)}
+    score = _scores(model, hashes, heads)
+    sums = np.concatenate([[0.0], np.cumsum(score)])
+    place = np.flatnonzero(score > 0)
+    cuts = np.searchsorted(place, at)
+    found = {}
+    for d in np.flatnonzero(np.diff(cuts)).tolist():
+        own = place[cuts[d] : cuts[d + 1]]
+        start = sums[at[d]]
+        found[d] = segments(own - at[d], sums[own] - start, sums[own + 1] - start)
     return np.diff(at), found
 
 
@@ -130,11 +129,15 @@ def _evidence(model: Model, n_words: np.ndarray, found: dict[int, list[tuple[int
     return model.rate * best - np.log(n_words + 1.0)
 
 
-def _root(weights: np.ndarray, scores: np.ndarray, cost: float) -> float:
-    """lambda > 0 with sum of weights * exp(lambda * scores) + rest * exp(-lambda * cost) = 1."""
-    rest = 1.0 - weights.sum()
+def _exact(score: np.ndarray) -> np.ndarray:
+    """To 20 binary places: sums of such scores are exact, so a text scores alike wherever it lies."""
+    return np.round(score * 2.0**20) / 2.0**20
+
+
+def _root(weights: np.ndarray, scores: np.ndarray) -> float:
+    """lambda > 0 with sum of weights * exp(lambda * scores) = 1, for weights that add up to 1 and a mean score below 0."""
+    value = lambda x: float((weights * np.exp(np.minimum(x * scores, 500))).sum())
     low, high = 1e-6, 1.0
-    value = lambda x: float((weights * np.exp(np.minimum(x * scores, 500))).sum() + rest * np.exp(-x * cost))
     while value(high) < 1 and high < 64:
         high *= 2
     for _ in range(80):
@@ -174,27 +177,20 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", bound: int =
     empty = np.zeros(0)
     if not n.get(1) or not n.get(0):
         return Model(empty.astype(np.uint64), empty, empty.astype(np.int64), empty, 1.0, 0.0, -10.0)
-    base = n[1] / (n[0] + n[1])
-    rows = counts.filter("a > 0").toPandas()  # of a bounded sample, the words of its toxic texts
-    clean_words = max(1.0, float(rows.loc[rows.kind == 2, "b"].sum()))
-    heads, words = rows[rows.kind == 1], rows[rows.kind == 0]
-    head_rate = (heads.a + PRIOR * base) / (heads.a + heads.b + PRIOR)
-    odds = np.log(base / (1 - base))
-
-    def log_odds(a, b, centre):
-        return np.log((a + PRIOR * centre) / (b + PRIOR * (1 - centre))) - odds
-
-    head_score = log_odds(heads.a, heads.b, base) - COST
-    use = ((heads.a >= 3) & (head_rate > 0.5)).to_numpy()
-    by_head = (heads.key.to_numpy()[use], head_score.to_numpy()[use])
-    word_score = (log_odds(words.a, words.b, base) - COST).to_numpy()
-    # a word needs two toxic texts, and more of them than clean ones
-    own = ((words.a >= 2) & (words.a > words.b)).to_numpy() & (word_score > 1.0)
-    keys, scores = words.key.to_numpy()[own].view(np.uint64), word_score[own]
-    order, order_h = np.argsort(keys), np.argsort(by_head[0])
-    weights = (words.b.to_numpy()[own] + 0.5) / clean_words
-    rate = _root(np.minimum(weights, 0.5 / max(1, len(weights))), scores, COST) if len(scores) else 1.0
-    model = Model(keys[order], scores[order], by_head[0][order_h], by_head[1][order_h], rate, 1.0, 0.0)
+    rows = counts.toPandas().sort_values(["head", "key"])  # the words of a bounded sample
+    heads, words = rows[rows["head"]], rows[~rows["head"]]
+    toxic, clean = float(words.a.sum()), float(words.b.sum())
+    base = min(max(toxic / max(toxic + clean, 1.0), 1e-6), 1 - 1e-6)
+    odds = lambda p: np.log(p / (1 - p)) - np.log(base / (1 - base))
+    share = ((heads.a + HEAD_PRIOR * base) / (heads.a + heads.b + HEAD_PRIOR)).to_numpy()
+    share[heads.key.to_numpy() < 0] = base  # words without a head
+    of = np.searchsorted(heads.key.to_numpy(), words.of.to_numpy())
+    centre = share[np.minimum(of, len(share) - 1)] if len(share) else np.zeros(0)
+    a, b = words.a.to_numpy() + PRIOR * centre, words.b.to_numpy() + PRIOR * (1 - centre)
+    key, score = words.key.to_numpy().view(np.uint64), odds(a / (a + b))
+    order = np.argsort(key)
+    rate = _root(b / b.sum(), _exact(score) - COST) if len(key) else 1.0
+    model = Model(key[order], _exact(score[order]), heads.key.to_numpy(), _exact(odds(share)), rate, 1.0, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fleetmatch.llm import chat, decontamination, mixing, secrets, sharding, toxicity
 from tests.conftest import SF, assert_same
-from tests.llm.conftest import documents
+from tests.llm.conftest import documents, untouched
 
 KEYWORDS = "password|passwd|secret|token|api_?key"
 
@@ -40,6 +43,10 @@ def test_secrets(spark):
         base = [f"{s['kind']}:{s['start']}:{s['end']}" for s in got[i]["found"] if s["rank"] < 3]
         assert base == brute_spans(text), text
     assert {s["kind"] for r in got.values() for s in r["found"]} >= {"assign", "access", "hex", "pem", "gh"}
+    assert untouched(got.values(), ["found"])
+    for i, text in enumerate(SECRETS):
+        added = [(s["kind"], s["start"], s["end"]) for s in got[i]["found"] if s["rank"] >= 3]
+        assert added == sorted(((r.kind, m.start(), m.end()) for r in secrets.ADDED_RULES for m in re.finditer(r.pattern, text or "") if len(m[0]) >= r.least), key=lambda s: s[1])
     assert secrets.scanned(docs.limit(0)).count() == 0
 
 
@@ -87,9 +94,10 @@ def test_decontamination(spark):
         decontamination.BLOCK_BYTES = limit
         got = decontamination.scanned(docs, bench).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+        assert untouched(got, decontamination.ADDED)
     decontamination.BLOCK_BYTES = 16 << 20
     clean = decontamination.cleaned(docs, bench)
-    assert clean.columns == docs.columns
+    assert clean.columns == docs.columns and untouched(clean.collect())
     kept = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert all(kept[i] == t for i, t in enumerate(texts) if not brute_hits(t, items)[1])
     assert not any(brute_hits(t, items)[1] for t in kept.values())
@@ -106,11 +114,11 @@ def test_segments_against_all_of_them():
     for _ in range(200):
         place = np.sort(rng.choice(60, rng.integers(1, 12), replace=False))
         score = rng.uniform(0.2, 4, len(place))
-        line = np.full(60, -0.7)
+        line = -rng.uniform(0.1, 1.5, 60)
         line[place] = score
         sums = np.concatenate([[0], np.cumsum(line)])
         best = max(sums[b] - sums[a] for a in range(60) for b in range(a + 1, 61))
-        found = toxicity.segments(place, score, 0.7)
+        found = toxicity.segments(place, sums[place], sums[place + 1])
         assert max(s for *_, s in found) == pytest.approx(best)
         assert all(s == pytest.approx(sums[b] - sums[a]) and s > 0 for a, b, s in found)
         assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
@@ -126,6 +134,77 @@ def test_toxicity(spark):
     assert right > 0.96 and auc > 0.93
 
 
+def plain_words(text):
+    return [w.encode() for w in words(text)]
+
+
+def head_of(w):
+    return w[:4] if len(w) >= 6 else None
+
+
+def brute_scores(texts, labels, limit=3.0):
+    """Scores of all texts by plain counting: words and heads by class, lambda by bisection, Newton for the calibration."""
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    count = {1: Counter(), 0: Counter()}
+    heads = {1: Counter(), 0: Counter()}
+    for i, t in labels.items():
+        if crc(i) not in (0, 4):
+            count[t].update(plain_words(texts[i]))
+            heads[t].update(head_of(w) for w in plain_words(texts[i]))
+    a, b = sum(count[1].values()), sum(count[0].values())
+    base = a / (a + b)
+    odds = lambda p: math.log(p / (1 - p)) - math.log(base / (1 - base))
+    share = lambda h: base if h is None else (heads[1][h] + 20 * base) / (heads[1][h] + heads[0][h] + 20)
+
+    def parts(w):
+        c = share(head_of(w))
+        return count[1][w] + 0.5 * c, count[0][w] + 0.5 * (1 - c)
+
+    def score(w):
+        x, y = parts(w)
+        return (odds(x / (x + y)) if w in known else odds(share(head_of(w)))) - limit
+
+    known = set(count[1]) | set(count[0])
+    rest = {w: parts(w)[1] for w in known}
+    whole = sum(rest.values())
+    value = lambda x: sum(r / whole * math.exp(min(x * score(w), 500)) for w, r in rest.items())
+    low, high = 1e-6, 64.0
+    for _ in range(90):
+        low, high = ((low + high) / 2, high) if value((low + high) / 2) < 1 else (low, (low + high) / 2)
+
+    def evidence(text):
+        own, best, run = plain_words(text), 0.0, 0.0
+        for w in own:
+            run = max(0.0, run) + score(w)
+            best = max(best, run)
+        return low * best - math.log(len(own) + 1)
+
+    points = [(evidence(texts[i]), t) for i, t in labels.items() if crc(i) == 4]
+    w = np.zeros(2)
+    x, y = np.array([[e, 1.0] for e, _ in points]), np.array([t for _, t in points], float)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        ridge = np.diag([0.1, 0.01])
+        w += np.clip(np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w), -5, 5)
+    return {i: 1 / (1 + math.exp(-max(-500, min(500, w[0] * evidence(t) + w[1])))) for i, t in texts.items()}
+
+
+def test_toxicity_by_plain_counting(spark):
+    rng = random.Random(4)
+    fine, vile = [f"word{k}ing" for k in range(60)] + ["the", "of", "Été"], ["vilest", "vilely", "scumbag", "rot"]
+    text = lambda bad: " ".join([*(rng.choice(fine) for _ in range(rng.randint(0, 40))), *(rng.choice(vile) for _ in range(6 * bad)), *(rng.choice(fine) for _ in range(9))])
+    labels = {i: int(rng.random() < 0.25) for i in range(2, 300)}
+    texts = {0: None, 1: "", **{i: text(t) for i, t in labels.items()}, 300: "unseen words vileness vile", 301: "the " * 500 + "scumbag rot " * 5}
+    docs = documents(spark, [texts[i] for i in range(302)])
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, toxicity.fitted(docs, known), score="mine").collect()}
+    want = brute_scores(texts, labels)
+    assert max(abs(got[i]["mine"] - want[i]) for i in want) < 1e-4
+    assert untouched(got.values(), ["passages"])
+    kept = toxicity.without_toxic(docs, known).collect()
+    assert untouched(kept) and {r["doc_id"] for r in kept} == {i for i in want if want[i] < 0.5}
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark, [None, "", "fine words here", "vile vile vile", "vile nasty stuff"] + ["good text is fine"] * 30 + ["nasty vile slur"] * 30)
     twice = docs.unionByName(docs)
@@ -153,6 +232,15 @@ def test_chats(spark):
     assert chat.rendered(turns.limit(0)).count() == 0
 
 
+def test_chats_with_ties_and_other_columns(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 0, "user", "b"), (2, 1, "bot", "c"), (2, 1, "bot", "c"), (3, 0, "user", "x" * 100_000), (None, 0, "user", "n"), (None, 0, "user", "n")]
+    turns = spark.createDataFrame([(*r, "mine", "mine") for r in rows], "conv_id long, turn int, role string, text string, nth string, h1 string")
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["chat"]) for r in chat.rendered(turns).collect()}
+    assert set(got) == {2, 3, None}  # turns of one number come by role and text, so 1 is how 2 begins; a turn that is there twice counts twice
+    assert got[2][0] == 4 and got[None][0] == 2
+    assert len(got[3][2]) > 100_000
+
+
 def test_given_chats(spark):
     assert_same(chat.op8_snapshot_collapse(spark, SF), chat.OP8_SQL)
 
@@ -175,10 +263,40 @@ def test_mix_edges(spark):
         assert abs(sum(r["size"] * r["copies"] for r in own) - target) <= max(8, 0.03 * target)
         assert all(0 <= r["copies"] <= 3 for r in own)
     assert sum({r["source"]: r["target"] for r in out}.values()) == pytest.approx(sum(r["size"] for r in out))
-    assert mixing.mix(docs).columns == docs.columns
+    assert untouched(out, mixing.ADDED)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and untouched(mixed.collect())
+    assert untouched(mixing.mix(docs.selectExpr("concat('d', doc_id) as id", "*"), doc_id="id").collect())
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rates_are_the_optimum(spark):
+    """Against a solver of the primal: least relative entropy with the words given and no rate above 3."""
+    rng = np.random.default_rng(5)
+    rows, targets = [], []
+    for source, share in (("a", 0.4), ("b", 1.7), (None, 1.0), ("full", 3.0), ("none", 0.0)):
+        sizes = np.unique(rng.integers(1, 400, 30))
+        n = rng.integers(1, 50, len(sizes))
+        rows += [(source, int(x), int(k)) for x, k in zip(sizes, n, strict=True)] + [(source, 0, 3)]
+        targets.append((source, int(sizes @ n), float(share * (sizes @ n))))
+    histogram = spark.createDataFrame(rows, "source string, size long, n long")
+    found = mixing.newton_multipliers(histogram, spark.createDataFrame(targets[:4], "source string, source_size long, target double"))
+    for r in found.collect():
+        x = np.array([s / r["scale"] for t, s, _ in rows if t == r["source"]])
+        n = np.array([k for t, _, k in rows if t == r["source"]], float)
+        rate = np.minimum(3, np.exp(r["lam"] * x))
+        assert n @ (rate * x) == pytest.approx(r["target"] / r["scale"], rel=1e-9)
+        if 0 < r["target"] < 3 * r["source_size"]:
+            if r["target"] != r["source_size"]:
+                assert len(set(rate.round(9))) > 5  # tilted by document
+            cost = lambda w: float(n @ (w * np.log(np.maximum(w, 1e-300)) - w))
+            for _ in range(300):  # no feasible neighbour is better
+                move = rng.normal(size=len(x)) * 1e-3 * (rate < 3 - 1e-2)
+                move -= (n * x) @ move / ((n * x * (rate < 3 - 1e-2)) @ (n * x)) * (n * x) * (rate < 3 - 1e-2)
+                if (rate + move > 0).all() and (rate + move <= 3).all():
+                    assert cost(rate + move) >= cost(rate) - 1e-9
+
+
 def test_flow_is_cheapest():
     rng = random.Random(2)
     for _ in range(30):
@@ -209,11 +327,44 @@ def test_shards(spark, tmp_path):
     assert all(sorted(s for s, _ in own) == list(range(len(own))) for own in slots.values())
     sizes = [sum(z for _, z in own) for own in slots.values()]
     assert max(sizes) - min(sizes) <= 2 * 408
-    moved = sharding.rewrite_affected(out, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == out.filter(F.col("shard").isin(moved)).count()
+    assert untouched(out.collect(), sharding.ADDED)
+    read = sharding.rewrite_affected(out, str(tmp_path / "shards"))
+    assert sorted(map(repr, read.collect())) == sorted(map(repr, out.collect()))
+    moved = out.filter("old <> shard").selectExpr("explode(array(old, shard)) s").distinct()
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == out.join(moved, out["shard"] == moved["s"]).count()
     assert sharding.resharded(docs.limit(0), sharding.old_shard(F.col("source"))).count() == 0
 
 
+def brute_layout(rows, shards=24):
+    """Shards of rows (id, size, old) by one plain pass down each old shard's layout, and their slots."""
+    supply = [0] * max([shards, *[o + 1 for *_, o in rows]])
+    for _, size, old in rows:
+        supply[old] += size
+    total = sum(supply)
+    wanted = [total // shards + (j < total % shards) for j in range(shards)]
+    flow = sharding.min_cost_flow(supply, wanted)
+    placed = {}
+    for old in range(len(supply)):
+        goes = sorted(((j != old, j, v) for (i, j), v in flow.items() if i == old))
+        ends = list(itertools.accumulate(v for *_, v in goes))
+        at = 0
+        for i, size, _ in sorted((r for r in rows if r[2] == old), key=lambda r: (-int(math.log2(r[1])), -r[1], r[0])):
+            placed[i] = goes[next(k for k, e in enumerate(ends) if at + size // 2 < e)][1]
+            at += size
+    return placed
+
+
+def test_shards_by_a_plain_pass(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.randint(8, 900), rng.choice([3] * 8 + list(range(24)))) for i in range(900)]
+    out = sharding.placements(spark.createDataFrame(rows, "row long, size long, old int")).collect()
+    assert {r["row"]: r["shard"] for r in out} == brute_layout(rows)
+    slots = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+
+
 def test_given_shards(spark):
     rows = sharding.op3_flow_resharding(spark, SF).collect()
     texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
