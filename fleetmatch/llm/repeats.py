@@ -41,8 +41,9 @@ from fleetmatch.llm import flat
 from fleetmatch.llm.store import hot_join, written
 from fleetmatch.llm.suffixes import Text
 
-#: Contexts of one gram that are sorted in one task; grams with more have their windows counted one by one.
-CROWD = 5_000
+#: Symbols in contexts of one gram that are sorted in one task (a symbol takes about 100 bytes there); grams with
+#: more have their windows counted one by one.
+CROWD = 2_000_000
 #: Bytes of text whose grams one bucket holds on average, so a bucket fits in a task's memory whatever the corpus.
 BUCKET_BYTES = 8 << 20
 #: Bits of the running number of a text that are dropped for its chunk's number: 512 texts a chunk.
@@ -347,13 +348,14 @@ def _block_rows(docs: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
     return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(rows, ANCHORS)
 
 
-def stretches(docs: DataFrame, spec: Spec, row: str, text: str, crowd: int = CROWD) -> DataFrame:
+def stretches(docs: DataFrame, spec: Spec, row: str, text: str, crowd: int | None = None) -> DataFrame:
     """``row, parts``: repeated stretches (start, end) in symbols, unmerged; rows without any are left out.
 
     Grams and contexts are counted by grouped aggregates, which combine ahead of the
     shuffle, and joined back with hot ones spread, so a gram that a third of all rows
-    hold is never gathered.
+    hold is never gathered.  Grams with more than ``crowd`` contexts are those of CROWD symbols.
     """
+    crowd = CROWD // (2 * spec.window - spec.gram) if crowd is None else crowd
     anchored = written(_block_rows(docs, spec, row, text)) if spec.blocks else _anchor_rows(docs, spec, row, text)
     several = F.min(F.struct("context", "check")) != F.max(F.struct("context", "check"))
     grams = written(anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), several.alias("several")).filter("n > 1"))
@@ -393,8 +395,9 @@ def _counted(contexts: DataFrame, spec: Spec) -> DataFrame:
             symbols = data.astype(np.uint64) + np.uint64(1) if spec.width == 1 else np.frombuffer(data.tobytes(), np.uint64)
             offsets = offsets // spec.width
             at = batch.column("at").to_numpy()
-            low = (at >> 32) - (at >> 16 & 0xFFFF)
-            n = np.maximum(np.diff(offsets) - spec.window + 1, 0)
+            left = at >> 16 & 0xFFFF
+            low = (at >> 32) - left
+            n = np.maximum(np.minimum(np.diff(offsets) - spec.window, left) + 1, 0)  # those that hold the gram: the others have anchors of their own
             which = np.repeat(np.arange(len(n)), n)
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             start = offsets[which] + step
@@ -402,7 +405,7 @@ def _counted(contexts: DataFrame, spec: Spec) -> DataFrame:
             checks = flat.range_hashes(flat.second_hashes(symbols), start, start + spec.window, flat.SECOND)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(checks.view(np.int64)), batch.column("row").take(pa.array(which)), pa.array(low[which] + step)], names=["key", "check", "row", "start"])
 
-    every = written(contexts.mapInArrow(windows, "key long, check long, row long, start long").distinct())
+    every = written(contexts.mapInArrow(windows, "key long, check long, row long, start long").distinct())  # a window can hold two such grams
     counts = written(every.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start")).alias("first")).filter("n > 1"))
     again = hot_join(every, counts, ["key", "check"], "n", F.xxhash64("row", "start"))
     if spec.earlier:
