@@ -185,7 +185,7 @@ def solved(group: np.ndarray, row: np.ndarray, at: np.ndarray, blobs: pa.Array,
     return row[which], position[which] - (last - 1), position[which] - first + spec.window
 
 
-def _solve(contexts: DataFrame, spec: Spec, rows: int = 6_000) -> DataFrame:
+def _solve(contexts: DataFrame, spec: Spec, rows: int = 3_000) -> DataFrame:
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
