@@ -177,7 +177,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", bound: int =
     empty = np.zeros(0)
     if not n.get(1) or not n.get(0):
         return Model(empty.astype(np.uint64), empty, empty.astype(np.int64), empty, 1.0, 0.0, -10.0)
-    rows = counts.toPandas().sort_values(["head", "key"])  # the words of a bounded sample
+    rows = counts.toArrow().to_pandas().sort_values(["head", "key"])  # the words of a bounded sample
     heads, words = rows[rows["head"]], rows[~rows["head"]]
     toxic, clean = float(words.a.sum()), float(words.b.sum())
     base = min(max(toxic / max(toxic + clean, 1.0), 1e-6), 1 - 1e-6)
@@ -198,7 +198,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", bound: int =
             x = _evidence(shared.value, *_passages(shared.value, data, offsets))
             yield pa.RecordBatch.from_arrays([pa.array(x), batch.column("toxic").cast(pa.float64())], names=["x", "y"])
 
-    points = sample.filter("calibrates").select(text, "toxic").mapInArrow(weigh, "x double, y double").toPandas()  # bounded
+    points = sample.filter("calibrates").select(text, "toxic").mapInArrow(weigh, "x double, y double").toArrow().to_pandas()  # bounded
     slope, offset = _logistic(points.x.to_numpy(), points.y.to_numpy()) if points.y.nunique() == 2 else (1.0, 0.0)
     return Model(model.words, model.word_scores, model.heads, model.head_scores, rate, slope, offset)
 
