@@ -1,32 +1,34 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within them.
 
-Equal vectors of a label are one weighted vector from here on.  Labels too large for
-one cell get centroids, trained on a bounded sample.  A vector lies in the cell of its
-nearest centroid and visits every other cell that a vector within the cosine limit of it
-could lie in: those whose bisecting plane is no farther than the largest chord that the
-limit allows.  So no pair is missed, whatever the centroids.  Within a cell visitors and
-members are compared with members, block against block, as matrix products.
+Equal vectors of a label are one weighted vector from here on.  A label's vectors are split
+into cells by spherical k-means, and large cells again, until they have about CELL members.
+Centroids are trained cell by cell in tasks, each on a bounded sample of the cell.  A vector
+lies in the cell of its nearest centroid and visits every other cell that a vector within the
+cosine limit of it could lie in: those whose bisecting plane is no farther than the largest
+chord that the limit allows.  So no pair is missed, whatever the centroids.  A cell that
+would not be split to advantage, as most of its vectors would visit most parts, stays whole.
+Within a cell visitors and members are compared with members, block against block, as matrix
+products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetmatch.llm.components import components
-from fleetmatch.llm.store import table, written
+from fleetmatch.llm.store import hot_join, numbered, table, written
 
 COSINE = 0.98
-#: Wanted members of a cell; at most this many cells in all, so the centroids stay small enough to share.
-CELL, MAX_CELLS = 2048, 4096
-#: k-means is fitted on about this many vectors at most; every vector is indexed.
-SAMPLE = 40_000
-BLOCK = 1024
+#: Members of a cell that is not split; the most parts of one split, and the least.
+CELL, FAN, LEAST = 2048, 64, 4
+#: k-means of a cell is fitted on about this many of its vectors a part at most; every vector is indexed.
+SAMPLE = 64
+#: Bytes of vectors in one side of a block pair, or in one task that splits.
+BLOCK_BYTES = 8 << 20
+PLACE = ["label", "d", "cell"]
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -53,55 +55,78 @@ def _units(vectors: DataFrame, id_: str, embedding: str, label: str) -> DataFram
     return rows.withColumn("norm", norm).select("id", "label", F.transform("v", lambda v: v / F.col("norm")).alias("unit"))
 
 
-def _centroids(distinct: DataFrame, sizes: dict, total: int) -> dict:
-    """Centroids by (label, dimensions) for those with more than one cell's vectors."""
-    cell = max(CELL, total / MAX_CELLS)
-    large = {k: int(np.ceil(n / cell)) for k, n in sizes.items() if n > cell}
-    if not large:
-        return {}
-    share = F.lit(min(1.0, SAMPLE / total) * 1_000_000)
-    some = distinct.filter(F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < share).select("label", "unit").toPandas()  # bounded
-    out = {}
-    for (label, d), part in some.assign(d=some.unit.map(len)).groupby(["label", "d"]):
-        k = min(large.get((label, d), 1), len(part))
-        if k > 1:
-            rows = np.stack(part.unit.to_numpy())
-            out[label, d] = k_means(rows[np.lexsort(rows.T[:2])], k)
-    return out
-
-
-def _placed(distinct: DataFrame, centroids: dict, cosine: float) -> DataFrame:
-    """One row per vector and cell: ``label, cell, home, head, weight, unit``."""
-    shared = distinct.sparkSession.sparkContext.broadcast(centroids)
-    chord = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension as rows."""
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _visited(x: np.ndarray, centre: np.ndarray, chord: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest centroid, and which cells it visits (its own included)."""
+    near = x @ centre.T
+    own = np.argmax(near, axis=1)
+    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (centre @ centre.T)))
+    return own, near[np.arange(len(x)), own][:, None] - near <= chord * apart[own] + 1e-12
+
+
+def _centroids(rows: DataFrame, large: DataFrame, chord: float) -> DataFrame:
+    """PLACE, ``n, k, centre`` (flat) of the cells in ``large`` that are split to advantage."""
+    k = F.least(F.lit(FAN), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / F.lit(CELL)))).cast("int")
+    wanted = large.withColumn("k", k)
+    chance = F.lit(2**31 - 1) * F.least(F.lit(1.0), F.col("k") * SAMPLE / F.col("n"))
+    some = rows.join(wanted, PLACE).filter(F.pmod(F.xxhash64("unit", "cell"), F.lit(2**31 - 1)) < chance).select(*PLACE, "n", "k", "head", "unit")
+
+    def train(part: pa.Table) -> pa.Table:
+        part = part.sort_by("head")
+        x, k = _matrix(part.column("unit")), part.column("k")[0].as_py()
+        kept = part.slice(0, 1).select([*PLACE, "n", "k"])
+        if len(x) >= k:
+            centre = k_means(x, k)
+            if _visited(x, centre, chord)[1].mean() < 0.5:
+                return kept.append_column("centre", pa.array([centre.ravel()], pa.list_(pa.float64())))
+        return kept.slice(0, 0).append_column("centre", pa.array([], pa.list_(pa.float64())))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, units = batch.column("label").to_pylist(), batch.column("unit")
-            sizes = np.diff(units.offsets.to_numpy())
-            rows, cells, homes = [], [], []
-            keys: dict = {}
-            for k, (label, d) in enumerate(zip(labels, sizes.tolist(), strict=True)):
-                keys.setdefault((label, d), []).append(k)
-            for key, at in keys.items():
-                index, centre = np.array(at), shared.value.get(key)
-                if centre is None:
-                    rows.append(index), cells.append(np.zeros(len(index), np.int64)), homes.append(np.ones(len(index), bool))
-                    continue
-                x = units.take(pa.array(index)).flatten().to_numpy().reshape(len(index), -1)
-                near = x @ centre.T
-                own = np.argmax(near, axis=1)
-                apart = np.linalg.norm(centre[:, None, :] - centre[None, :, :], axis=2)
-                visits = near[np.arange(len(x)), own][:, None] - near <= chord * apart[own]
-                r, c = np.nonzero(visits)
-                rows.append(index[r]), cells.append(c), homes.append(c == own[r])
-            if rows:
-                order = np.concatenate(rows)
-                columns = [batch.column(n).take(pa.array(order)) for n in ("label", "head", "weight", "unit")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(cells)), pa.array(np.concatenate(homes))], names=["label", "head", "weight", "unit", "cell", "home"])
+    kind = dict(rows.dtypes)["label"]
+    return some.groupBy(*PLACE).applyInArrow(train, f"label {kind}, d int, cell long, n long, k int, centre array<double>")
 
+
+def _celled(distinct: DataFrame, cosine: float) -> DataFrame:
+    """One row per vector and cell: PLACE, ``home, head, weight, unit``."""
+    chord = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
     kind = dict(distinct.dtypes)["label"]
-    return distinct.select("label", "head", "weight", "unit").mapInArrow(place, f"label {kind}, head long, weight long, unit array<double>, cell long, home boolean")
+    columns = [*PLACE, "home", "head", "weight", "unit"]
+    open_ = distinct.select("label", F.size("unit").alias("d"), F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "head", "weight", "unit")
+    done = None
+    for _ in range(10):  # a cell's number has room for as many levels; what is left then stays whole
+        sizes = open_.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+        large = written(sizes)
+        if not large.limit(1).count():
+            break
+        centres = written(_centroids(open_, large, chord))
+        rest = open_.join(centres.select(*PLACE), PLACE, "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        if not centres.limit(1).count():
+            return done
+        blocks = F.ceil(F.col("n") * F.col("d") * 8 / F.lit(BLOCK_BYTES)).cast("long")
+        dealt = centres.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        rows = open_.join(centres.select(*PLACE, blocks.alias("blocks")), PLACE)
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks"))).select(*columns, "block")
+
+        def split(key: tuple, part: pa.Table, centre: pa.Table) -> pa.Table:
+            if not part.num_rows or not centre.num_rows:
+                return part.slice(0, 0).select(columns)
+            x = _matrix(part.column("unit"))
+            own, visits = _visited(x, centre.column("centre")[0].values.to_numpy().reshape(centre.column("k")[0].as_py(), -1), chord)
+            r, c = np.nonzero(visits)
+            out = part.take(pa.array(r)).select(columns)
+            cell = part.column("cell").to_numpy()[r] * FAN + c + 1
+            home = part.column("home").to_numpy(zero_copy_only=False)[r] & (c == own[r])
+            return out.set_column(2, "cell", pa.array(cell)).set_column(3, "home", pa.array(home))
+
+        both = rows.groupBy(*PLACE, "block").cogroup(dealt.groupBy(*PLACE, "block"))
+        open_ = written(both.applyInArrow(split, f"label {kind}, d int, cell long, home boolean, head long, weight long, unit array<double>"))
+    return open_ if done is None else done.unionByName(open_)
 
 
 def linked(vectors: DataFrame, id_: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -110,50 +135,69 @@ def linked(vectors: DataFrame, id_: str = "vec_id", embedding: str = "embedding"
     Vectors of one label are linked at a cosine of ``cosine`` or more, in double
     precision.  Null, empty and zero vectors, null labels and vectors with null, NaN or
     infinite components have no links; vectors of different dimensions don't link.
-    Of rows that share an id, links count for each; a null id has none.
+    Rows that share an id or have none are vectors of their own; a component's id is that of
+    its first row, by id (nulls first).  Equal vectors link as often as they are there.
+    Other columns play no part; an empty table gives an empty one.
     """
-    units = written(_units(vectors.filter(F.col(id_).isNotNull()), id_, embedding, label))
+    every, row, is_id = numbered(vectors, id_, embedding)
+    units = written(_units(every, row, embedding, label))
     distinct = written(units.groupBy("label", "unit").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("weight")))
-    counts = distinct.groupBy("label", F.size("unit").alias("d")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL).collect()
-    total = distinct.count()
-    sizes = {(r["label"], r["d"]): r["n"] for r in counts}  # fewer than total / CELL rows
-    placed = written(_placed(distinct, _centroids(distinct, sizes, total), cosine).withColumn("d", F.size("unit")))
-    cell = ["label", "d", "cell"]
+    placed = written(_celled(distinct, cosine))
     # blocks of members and of visitors; every pair of a block of one and a block of the other is a task's group
-    blocks = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("all"), F.ceil(F.sum(F.col("home").cast("int")) / F.lit(BLOCK)).cast("int").alias("members"))
-    rows = placed.join(blocks, cell).filter("members > 0")
+    rows_a_block = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (F.col("d") * 8)))
+    blocks = placed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("own")).filter("own > 0")
+    blocks = written(blocks.select(*PLACE, F.ceil(F.col("n") / rows_a_block).cast("int").alias("all"), F.ceil(F.col("own") / rows_a_block).cast("int").alias("members")))
+    rows = placed.join(blocks, PLACE)
     rows = rows.withColumn("x", F.pmod(F.xxhash64("head", F.lit(1)), F.col("all"))).withColumn("y", F.pmod(F.xxhash64("head", F.lit(2)), F.col("members")))
     asking = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("members").cast("long") - 1))).withColumn("asks", F.lit(True))
     asked = rows.filter("home").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("all").cast("long") - 1))).withColumn("asks", F.lit(False))
-    columns = [*cell, "x", "y", "asks", "head", "weight", "unit"]
+    columns = [*PLACE, "x", "y", "asks", "head", "weight", "unit"]
     dealt = asking.select(*columns).unionByName(asked.select(*columns))
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = part[part.asks], part[~part.asks]
-        if a.empty or b.empty:
-            return pd.DataFrame({"head": [], "links": [], "low": []}).astype("int64")
-        near = np.stack(a.unit.to_numpy()) @ np.stack(b.unit.to_numpy()).T >= cosine
-        heads, ids = a["head"].to_numpy(), b["head"].to_numpy()
-        near &= heads[:, None] != ids[None, :]
-        links = near @ b.weight.to_numpy()
-        hit = np.flatnonzero(links)
-        low = np.where(near[hit], ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-        out = pd.DataFrame({"head": heads[hit], "links": links[hit], "low": low})
-        return pd.concat([out, _chained(near, heads, ids)]) if len(hit) else out
-
-    found = written(dealt.groupBy(*cell, "x", "y").applyInPandas(compare, "head long, links long, low long"))
+    def compare(part: pa.Table) -> pa.Table:
+        asks = part.column("asks").to_numpy(zero_copy_only=False)
+        a, b = part.filter(pa.array(asks)), part.filter(pa.array(~asks))
+        if not a.num_rows or not b.num_rows:
+            return LINKS.empty_table()
+        x, y = _matrix(a.column("unit")), _matrix(b.column("unit"))
+        heads, ids, weight = a.column("head").to_numpy(), b.column("head").to_numpy(), b.column("weight").to_numpy()
+        step, out = max(1, (4 << 20) // len(ids)), [LINKS.empty_table()]
+        for k in range(0, len(heads), step):
+            own = heads[k : k + step]
+            near = (x[k : k + step] @ y.T >= cosine) & (own[:, None] != ids[None, :])
+            links = near @ weight
+            hit = np.flatnonzero(links)
+            if len(hit):
+                low = np.where(near[hit], ids[None, :], np.iinfo(np.int64).max).min(axis=1)
+                out += [_table(own[hit], links[hit], low), _chained(near, own, ids)]
+        return pa.concat_tables(out)
+
+    found = written(dealt.groupBy(*PLACE, "x", "y").applyInArrow(compare, "head long, links long, low long"))
     groups = components(found.select(F.col("head").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("head").agg(F.sum("links").alias("links"))
     per_head = distinct.select("label", "unit", "head", "weight").join(links, "head", "left").join(groups.withColumnRenamed("node", "head"), "head", "left")
     per_head = per_head.select("head", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
     own = units.join(distinct.select("label", "unit", "head"), ["label", "unit"]).select(F.col("id").alias("_id"), "head")
-    known = own.join(per_head, "head").select("_id", "n_links", "component_id").dropDuplicates(["_id"])
-    out = vectors.select(F.col(id_).alias("_v")).join(known, F.col("_v") == F.col("_id"), "left")
-    component = F.coalesce(F.col("component_id"), F.col("_v"))
-    return out.select(F.col("_v").alias(id_), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("_v") == component, F.lit(True)).alias("kept"))
+    known = own.join(per_head, "head").select("_id", "n_links", "component_id")
+    out = every.select(F.col(row).alias("row"), F.col(id_).alias("own")).join(known, F.col("row") == F.col("_id"), "left")
+    out = out.select("row", "own", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "row").cast("long").alias("component"))
+    kept = (F.col("row") == F.col("component")).alias("kept")
+    if is_id:
+        return out.select(F.col("own").alias(id_), "n_links", F.col("component").alias("component_id"), kept)
+    out = written(out)
+    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    heads = written(sizes.join(out.select(F.col("row").alias("component"), F.col("own").alias("component_id")), "component"))
+    return hot_join(out, heads, ["component"], "n", F.col("row")).select(F.col("own").alias(id_), "n_links", "component_id", kept)
+
+
+LINKS = pa.schema([("head", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
+
+
+def _table(head: np.ndarray, links: np.ndarray, low: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(c.astype(np.int64)) for c in (head, links, low)], schema=LINKS)
 
 
-def _chained(near: np.ndarray, heads: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+def _chained(near: np.ndarray, heads: np.ndarray, ids: np.ndarray) -> pa.Table:
     """Edges, without links, that join all neighbours of a row: to the first row that has that neighbour."""
     rows, columns = np.nonzero(near)
     first = np.full(len(ids), -1)
@@ -161,8 +205,8 @@ def _chained(near: np.ndarray, heads: np.ndarray, ids: np.ndarray) -> pd.DataFra
     to = heads[first[columns]]
     pair = np.unique(np.stack([heads[rows], to]), axis=1)
     used = np.flatnonzero(first >= 0)
-    low = np.concatenate([pair[1], heads[first[used]]])
-    return pd.DataFrame({"head": np.concatenate([pair[0], ids[used]]), "links": 0, "low": low})
+    head, low = np.concatenate([pair[0], ids[used]]), np.concatenate([pair[1], heads[first[used]]])
+    return _table(head, np.zeros(len(head)), low)
 
 
 def op2_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,7 +240,7 @@ def usable(v):
 @pytest.mark.parametrize("cell", [10_000, 12])
 def test_vectors(spark, monkeypatch, cell):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 7 * 8 * 8)
     rng = np.random.default_rng(4)
     rows = []
     for k in range(30):
@@ -255,5 +255,14 @@ def test_vectors(spark, monkeypatch, cell):
     assert embedding_dedup.linked(frame.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (None, [1.0, 0.0])]
+    frame = spark.createDataFrame([(i, v, 0, "mine", "mine") for i, v in rows], "vec_id long, embedding array<float>, label int, unit string, head string")
+    got = embedding_dedup.linked(frame).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] == 2) == [(2, 0, 2, True)]
+    linked = [r for r in got if r["vec_id"] != 2]  # all four are alike
+    assert [r["n_links"] for r in linked] == [3] * 4 and sum(r["kept"] for r in linked) == 1 and {r["component_id"] for r in linked} == {None}
+
+
 def test_given_vectors(spark):
     assert_same(embedding_dedup.op2_spherical_cells(spark, SF), embedding_dedup.OP2_SQL)
