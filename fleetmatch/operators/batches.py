@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetmatch.operators.ranks import with_place, with_previous
+
 
 def dedupe_inbox(events: DataFrame, inbox: DataFrame, consumer: str) -> tuple[DataFrame, DataFrame]:
     """Events new to the consumer (first by shard, offset), and the inbox rows they add."""
@@ -18,9 +20,9 @@ def dedupe_inbox(events: DataFrame, inbox: DataFrame, consumer: str) -> tuple[Da
 
 def validate_batches(records: DataFrame, owned: DataFrame) -> DataFrame:
     """Violations ``shard_id, offset_value, error``: empty ids, shards not owned, other shards in the event, gaps."""
-    gap = F.col("offset_value") - F.lag("offset_value").over(Window.partitionBy("shard_id").orderBy("offset_value"))
+    gap = F.col("offset_value") - F.col("_previous")
     mine = owned.select("shard_id", F.lit(True).alias("_owned"))
-    checked = records.withColumn("_gap", gap).join(mine, "shard_id", "left")
+    checked = with_previous(records, ["shard_id"], "offset_value", "_previous").withColumn("_gap", gap).join(mine, "shard_id", "left")
     error = (
         F.when(F.coalesce("event_id", F.lit("")) == "", "empty event id")
         .when(F.col("_owned").isNull(), "shard not owned")
@@ -32,5 +34,5 @@ def validate_batches(records: DataFrame, owned: DataFrame) -> DataFrame:
 
 def micro_batches(records: DataFrame, size: int = 100) -> DataFrame:
     """Adds ``batch_no``: consecutive records of a shard in batches of at most ``size``."""
-    nth = F.row_number().over(Window.partitionBy("shard_id").orderBy("offset_value")) - 1
-    return records.withColumn("batch_no", F.floor(nth / size).cast("long"))
+    placed = with_place(records, ["shard_id"], "offset_value", "_nth")
+    return placed.withColumn("batch_no", F.floor((F.col("_nth") - 1) / size).cast("long")).drop("_nth")

@@ -24,9 +24,10 @@ def claimable(now: int) -> Column:
     return F.col("published_at").isNull() & (F.col("claimed_until") < now)
 
 
-def claim_outbox(outbox: DataFrame, worker: str, now: int, lease: int = 30, n: int = 100) -> DataFrame:
-    """The ``n`` oldest claimable rows (by occurred_at, event_id) as claimed by ``worker``."""
-    oldest = outbox.filter(claimable(now)).orderBy("occurred_at", "event_id").limit(n)
+def claim_outbox(outbox: DataFrame, worker: str, now: int, lease: int = 30, n: int | None = 100) -> DataFrame:
+    """The ``n`` oldest claimable rows (by occurred_at, event_id; None: all) as claimed by ``worker``."""
+    oldest = outbox.filter(claimable(now))
+    oldest = oldest if n is None else oldest.orderBy("occurred_at", "event_id").limit(n)
     return oldest.withColumns({"claimed_by": F.lit(worker), "claimed_until": F.lit(now + lease).cast("long"), "attempts": F.col("attempts") + 1})
 
 

@@ -10,6 +10,8 @@ from fleetmatch.operators import candidates as C
 from fleetmatch.operators import placement as P
 from fleetmatch.plans.catalog import query
 from fleetmatch.sources.fixtures import Inputs
+from fleetmatch.sources.shards import read_shards, remove_shard, replace_shard, write_shards
+from fleetmatch.sources.tables import scratch, written
 
 RING_CELL = 2000
 SIZE = "SELECT CAST(trunc(least(greatest(100000 / sqrt(count(*) / 20.0), 1), 100000)) AS BIGINT) AS s FROM riders"
@@ -54,6 +56,19 @@ def riders_by_shard(fx: Inputs) -> DataFrame:
     return S.with_shard(fx("riders"), layout(fx)).groupBy("home_shard").agg(F.count(F.lit(1)).alias("riders"), F.count_if("online").alias("online"), F.sum("uid").alias("uid_sum"))
 
 
+@query("g7_replace_shards", f"""WITH {LAYOUT}, p AS (SELECT uid, online, {SHARD.format(x='x', y='y')} AS home_shard FROM riders, layout), e AS (SELECT min(home_shard) AS low, max(home_shard) AS high FROM p)
+SELECT uid, home_shard, online AND home_shard <> low AS online FROM p, e WHERE home_shard <> high AND (home_shard <> low OR uid % 2 = 0)""")
+def replace_shards(fx: Inputs) -> DataFrame:
+    """The first shard's riders replaced by its even ones, gone offline; the last shard removed."""
+    lay, path = layout(fx), scratch(fx.spark, "riders")
+    write_shards(fx("riders"), lay, path)
+    ends = read_shards(fx.spark, path).agg(F.min("home_shard").alias("low"), F.max("home_shard").alias("high")).first()
+    new = read_shards(fx.spark, path, ends["low"]).filter("uid % 2 = 0").withColumn("online", F.lit(False))
+    replace_shard(written(new), path, ends["low"])
+    remove_shard(fx.spark, path, ends["high"])
+    return read_shards(fx.spark, path).select("uid", "home_shard", "online")
+
+
 # pairs of orders and riders in the nine cells around, by plain arithmetic on cells
 PAIR = """SELECT o.order_id, o.x, o.y, r.uid AS rider_id, r.x AS rx, r.y AS ry, r.count AS load, greatest(abs(o.x // 2000 - r.x // 2000), abs(o.y // 2000 - r.y // 2000)) AS ring
   FROM match_orders o JOIN riders r ON r.online AND greatest(abs(o.x // 2000 - r.x // 2000), abs(o.y // 2000 - r.y // 2000)) <= 3"""
@@ -145,6 +160,21 @@ def placement_diff(fx: Inputs) -> DataFrame:
     return P.placement_diff(fx("keyed"), fx("nodes"), hash_expr=P.md5_prefix)
 
 
+# every proposal that goes wrong in some way: unknown, equal and dead nodes, other owners, keys without one
+PROPOSED = """SELECT CASE WHEN key % 101 = 0 THEN -key ELSE key END AS key, CASE WHEN key % 5 = 0 THEN 'node-' || CAST(key % 7 AS STRING) WHEN key % 103 = 0 THEN '' ELSE coalesce(node, 'node-0') END AS from_node,
+  CASE WHEN key % 107 = 0 THEN NULL ELSE 'node-' || CAST(key % 8 AS STRING) END AS to_node FROM keyed"""
+
+
+@query("j8_validate_moves", f"""WITH m AS ({PROPOSED})
+SELECT m.key, from_node, to_node, CASE WHEN m.key < 0 THEN 'bad key' WHEN from_node = '' THEN 'no source node' WHEN coalesce(to_node, '') = '' THEN 'no target node' WHEN from_node = to_node THEN 'target is the source'
+  WHEN from_node NOT IN (SELECT node FROM nodes) THEN 'source node is not alive' WHEN to_node NOT IN (SELECT node FROM nodes) THEN 'target node is not alive'
+  WHEN k.node IS NULL THEN 'key has no owner' WHEN k.node <> from_node THEN 'source is not the owner' ELSE 'good' END AS result FROM m LEFT JOIN keyed k ON k.key = m.key""".replace("AS STRING", "AS VARCHAR"))
+def validate_moves(fx: Inputs) -> DataFrame:
+    keyed = fx("keyed")
+    good, bad = P.validate_moves(fx.spark.sql(PROPOSED.replace("FROM keyed", "FROM {k}"), k=keyed), keyed, fx("nodes"))
+    return good.withColumn("result", F.lit("good")).unionByName(bad.withColumnRenamed("error", "result")).select("key", "from_node", "to_node", "result")
+
+
 @query("a8_placement_balance", """WITH o AS (SELECT node, count(*) AS owned FROM keyed WHERE node IS NOT NULL GROUP BY node), t AS (SELECT count(DISTINCT key) AS d FROM keyed WHERE node IS NOT NULL AND key BETWEEN 0 AND 99999)
 SELECT n.node, coalesce(owned, 0) AS owned, d AS distinct_owned, greatest(0, 100000 - d) AS without_owner, (SELECT count(*) FROM nodes) AS alive FROM nodes n LEFT JOIN o ON o.node = n.node, t""")
 def placement_balance(fx: Inputs) -> DataFrame:

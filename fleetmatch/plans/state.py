@@ -125,6 +125,30 @@ def match_summary(fx: Inputs) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("orders"), F.count("rider_id").alias("matched"))
 
 
+REQUESTS = """SELECT event_id, order_id, shard_id, offset_value, occurred_at, x, y FROM lifecycle_dup"""
+CHECKED = f"""WITH q AS ({REQUESTS}), n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY shard_id, offset_value) AS k, event_id IN (SELECT event_id FROM inbox WHERE consumer_name = 'matcher-worker') AS known FROM q),
+s AS (SELECT n.*, CASE o.status WHEN 'match_pending' THEN 1 ELSE 0 END AS pending, o.order_id IS NULL AS lost, k > 1 OR known AS seen FROM n LEFT JOIN (SELECT * FROM order_status WHERE order_id % 11 <> 0) o ON o.order_id = n.order_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY order_id, seen ORDER BY shard_id, offset_value) AS turn FROM s)
+SELECT event_id, offset_value, CASE WHEN seen THEN 'seen' WHEN lost THEN 'missing' WHEN pending = 0 OR turn > 1 THEN 'not pending' ELSE 'match' END AS decision FROM r"""
+
+
+@query("f13_check_requests", CHECKED)
+def check_requests(fx: Inputs) -> DataFrame:
+    asked = fx("lifecycle_dup").select("event_id", "order_id", "shard_id", "offset_value")
+    return M.check_requests(asked, fx("order_status").filter("order_id % 11 <> 0"), fx("inbox"), "matcher-worker").select("event_id", "offset_value", "decision")
+
+
+# every supplier has room for three and sees all orders, so what is missed at first is missed again in both retries
+@query("f14_retry_summary", """WITH m AS (SELECT count(*) AS n, least(count(*), (SELECT 3 * count(*) FROM riders_small)) AS hit FROM match_orders)
+SELECT 'matched' AS status, CAST(0 AS INT) AS attempt, CAST(hit AS BIGINT) AS orders FROM m WHERE hit > 0 UNION ALL SELECT 'missed', 2, CAST(n - hit AS BIGINT) FROM m WHERE n > hit""")
+def retry_summary(fx: Inputs) -> DataFrame:
+    from fleetmatch.functions.spatial import Layout, default_cell_size
+
+    riders = fx("riders_small")
+    out = M.retry_missed(fx("match_orders"), riders, Layout(cell=default_cell_size(riders.count())), 2)
+    return out.groupBy("status", "attempt").agg(F.count(F.lit(1)).alias("orders"))
+
+
 @query("f14_retry_missed")
 def retry_missed(fx: Inputs) -> DataFrame:
     return M.retry_missed(fx("match_orders"), _all_riders(fx), layout(fx), 2)

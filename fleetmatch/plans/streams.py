@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fleetmatch import schemas
 from fleetmatch.operators.matching import OUTCOME
 from fleetmatch.plans.catalog import query
+from fleetmatch.plans.events import NOW
+from fleetmatch.plans.reports import INCREASE
 from fleetmatch.plans.spatial import layout, online
 from fleetmatch.plans.state import ONCE, RIDERS, folded
 from fleetmatch.sources.event_log import tail_event_log
@@ -16,12 +18,19 @@ from fleetmatch.sources.tables import scratch
 from fleetmatch.streaming import streams as S
 
 
-def arrivals(fx: Inputs, rows: DataFrame, parts: list[str]) -> DataFrame:
-    """``rows`` as a stream that gets the rows of one condition after the other."""
+#: Files that each step of arrivals is written to, side by side.
+FILES = 4
+
+
+KNOWN = [schemas.MATCH_REQUESTS, schemas.ORDER_EVENTS]
+
+
+def arrivals(fx: Inputs, rows: DataFrame, parts: list[str], *key: str) -> DataFrame:
+    """``rows`` as a stream that gets the rows of one condition after the other; rows of a ``key`` lie in one file."""
     path = scratch(fx.spark, "arrivals")
     for condition in parts:
-        rows.filter(condition).coalesce(1).write.mode("append").parquet(path)
-    return tail_event_log(fx.spark, path, "parquet", rows.schema, maxFilesPerTrigger="1")
+        rows.filter(condition).repartition(FILES, *key).write.mode("append").parquet(path)
+    return tail_event_log(fx.spark, path, "parquet", rows.schema, maxFilesPerTrigger=str(FILES))
 
 
 def changes(fx: Inputs, stream: DataFrame, mode: str = "update") -> DataFrame:
@@ -46,13 +55,39 @@ def halves(fx: Inputs, name: str, column: str) -> tuple[DataFrame, list[str]]:
 def stream_order_state(fx: Inputs) -> DataFrame:
     rows, parts = halves(fx, "lifecycle_dup", "seq")
     again = [f"({p}) and offset_value {sign} 1000000" for p in parts for sign in ("<", ">=")]
-    return latest(changes(fx, S.stream_order_state(arrivals(fx, rows, again))), "order_id")
+    columns = [f.split()[0] for f in S.ORDER_ROW.split(", ")]
+    return latest(changes(fx, S.stream_order_state(arrivals(fx, rows, again, "order_id"))).filter("changed").select(*columns), "order_id")
+
+
+APPLIED = f"""WITH n AS (SELECT *, first(event_type) OVER (PARTITION BY order_id ORDER BY shard_id, offset_value) AS opening FROM ({ONCE})),
+c AS (SELECT *, last(CASE WHEN event_type = 'order_created' AND k = 1 THEN seq END IGNORE NULLS) OVER (PARTITION BY order_id ORDER BY k) AS placed FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY offset_value) AS k FROM n WHERE opening <> 'order_retry_request'))
+SELECT event_id || '-match-requested' AS event_id, 'match-requests' AS topic, CAST(order_id AS VARCHAR) AS message_key, shard_id, occurred_at,
+  '{{"OrderID":' || order_id || ',"X":' || CASE WHEN placed IS NULL THEN 0 ELSE (placed * 7919 + 17) % 100000 END || ',"Y":' || CASE WHEN placed IS NULL THEN 0 ELSE (placed * 104729 + 29) % 100000 END || ',"Attempt":' || CASE WHEN event_type = 'order_retry_request' THEN attempt ELSE 0 END || '}}' AS payload
+FROM c WHERE event_type IN ('order_created', 'order_retry_request')"""
+
+
+def applied(fx: Inputs, table: str, schema: str) -> DataFrame:
+    rows, parts = halves(fx, "lifecycle_dup", "seq")
+    again = [f"({p}) and offset_value {sign} 1000000" for p in parts for sign in ("<", ">=")]
+    path = scratch(fx.spark, "applied")
+    S.apply_order_stream(arrivals(fx, rows, again, "order_id"), path, scratch(fx.spark, "stream")).awaitTermination()
+    return fx.spark.read.schema(schema).parquet(f"{path}/{table}")
+
+
+@query("t1_stream_match_requests", APPLIED)
+def stream_match_requests(fx: Inputs) -> DataFrame:
+    return applied(fx, "outbox", S.OUTBOX_ROW).select("event_id", "topic", "message_key", "shard_id", "occurred_at", "payload")
+
+
+@query("t1_stream_positions", "SELECT shard_id, max(offset_value) + 1 AS offset_value FROM lifecycle_dup GROUP BY shard_id")
+def stream_positions(fx: Inputs) -> DataFrame:
+    return applied(fx, "positions", S.POSITION_ROW).groupBy("shard_id").agg(F.max("offset_value").alias("offset_value"))
 
 
 @query("t3_stream_rider_state", RIDERS + "online IS NOT NULL")
 def stream_rider_state(fx: Inputs) -> DataFrame:
     rows, parts = halves(fx, "rider_events", "seq")
-    return latest(changes(fx, S.stream_rider_state(arrivals(fx, rows, parts))), "uid")
+    return latest(changes(fx, S.stream_rider_state(arrivals(fx, rows, parts, "uid"))), "uid")
 
 
 @query("t2_stream_match")
@@ -62,7 +97,7 @@ def stream_match(fx: Inputs) -> DataFrame:
     left = orders.select(F.lit(True).alias("is_order"), "seq", "order_id", "x", "y", load)
     right = online(fx).select(F.lit(False).alias("is_order"), F.lit(0).cast("long").alias("seq"), F.col("uid").alias("order_id"), "x", "y", load)
     cut = (orders.agg(F.max("seq")).first()[0] or 0) // 2
-    rows = arrivals(fx, right.unionByName(left), ["not is_order", f"is_order and seq <= {cut}", f"is_order and seq > {cut}"])
+    rows = arrivals(fx, right.unionByName(left), ["not is_order", f"is_order and seq <= {cut}", f"is_order and seq > {cut}"], "order_id")
     S.stream_match(rows, layout(fx), path, scratch(fx.spark, "stream")).awaitTermination()
     return fx.spark.read.schema(OUTCOME).parquet(path).select("order_id", "rider_id", "score", "home_shard")
 
@@ -70,11 +105,48 @@ def stream_match(fx: Inputs) -> DataFrame:
 @query("t5_publish_outbox_stream", "SELECT topic, count(*) AS events, count(DISTINCT event_id) AS ids FROM outbox WHERE published_at IS NULL AND topic <> 'lost-topic' GROUP BY topic")
 def publish_outbox_stream(fx: Inputs) -> DataFrame:
     rows, path = fx("outbox"), scratch(fx.spark, "topics")
-    stream = arrivals(fx, rows, ["shard_id < 32", "shard_id >= 32"])
-    S.publish_outbox_stream(stream, path, [schemas.MATCH_REQUESTS, schemas.ORDER_EVENTS], scratch(fx.spark, "stream")).awaitTermination()
+    stream = arrivals(fx, rows, ["shard_id < 32", "shard_id >= 32"], "event_id")
+    late = lambda: 5_000_000_000  # noqa: E731  when every lease has run out
+    S.publish_outbox_stream(stream, path, KNOWN, scratch(fx.spark, "stream"), clock=late).awaitTermination()
     return fx.spark.read.parquet(path).groupBy("topic").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
+@query("t5_outbox_after_publishing", f"""WITH c AS (SELECT *, published_at IS NULL AND claimed_until < {NOW} AS free FROM outbox)
+SELECT event_id, CASE WHEN free AND topic <> 'lost-topic' THEN {NOW} ELSE published_at END AS published_at, CASE WHEN free THEN '' ELSE claimed_by END AS claimed_by,
+  CASE WHEN free AND topic = 'lost-topic' THEN 'unknown topic lost-topic' ELSE last_error END AS last_error FROM c""")
+def outbox_after_publishing(fx: Inputs) -> DataFrame:
+    rows, path = fx("outbox"), scratch(fx.spark, "topics")
+    stream = arrivals(fx, rows, ["shard_id < 32", "shard_id >= 32"], "event_id")
+    S.publish_outbox_stream(stream, path, KNOWN, scratch(fx.spark, "stream"), clock=lambda: NOW).awaitTermination()
+    last = fx.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, batch long").parquet(f"{path}-outbox")
+    top = last.agg(F.max("batch").alias("batch"))
+    return last.join(F.broadcast(top), "batch").select("event_id", "published_at", "claimed_by", "last_error")
+
+
+@query("t7_stream_sustained_breach", f"""WITH {INCREASE}, b AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts) - row_number() OVER (PARTITION BY metric, increase >= 3 ORDER BY ts) AS island FROM i)
+SELECT metric AS series, CAST(min(epoch(ts)) AS BIGINT) AS start FROM b WHERE increase >= 3 GROUP BY metric, island HAVING max(epoch(ts)) - min(epoch(ts)) >= 7200""")
+def stream_sustained_breach(fx: Inputs) -> DataFrame:
+    from fleetmatch.operators.metrics import counter_increases
+
+    rows = counter_increases(fx("counter_samples"), ["metric"]).select(F.col("metric").alias("series"), "ts", (F.col("increase") >= 3).alias("bad"))
+    cut = rows.agg(F.expr("percentile_approx(ts, 0.5)").alias("t")).first()["t"]
+    stream = arrivals(fx, rows, [f"ts <= timestamp '{cut}'", f"ts > timestamp '{cut}'"], "series")
+    out = changes(fx, S.stream_sustained_breach(stream, 7200, "0 seconds"), "append")
+    return out.groupBy("series", F.unix_timestamp("start").alias("start")).agg(F.max("samples").alias("_n")).drop("_n")
+
+
+@query("s7_upsert_stream", "SELECT order_id, max_by(status, v) AS status, max(v) AS updated_at FROM (SELECT order_id, status, seq AS v FROM (SELECT order_id, event_type AS status, seq FROM lifecycle)) GROUP BY order_id")
+def upsert_stream(fx: Inputs) -> DataFrame:
+    from fleetmatch.sources.event_log import read_upserted, upsert_stream
+
+    rows, parts = halves(fx, "lifecycle", "seq")
+    rows = rows.select("order_id", F.col("event_type").alias("status"), F.col("seq").alias("updated_at"))
+    stream = arrivals(fx, rows, [p.replace("seq", "updated_at") for p in parts], "order_id")
+    path = scratch(fx.spark, "orders")
+    upsert_stream(stream, path, ["order_id"], "updated_at", scratch(fx.spark, "stream"), 16).awaitTermination()
+    return read_upserted(fx.spark, path, "order_id long, status string, updated_at long")
+
+
 @query("s3_tail_event_log", "SELECT shard_id, count(*) AS events, max(offset_value) AS last_offset FROM lifecycle GROUP BY shard_id")
 def tail(fx: Inputs) -> DataFrame:
     got = changes(fx, arrivals(fx, fx("lifecycle").select("shard_id", "offset_value", "event_id"), ["shard_id < 32", "shard_id >= 32"]), "append")

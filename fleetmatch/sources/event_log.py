@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from fleetmatch.operators.ranks import with_place
 from fleetmatch.schemas import EVENT_LOG
+from fleetmatch.sources.tables import written
 
 
 def write_event_log(log: DataFrame, path: str, fmt: str = "json") -> None:
-    """Writes the log as one folder per shard."""
-    log.repartition("shard_id").sortWithinPartitions("shard_id", "offset_value").write.mode("overwrite").partitionBy("shard_id").format(fmt).save(path)
+    """Writes the log as one folder per shard; a large shard is several files, by ranges of offsets."""
+    log.repartitionByRange("shard_id", "offset_value").sortWithinPartitions("shard_id", "offset_value").write.mode("overwrite").partitionBy("shard_id").format(fmt).save(path)
 
 
 def read_event_log(spark: SparkSession, path: str, fmt: str = "json", schema: str = EVENT_LOG) -> DataFrame:
@@ -37,11 +40,10 @@ def end_offsets(log: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def append_events(log: DataFrame, new: DataFrame, order_by: str) -> DataFrame:
-    """``new`` with dense ``offset_value`` per shard that go on from the log, in ``order_by`` order."""
+    """``new`` with dense ``offset_value`` per shard that go on from the log, in the order of the whole-number column ``order_by``."""
     ends = log.groupBy("shard_id").agg((F.max("offset_value") + 1).alias("_end"))
-    nth = F.row_number().over(Window.partitionBy("shard_id").orderBy(order_by)) - 1
-    placed = new.withColumn("_nth", nth).join(ends, "shard_id", "left")
-    return placed.withColumn("offset_value", (F.coalesce("_end", F.lit(0)) + F.col("_nth")).cast("long")).drop("_end", "_nth")
+    placed = with_place(new, ["shard_id"], order_by, "_nth").join(ends, "shard_id", "left")
+    return placed.withColumn("offset_value", (F.coalesce("_end", F.lit(0)) + F.col("_nth") - 1).cast("long")).drop("_end", "_nth")
 
 
 def route_by_shard_key(messages: DataFrame, partitions: list[int]) -> DataFrame:
@@ -50,11 +52,6 @@ def route_by_shard_key(messages: DataFrame, partitions: list[int]) -> DataFrame:
     return messages.withColumn("partition", F.when(number.isin(partitions), number).otherwise(F.lit(partitions[0])))
 
 
-def negative_shards(messages: DataFrame) -> DataFrame:
-    """Messages that must not be sent."""
-    return messages.filter("shard_id < 0")
-
-
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
     """``existing`` with the latest update of each key (by ``version``, ties by the later table) in place of its row."""
     columns = existing.columns
@@ -63,6 +60,43 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], version: st
     return every.withColumn("_nth", F.row_number().over(latest)).filter("_nth = 1").select(*columns)
 
 
+def part_of(keys: list[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+
+
+def read_upserted(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """Rows of a table that ``upsert_stream`` keeps: of each part the files of its last batch (ahead of ``before``)."""
+    rows = spark.read.schema(f"{schema}, batch long, part int").parquet(path)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    last = rows.groupBy("part").agg(F.max("batch").alias("batch"))  # as many rows as parts
+    return rows.join(F.broadcast(last), ["part", "batch"], "left_semi").drop("batch", "part")
+
+
+def upsert_stream(updates: DataFrame, path: str, keys: list[str], version: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Keeps the latest row of each key under ``path``/batch=.../part=..., rewriting in each batch only the parts it touches.
+
+    A key's part is a hash of it.  A batch that is run again after a failure starts from the
+    batches before it and replaces what it wrote; older files stay until they are removed.
+    """
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in updates.schema.fields)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = written(batch.withColumn("part", part_of(keys, parts)))
+        touched = new.select("part").distinct()  # as many rows as parts
+        merged = new.drop("part")
+        if number:
+            held = read_upserted(spark, path, fields, number).withColumn("part", part_of(keys, parts))
+            merged = upsert(held.join(F.broadcast(touched), "part", "left_semi").drop("part"), merged, keys, version)
+        else:
+            merged = upsert(merged.limit(0), merged, keys, version)
+        out = merged.withColumn("part", part_of(keys, parts)).repartition("part")
+        out.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
+
+    return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def lookup(table: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Rows of the keys asked for; ``how="left"`` keeps keys that aren't found, with nulls."""
     return keys.select(*on).distinct().join(table, on, how)

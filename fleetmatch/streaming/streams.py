@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,11 +14,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from fleetmatch import schemas as S
 from fleetmatch.functions.spatial import LOAD_WEIGHT, RADII, Layout
 from fleetmatch.operators.matching import CAP, OUTCOME, match_orders
-from fleetmatch.operators.outbox import split_by_topic
+from fleetmatch.operators.outbox import apply_claims, claim_outbox, create_outbox, mark_outbox_failed, mark_outbox_published, split_by_topic
+from fleetmatch.sources.tables import written
 
 ORDER_FIELDS = ("status", "x", "y", "attempt", "cancel_reason", "retry_reason", "miss_reason", "rider_id", "score", "last_event_id", "updated_at")
 ORDER_TYPES = "status string, x int, y int, attempt int, cancel_reason string, retry_reason string, miss_reason string, rider_id long, score int, last_event_id string, updated_at long"
-ORDER_OUT = f"order_id long, shard_id int, {ORDER_TYPES}, version long"
+REQUEST = "struct<event_id:string,attempt:int,x:int,y:int,shard_id:int,occurred_at:long>"
+ORDER_OUT = f"order_id long, shard_id int, {ORDER_TYPES}, version long, changed boolean, next_offset long, requests array<{REQUEST}>"
 ORDER_STATE = f"shard_id int, {ORDER_TYPES}, version long, rejected boolean, seen array<string>"
 # An order before its first event.
 BLANK = ("", 0, 0, 0, "", "", "", 0, 0, "", 0)
@@ -46,35 +49,80 @@ def apply_event(order: dict, e: dict) -> None:
         order["status"] = "match_pending"
 
 
-def _order(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    events = pd.concat(list(parts)).sort_values(["shard_id", "offset_value"]).to_dict("records")
-    if state.exists:
-        shard, *fields, version, rejected, seen = state.get
-        order = dict(zip(ORDER_FIELDS, fields, strict=True))
-    else:
-        shard, version, rejected, seen = events[0]["shard_id"], 0, events[0]["event_type"] == S.ORDER_RETRY, []
-        order = dict(zip(ORDER_FIELDS, BLANK, strict=True))
-    known, changed = set(seen), False
-    for e in events:
-        if rejected or e["event_id"] in known:
-            continue
-        known.add(e["event_id"])
-        apply_event(order, e)
-        version, changed = version + 1, True
-    values = [order[f] for f in ORDER_FIELDS]
-    state.update((int(shard), *values, version, rejected, sorted(known)))
-    if changed:
-        yield pd.DataFrame([[key[0], shard, *values, version]], columns=["order_id", "shard_id", *ORDER_FIELDS, "version"])
-
-
-def stream_order_state(events: DataFrame) -> DataFrame:
-    """Order rows as they change (update mode): events of a key in log order, each event id once.
-
-    ``version`` counts the events applied; the row of the highest version is current.  An
-    order that begins with a retry is rejected for good.  Events that arrive in a later
-    batch than ones after them are applied late, as the log has no other order by then.
+def _order(idle_ms: int | None):
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nothing came for so long that no event comes again
+            state.update((*state.get[:-1], []))
+            return
+        events = pd.concat(list(parts)).sort_values(["shard_id", "offset_value"]).to_dict("records")
+        if state.exists:
+            shard, *fields, version, rejected, seen = state.get
+            order = dict(zip(ORDER_FIELDS, fields, strict=True))
+        else:
+            shard, version, rejected, seen = events[0]["shard_id"], 0, events[0]["event_type"] == S.ORDER_RETRY, []
+            order = dict(zip(ORDER_FIELDS, BLANK, strict=True))
+        known, before, requests = set(seen), version, []
+        for e in events:
+            if rejected or e["event_id"] in known:
+                continue
+            known.add(e["event_id"])
+            apply_event(order, e)
+            version += 1
+            if e["event_type"] in (S.ORDER_CREATED, S.ORDER_RETRY):
+                attempt = int(e["attempt"]) if e["event_type"] == S.ORDER_RETRY else 0
+                requests.append({"event_id": f"{e['event_id']}-match-requested", "attempt": attempt, "x": int(order["x"]), "y": int(order["y"]), "shard_id": int(e["shard_id"]), "occurred_at": int(e["occurred_at"])})
+        values = [order[f] for f in ORDER_FIELDS]
+        state.update((int(shard), *values, version, rejected, sorted(known)))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        columns = ["order_id", "shard_id", *ORDER_FIELDS, "version", "changed", "next_offset", "requests"]
+        yield pd.DataFrame([[key[0], shard, *values, version, version > before, events[-1]["offset_value"] + 1, requests]], columns=columns)
+
+    return step
+
+
+def stream_order_state(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """A row of every order that gets events (update mode): events of a key in log order, each event id once.
+
+    ``version`` counts the events applied; the row of the highest version is current, and
+    ``changed`` says whether the batch applied any.  ``requests`` are the match requests of
+    the created and retry events applied, ``next_offset`` is the offset after the last event
+    read.  An order that begins with a retry is rejected for good.  Events that arrive in a
+    later batch than ones after them are applied late, as the log has no other order by
+    then.  With ``idle_ms`` the ids seen of an order that got nothing for so long are forgotten.
     """
-    return events.groupBy("order_id").applyInPandasWithState(_order, ORDER_OUT, ORDER_STATE, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("order_id").applyInPandasWithState(_order(idle_ms), ORDER_OUT, ORDER_STATE, "update", timeout)
+
+
+ORDER_ROW = f"order_id long, shard_id int, {ORDER_TYPES}, version long"
+OUTBOX_ROW = "event_id string, event_type string, aggregate_type string, aggregate_id string, shard_id int, occurred_at long, payload string, topic string, message_key string"
+POSITION_ROW = "shard_id int, offset_value long"
+
+
+def apply_order_stream(events: DataFrame, path: str, checkpoint: str, idle_ms: int | None = None) -> StreamingQuery:
+    """Order state with what belongs to it: each batch writes changed orders, match requests and positions.
+
+    They go to ``path``/orders, /outbox and /positions, each in batch=N, from one evaluation
+    of the batch.  A batch that is run again after a failure replaces its folders, so the
+    three agree once it has ended; a shard's position is the highest of all batches.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        rows = written(batch)
+        rows.filter("changed").drop("changed", "next_offset", "requests").write.mode("overwrite").parquet(f"{path}/orders/batch={number}")
+        due = rows.select("order_id", F.explode("requests").alias("r")).select("order_id", "r.*")
+        body = F.to_json(F.struct(F.col("order_id").alias("OrderID"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("attempt").alias("Attempt")))
+        text = F.col("order_id").cast("string")
+        out = due.select(
+            "event_id", F.lit(S.MATCH_REQUESTED).alias("event_type"), F.lit("order").alias("aggregate_type"), text.alias("aggregate_id"), "shard_id", "occurred_at",
+            body.alias("payload"), F.lit(S.MATCH_REQUESTS).alias("topic"), text.alias("message_key"),
+        )
+        out.write.mode("overwrite").parquet(f"{path}/outbox/batch={number}")
+        rows.groupBy("shard_id").agg(F.max("next_offset").alias("offset_value")).write.mode("overwrite").parquet(f"{path}/positions/batch={number}")
+
+    stream = stream_order_state(events, idle_ms).writeStream.outputMode("update").foreachBatch(save)
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _rider(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -126,23 +174,91 @@ def stream_match(rows: DataFrame, layout: Layout, path: str, checkpoint: str, k:
     return rows.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def publish_outbox_stream(outbox: DataFrame, path: str, known: list[str], checkpoint: str) -> StreamingQuery:
-    """Publishes pending outbox rows to ``path``/topic=... as they come; unknown topics go to ``path``-failed.
+def append_topic(rows: DataFrame, path: str) -> None:
+    """Appends events to a topic as files; rerun batches replace what they wrote."""
+    rows.write.mode("overwrite").parquet(path)
+
 
-    Each batch writes its own folder anew, so a batch that is run again after a failure
-    replaces what it wrote: at-least-once in, exactly-once out.
+def publish_outbox_stream(outbox: DataFrame, path: str, known: list[str], checkpoint: str, worker: str = "publisher", lease: int = 30, limit: int | None = None, clock: Callable[[], int] = lambda: int(time.time()), append: Callable[[DataFrame, str], None] = append_topic) -> StreamingQuery:
+    """Publishes outbox rows to ``path``/batch=.../topic=... as they come, and keeps the outbox in ``path``-outbox/batch=....
+
+    Each batch adds its new rows to the outbox, claims the rows that are free (with ``limit``
+    the oldest of them), appends each topic's rows at once and marks them published.  Rows
+    of an unknown topic and of a topic whose append fails are marked failed with the error
+    and lose the claim, so a later batch tries them again.  A batch that is run again after
+    a failure starts from the outbox of the batch before and replaces what it wrote:
+    at-least-once in, exactly-once out.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
-        pending = batch.filter("published_at is null").dropDuplicates(["event_id"])
-        good, bad = split_by_topic(pending, known)
-        good.write.mode("overwrite").partitionBy("topic").parquet(f"{path}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{path}-failed/batch={number}")
+        spark, now = batch.sparkSession, clock()
+        box = batch.dropDuplicates(["event_id"])
+        if number:
+            box = create_outbox(spark.read.schema(batch.schema).parquet(f"{path}-outbox/batch={number - 1}"), box)
+        box = written(box)
+        claimed = claim_outbox(box, worker, now, lease, limit)
+        claimed = written(claimed)
+        box = apply_claims(box, claimed)
+        good, bad = split_by_topic(claimed, known)
+        failed = bad.select("event_id", "error")
+        for topic in known:
+            rows = good.filter(F.col("topic") == topic)
+            try:
+                append(rows.drop("topic"), f"{path}/batch={number}/topic={topic}")
+            except Exception as e:  # noqa: BLE001  whatever the sink raises is what the rows failed of
+                failed = failed.unionByName(rows.select("event_id", F.lit(f"{type(e).__name__}: {e}"[:200]).alias("error")))
+        failed = written(failed)
+        done = mark_outbox_published(box, claimed.join(failed, "event_id", "left_anti"), worker, now).drop("updated")
+        for error in [r["error"] for r in failed.select("error").distinct().collect()]:  # a few texts: one an unknown topic or failed append
+            done = mark_outbox_failed(done, failed.filter(F.col("error") == error), worker, error).drop("updated")
+        done.select(*batch.columns).write.mode("overwrite").parquet(f"{path}-outbox/batch={number}")
 
     writer = outbox.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
+BREACH = "start timestamp, end timestamp, samples long"
+
+
+def _breach(seconds: int):
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        long = pd.Timedelta(seconds=seconds)
+        start, end, samples = state.get if state.exists else (None, None, 0)
+        out = []
+        if state.hasTimedOut:  # no sample said otherwise until the watermark passed the time
+            out.append([*key, pd.Timestamp(start), pd.Timestamp(start) + long, True, int(samples)])
+            state.update((start, end, samples))
+        else:
+            for at, bad in pd.concat(list(parts)).sort_values("ts")[["ts", "bad"]].itertuples(index=False):
+                if start is not None and not bad:
+                    if pd.Timestamp(end) - pd.Timestamp(start) >= long:
+                        out.append([*key, pd.Timestamp(start), pd.Timestamp(end), False, int(samples)])
+                    start, end, samples = None, None, 0
+                elif bad:
+                    start, end, samples = at if start is None else start, at, samples + 1
+            state.update((start, end, samples))
+            due = None if start is None else int((pd.Timestamp(start) + long).timestamp() * 1000)
+            if due is not None and due > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(due)
+            elif due is not None and pd.Timestamp(end) - pd.Timestamp(start) >= long:
+                out.append([*key, pd.Timestamp(start), pd.Timestamp(end), True, int(samples)])
+        yield pd.DataFrame(out, columns=["series", "start", "end", "open", "samples"])
+
+    return step
+
+
+def stream_sustained_breach(samples: DataFrame, seconds: int, late: str) -> DataFrame:
+    """Alerts over ``samples`` (series string, ts, bad boolean): ``series, start, end, open, samples``.
+
+    An alert is raised (``open``) once a series has been bad for ``seconds``: by a timer when
+    the watermark passes that time and no sample said otherwise, or by the samples
+    themselves.  When a good sample ends the stretch, its row comes again, closed, with the
+    stretch's last bad sample and count.  Samples later than ``late`` are not waited for.
+    """
+    rows = samples.withWatermark("ts", late).groupBy("series")
+    return rows.applyInPandasWithState(_breach(seconds), "series string, start timestamp, end timestamp, open boolean, samples long", BREACH, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_event_rates(events: DataFrame, width: str, late: str, at: str = "ts") -> DataFrame:
     """Events per type and window of event time; rows later than ``late`` are dropped with their window's state."""
     counts = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from fleetmatch.functions import spatial as S
 from fleetmatch.operators import candidates as C
 from fleetmatch.operators import placement as P
@@ -97,3 +99,44 @@ def test_placement_keeps_owners_on_first_fill(spark):
     assert {m["key"] for m in moves} == {k for k in target if k % 3 != 2}
     assert all(m["to_node"] == target[m["key"]] and m["epoch"] == 5 for m in moves)
     assert sorted(m["rank"] for m in moves if m["kind"] == "fill") == list(range(1, 18))
+
+
+def test_null_keys_and_many_points_on_the_ring(spark):
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(40)], "node string")
+    keys = spark.range(300).selectExpr("if(id = 7, null, id) as key", "id")
+    out = P.assign_by_ring(keys, nodes, hash_expr=P.md5_prefix).collect()
+    assert len(out) == 300 and all(r["node"] for r in out)
+
+
+def test_nodes_are_checked(spark):
+    keyed = spark.createDataFrame([(1, "a", 1)], "key long, node string, epoch long")
+    for names in (["a", "a"], ["a", ""], ["a", None]):
+        with pytest.raises(ValueError):
+            P.placement_diff(keyed, spark.createDataFrame([(n,) for n in names], "node string"))
+
+
+def test_bad_moves_are_rejected(spark):
+    current = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "key long, node string")
+    nodes = spark.createDataFrame([("a",), ("b",)], "node string")
+    moves = [(1, "a", "b"), (-1, "a", "b"), (1, "", "b"), (1, "a", None), (1, "a", "a"), (1, "c", "b"), (1, "a", "c"), (3, "a", "b"), (2, "a", "b"), (9, "a", "b")]
+    good, bad = P.validate_moves(spark.createDataFrame(moves, "key long, from_node string, to_node string"), current, nodes)
+    assert [tuple(r) for r in good.collect()] == [(1, "a", "b")]
+    assert sorted((r["key"], r["error"]) for r in bad.collect()) == sorted([
+        (-1, "bad key"), (1, "no source node"), (1, "no target node"), (1, "target is the source"), (1, "source node is not alive"), (1, "target node is not alive"),
+        (3, "source is not the owner"), (2, "key has no owner"), (9, "key has no owner"),
+    ])
+
+
+def test_shards_are_replaced_and_removed(spark, tmp_path):
+    from fleetmatch.sources import shards as H
+
+    lay, path = S.Layout(area=100, cell=10, shards=4), str(tmp_path / "riders")
+    H.write_shards(riders(spark, [(1, 5, 5), (2, 15, 15), (3, 95, 5), (4, 95, 95)]), lay, path)
+    at = lambda *s: sorted((r["home_shard"], r["uid"]) for r in H.read_shards(spark, path, *s).collect())
+    assert at() == [(0, 1), (0, 2), (1, 3), (3, 4)]
+    H.replace_shard(riders(spark, [(7, 5, 5)]), path, 0)
+    assert at() == [(0, 7), (1, 3), (3, 4)] and at(0) == [(0, 7)]
+    H.remove_shard(spark, path, 1)
+    H.replace_shard(riders(spark, []), path, 3)
+    H.remove_shard(spark, path, 2)
+    assert at() == [(0, 7)]

@@ -138,6 +138,78 @@ def test_matching_invariants(spark, mode):
         assert r["rider_id"] in pool if r["rider_id"] is not None else all(load.get(u, 0) == 3 for u in pool)
 
 
+def replayed(orders, riders, cap=3, k=10, weight=10_000, cell=60):
+    """The sequential semantics on one shard: one order after the other, loads as they are by then."""
+    load = {u: n for u, _, _, online, n in riders if online}
+    place = {u: (x, y) for u, x, y, _, _ in riders}
+    out = {}
+    for i, x, y, _ in sorted(orders, key=lambda o: o[3]):
+        at = lambda p: (p[0] // cell, p[1] // cell)
+        far = {u: max(abs(at(place[u])[0] - x // cell), abs(at(place[u])[1] - y // cell)) for u in load}
+        pool = next((own for low, high in ((-1, 1), (1, 3), (3, 8)) if (own := [u for u in load if low < far[u] <= high])), [])
+        ranked = sorted(((abs(x - place[u][0]) + abs(y - place[u][1])) // cell + load[u] * weight, u) for u in pool)[:k]
+        out[i] = next(((u, s) for s, u in ranked if load[u] < cap), (None, None))
+        if out[i][0] is not None:
+            load[out[i][0]] += 1
+    return out
+
+
+def test_matching_is_the_sequential_replay(spark):
+    rng = random.Random(6)
+    orders = [(i, rng.randrange(1000), rng.randrange(1000), 500 - i) for i in range(250)]
+    riders = [(i, rng.randrange(1000), rng.randrange(1000), i % 7 > 0, i % 3) for i in range(45)]
+    got = M.match_orders(spark.createDataFrame(orders, "order_id long, x int, y int, seq long"), spark.createDataFrame(riders, "uid long, x int, y int, online boolean, count long"), Layout(area=1000, cell=60, shards=1))
+    assert {r["order_id"]: (r["rider_id"], r["score"]) for r in got.collect()} == replayed(orders, riders)
+
+
+REQUEST = "event_id string, order_id long, x int, y int, shard_id int, offset_value long, occurred_at long"
+ORDER = "order_id long, shard_id int, status string, x int, y int, attempt int, miss_reason string, rider_id long, score int"
+INBOX = "consumer_name string, event_id string, shard_id int, offset_value long"
+RIDER = "uid long, x int, y int, online boolean, count long"
+
+
+def test_requests_are_matched_once(spark):
+    lay = Layout(area=100, cell=10, shards=1)
+    orders = spark.createDataFrame([(i, 0, s, 1, 1, 0, "", 0, 0) for i, s in ((1, "match_pending"), (2, "matched"), (3, "match_pending"), (4, "match_pending"), (5, "cancelled"))], ORDER)
+    riders = spark.createDataFrame([(1, 2, 2, True, 2)], RIDER)
+    inbox = spark.createDataFrame([("matcher-worker", "old", 0, 0), ("someone", "e1", 0, 0)], INBOX)
+    rows = [("e1", 1, 1, 1, 0, 1, 10), ("e1", 1, 1, 1, 0, 2, 10), ("e2", 2, 1, 1, 0, 3, 11), ("old", 3, 1, 1, 0, 4, 12), ("e4", 4, 1, 1, 0, 5, 13), ("e5", 5, 1, 1, 0, 6, 14), ("e6", 1, 1, 1, 0, 7, 15)]
+    done = M.apply_requests(spark.createDataFrame(rows, REQUEST), orders, riders, inbox, lay)
+    assert sorted(tuple(r) for r in done.outcomes.select("event_id", "order_id", "rider_id").collect()) == [("e1", 1, 1), ("e4", 4, None)]
+    assert sorted(tuple(r) for r in done.skipped.collect()) == [("e1", 1, "seen"), ("e2", 2, "not pending"), ("e5", 5, "not pending"), ("e6", 1, "not pending"), ("old", 3, "seen")]
+    assert status(done.orders) == {1: "matched", 2: "matched", 3: "match_pending", 4: "missed", 5: "cancelled"}
+    assert done.riders.first()["count"] == 3
+    assert done.inbox.filter("consumer_name = 'matcher-worker'").count() == 6
+    again = M.apply_requests(spark.createDataFrame(rows[:1], REQUEST), done.orders, done.riders, done.inbox, lay)
+    assert again.outcomes.count() == 0 and again.riders.first()["count"] == 3
+    results = {r["event_id"] for r in codec.build_result_events(done.outcomes).collect()}
+    assert results == {"e1-order_matched", "e4-order_missed"}
+    with pytest.raises(ValueError, match="not found"):
+        M.apply_requests(spark.createDataFrame([("e9", 9, 1, 1, 0, 9, 20)], REQUEST), orders, riders, inbox, lay)
+
+
+def test_missed_orders_are_retried_through_the_log(spark):
+    orders = spark.createDataFrame([(i, 1, 1, i) for i in range(1, 6)], "order_id long, x int, y int, seq long")
+    riders = spark.createDataFrame([(1, 2, 2, True, 0)], RIDER)
+    got = M.retry_missed(orders, riders, Layout(area=100, cell=10, shards=1), 2)
+    assert sorted((r["order_id"], r["status"], r["attempt"]) for r in got.collect()) == [(1, "matched", 0), (2, "matched", 0), (3, "matched", 0), (4, "missed", 2), (5, "missed", 2)]
+
+
+def test_places_and_predecessors_across_ranges(spark):
+    from fleetmatch.operators.ranks import with_place, with_previous
+
+    rng = random.Random(2)
+    rows = [(g, v) for g in ("a", None, "b") for v in rng.sample(range(5000), {"a": 400, "b": 3}.get(g, 60))]
+    frame = spark.createDataFrame(rows, "g string, v long")
+    for size in (7, 100_000):
+        got = with_previous(with_place(frame, ["g"], "v", "place", size), ["g"], "v", "before", size).collect()
+        for g in ("a", None, "b"):
+            own = sorted(v for h, v in rows if h == g)
+            want = [(v, k + 1, own[k - 1] if k else None) for k, v in enumerate(own)]
+            assert sorted((r["v"], r["place"], r["before"]) for r in got if r["g"] == g) == want
+    assert with_place(frame.limit(0), ["g"], "v", "place").count() == 0
+
+
 def test_reservations(spark):
     riders = spark.createDataFrame([(1, True, 2), (2, False, 0)], "uid long, online boolean, count long")
     asked = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 9)], "request_id long, rider_id long")
@@ -166,9 +238,80 @@ def test_streams_survive_a_restart(spark, tmp_path):
         S.update_log(stream, out, str(tmp_path / "checkpoint")).awaitTermination()
         assert (tmp_path / "out" / f"batch={k}").exists()
     best = {}
-    for r in spark.read.parquet(out).collect():
+    for r in spark.read.parquet(out).filter("changed").collect():
         if r["version"] > best.get(r["order_id"], {"version": -1})["version"]:
             best[r["order_id"]] = r
     inbox = spark.createDataFrame([], "consumer_name string, event_id string")
     want, _ = T.fold_order_state_tx(dedupe_inbox(rows, inbox, "w")[0])
     assert {k: {f: v[f] for f in ORDER_FIELDS} for k, v in best.items()} == {r["order_id"]: {f: r[f] for f in ORDER_FIELDS} for r in want.collect()}
+
+
+def streamed(spark, rows, path, **options):
+    """``rows`` as one more file of a stream's folder."""
+    rows.coalesce(1).write.mode("append").parquet(path)
+    return L.tail_event_log(spark, path, "parquet", rows.schema, **options)
+
+
+def test_publication_claims_marks_and_tries_again(spark, tmp_path):
+    from fleetmatch.streaming import streams as S
+
+    schema = "event_id string, topic string, occurred_at long, published_at long, claimed_by string, claimed_until long, attempts int, last_error string"
+    rows = [("e1", "a", 1, None, "", 0, 0, ""), ("e2", "b", 2, None, "", 0, 0, ""), ("e3", "x", 3, None, "", 0, 0, ""), ("e4", "a", 4, 9, "", 0, 0, ""), ("e5", "a", 5, None, "other", 10**12, 0, "")]
+    out = str(tmp_path / "out")
+    broken = {"b"}
+
+    def append(part, path):
+        if path.rsplit("topic=")[1] in broken:
+            raise OSError("no broker")
+        S.append_topic(part, path)
+
+    def run(batch):
+        stream = streamed(spark, spark.createDataFrame(batch, schema), str(tmp_path / "in"))
+        S.publish_outbox_stream(stream, out, ["a", "b"], str(tmp_path / "checkpoint"), clock=lambda: 100, append=append).awaitTermination()
+
+    state = lambda n: {r["event_id"]: (r["published_at"], r["claimed_by"], r["last_error"], r["attempts"]) for r in spark.read.parquet(f"{out}-outbox/batch={n}").collect()}
+    run(rows)
+    assert state(0) == {"e1": (100, "", "", 1), "e2": (None, "", "OSError: no broker", 1), "e3": (None, "", "unknown topic x", 1), "e4": (9, "", "", 0), "e5": (None, "other", "", 0)}
+    broken.clear()
+    run([("e6", "a", 6, None, "", 0, 0, "")])
+    assert state(1) == {**state(0), "e2": (100, "", "", 2), "e3": (None, "", "unknown topic x", 2), "e6": (100, "", "", 1)}
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["e1", "e2", "e6"]
+
+
+def test_breaches_are_raised_by_samples_and_by_the_timer(spark, tmp_path):
+    from fleetmatch.streaming import streams as S
+
+    at = lambda minute: f"2024-01-01 00:{minute:02}:00"
+    frame = lambda *rows: spark.createDataFrame([(s, at(m), b) for s, m, b in rows], "series string, ts string, bad boolean").selectExpr("series", "to_timestamp(ts) ts", "bad")
+    path, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    steps = [[("quiet", 0, True), ("long", 0, True), ("short", 0, True)], [("long", 1, True), ("short", 1, False), ("clock", 5, False)], [("clock", 6, False), ("long", 7, False)], [("clock", 20, False)]]
+    for rows in steps:
+        stream = streamed(spark, frame(*rows), path)
+        S.update_log(S.stream_sustained_breach(stream, 120, "0 seconds"), out, checkpoint, "append").awaitTermination()
+    got = [(r["series"], r["open"], r["samples"]) for r in spark.read.parquet(out).collect()]
+    assert ("quiet", True, 1) in got  # no further sample came
+    assert ("long", True, 2) in got
+    assert not any(s == "short" or s == "clock" for s, *_ in got)
+
+
+def test_upserts_rewrite_touched_parts_only(spark, tmp_path):
+    schema = "key long, value string, version long"
+    path = str(tmp_path / "table")
+    for rows in ([(k, "a", 1) for k in range(50)], [(3, "old", 0), (3, "b", 2), (99, "new", 1)]):
+        stream = streamed(spark, spark.createDataFrame(rows, schema), str(tmp_path / "in"))
+        L.upsert_stream(stream, path, ["key"], "version", str(tmp_path / "checkpoint"), 8).awaitTermination()
+    got = {r["key"]: r["value"] for r in L.read_upserted(spark, path, schema).collect()}
+    assert got == {**{k: "a" for k in range(50)}, 3: "b", 99: "new"}
+    assert len(list((tmp_path / "table" / "batch=1").glob("part=*"))) <= 2 < len(list((tmp_path / "table" / "batch=0").glob("part=*")))
+
+
+def test_order_stream_forgets_ids_when_asked_to(spark, tmp_path):
+    from fleetmatch.streaming import streams as S
+
+    rows = events(spark, (1, "order_created"), (1, "order_missed"), (2, "order_retry_request"))
+    stream = streamed(spark, rows, str(tmp_path / "in"))
+    S.apply_order_stream(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), idle_ms=3_600_000).awaitTermination()
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name)).collect()
+    assert [(r["order_id"], r["status"], r["version"]) for r in read("orders")] == [(1, "missed", 2)]
+    assert [(r["event_id"], r["topic"], r["payload"]) for r in read("outbox")] == [("e0-match-requested", "match-requests", '{"OrderID":1,"X":10,"Y":20,"Attempt":0}')]
+    assert [(r["shard_id"], r["offset_value"]) for r in read("positions")] == [(0, 3)]
