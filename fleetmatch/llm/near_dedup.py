@@ -56,30 +56,46 @@ def shingle_hashes(hashes: np.ndarray, at: np.ndarray, n: int = SHINGLE) -> tupl
     return doc[new], value[new]
 
 
-def super_min_hash(doc: np.ndarray, value: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
+def super_min_hash(doc: np.ndarray, value: np.ndarray, n: int, slots: int = SLOTS, table_bytes: int = 16 << 20) -> np.ndarray:
     """Signatures (n x slots): step in the high and a random number in the low half of a uint64.
 
     ``doc`` numbers the texts and doesn't fall.  A text without shingles keeps the
-    greatest value in all slots.
+    greatest value in all slots.  A shingle's permutation is drawn by Fisher-Yates swaps:
+    while many shingles are live, a place is traced back through the swaps drawn so far;
+    once their permutations fit in ``table_bytes``, they are held as tables.
     """
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    best = np.full(n * slots, none)
+    best, filled = np.full(n * slots, none), np.zeros(n, np.int64)
     live = np.arange(len(doc))
     drawn: list[np.ndarray] = []  # places drawn at earlier steps, by those still live
+    table = rows = None
     for step in range(slots):
         if not len(live):
             break
         noise = flat.mix(value[live] + np.uint64((step + 1) * 0xD6E8FEB86659FD93 % 2**64))
         place = step + ((noise >> np.uint64(32)) % np.uint64(slots - step)).astype(np.int64)
-        slot = place
-        for earlier in range(step - 1, -1, -1):  # Fisher-Yates, undone backwards
-            slot = np.where(slot == drawn[earlier], earlier, slot)
-        drawn.append(place)
-        rank = np.uint64(step) << np.uint64(32) | (noise & np.uint64(0xFFFFFFFF))
-        np.minimum.at(best, doc[live] * slots + slot, rank)
-        open_ = (best.reshape(n, slots) >= np.uint64(step + 1) << np.uint64(32)).any(axis=1)[doc[live]]
+        if table is None and len(live) * slots * 2 <= table_bytes:
+            rows = np.arange(len(live))
+            table = np.tile(np.arange(slots, dtype=np.uint16), (len(live), 1))
+            for earlier, there in enumerate(drawn):
+                table[rows, there] = table[:, earlier]
+        if table is None:
+            slot = place
+            for earlier in range(step - 1, -1, -1):
+                slot = np.where(slot == drawn[earlier], earlier, slot)
+            drawn.append(place)
+        else:
+            slot = table[rows, place].astype(np.int64)
+            table[rows, place] = table[rows, step]
+        at = doc[live] * slots + slot
+        np.add.at(filled, np.unique(at[best[at] == none]) // slots, 1)
+        np.minimum.at(best, at, np.uint64(step) << np.uint64(32) | (noise & np.uint64(0xFFFFFFFF)))
+        open_ = (filled < slots)[doc[live]]  # a filled slot has a value of this step or before: nothing later can win
         live = live[open_]
-        drawn = [d[open_] for d in drawn]
+        if table is None:
+            drawn = [d[open_] for d in drawn]
+        else:
+            rows = rows[open_]
     return best.reshape(n, slots)
 
 
