@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -12,8 +13,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
-#: Folders of intermediate tables that this process wrote and has not removed yet, oldest first.
-_made: list[str] = []
+
+
+class _Made(threading.local):
+    """Folders of intermediate tables that this thread wrote and has not removed yet, oldest first."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 _shipped: set[str] = set()  # applications that have the package
 
 
@@ -48,19 +57,19 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
+    _made.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
     """A point in time for ``release``."""
-    return len(_made)
+    return len(_made.paths)
 
 
 def release(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the tables ``written`` since ``mark()``, but for the last ``keep``; nothing may need them any more."""
-    gone = _made[since : len(_made) - keep]
-    del _made[since : len(_made) - keep]
+    """Deletes the tables this thread has ``written`` since ``mark()``, but for the last ``keep``; nothing may need them any more."""
+    gone = _made.paths[since : len(_made.paths) - keep]
+    del _made.paths[since : len(_made.paths) - keep]
     for path in gone:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -217,31 +217,31 @@ def publish_outbox_stream(outbox: DataFrame, path: str, known: list[str], checkp
     return writer.trigger(availableNow=True).start()
 
 
-BREACH = "start timestamp, end timestamp, samples long"
+BREACH = "start long, end long, samples long, raised boolean"  # times in milliseconds
 
 
-def _breach(seconds: int):
+def _breach(millis: int):
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        long = pd.Timedelta(seconds=seconds)
-        start, end, samples = state.get if state.exists else (None, None, 0)
         out = []
-        if state.hasTimedOut:  # no sample said otherwise until the watermark passed the time
-            out.append([*key, pd.Timestamp(start), pd.Timestamp(start) + long, True, int(samples)])
-            state.update((start, end, samples))
-        else:
-            for at, bad in pd.concat(list(parts)).sort_values("ts")[["ts", "bad"]].itertuples(index=False):
-                if start is not None and not bad:
-                    if pd.Timestamp(end) - pd.Timestamp(start) >= long:
-                        out.append([*key, pd.Timestamp(start), pd.Timestamp(end), False, int(samples)])
-                    start, end, samples = None, None, 0
-                elif bad:
-                    start, end, samples = at if start is None else start, at, samples + 1
-            state.update((start, end, samples))
-            due = None if start is None else int((pd.Timestamp(start) + long).timestamp() * 1000)
-            if due is not None and due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            elif due is not None and pd.Timestamp(end) - pd.Timestamp(start) >= long:
-                out.append([*key, pd.Timestamp(start), pd.Timestamp(end), True, int(samples)])
+        start, end, samples, raised = state.get if state.exists else (None, None, 0, False)
+        if not state.hasTimedOut:
+            for at, bad in pd.concat(list(parts)).sort_values("at")[["at", "bad"]].itertuples(index=False):
+                if bad:
+                    start, end, samples = int(at) if start is None else start, int(at), samples + 1
+                    if not raised and end - start >= millis:
+                        out.append([*key, start, end, True, samples])
+                        raised = True
+                elif start is not None:
+                    if raised:
+                        out.append([*key, start, end, False, samples])
+                    start, end, samples, raised = None, None, 0, False
+        if start is not None and not raised:
+            if state.hasTimedOut or start + millis <= state.getCurrentWatermarkMs():  # no sample said otherwise by then
+                out.append([*key, start, start + millis, True, samples])
+                raised = True
+            else:
+                state.setTimeoutTimestamp(start + millis)
+        state.update((start, end, samples, raised))
         yield pd.DataFrame(out, columns=["series", "start", "end", "open", "samples"])
 
     return step
@@ -255,8 +255,9 @@ def stream_sustained_breach(samples: DataFrame, seconds: int, late: str) -> Data
     themselves.  When a good sample ends the stretch, its row comes again, closed, with the
     stretch's last bad sample and count.  Samples later than ``late`` are not waited for.
     """
-    rows = samples.withWatermark("ts", late).groupBy("series")
-    return rows.applyInPandasWithState(_breach(seconds), "series string, start timestamp, end timestamp, open boolean, samples long", BREACH, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = samples.withWatermark("ts", late).withColumn("at", F.unix_millis("ts")).groupBy("series")
+    out = rows.applyInPandasWithState(_breach(1000 * seconds), "series string, start long, end long, open boolean, samples long", BREACH, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumns({c: F.timestamp_millis(c) for c in ("start", "end")})
 
 
 def stream_event_rates(events: DataFrame, width: str, late: str, at: str = "ts") -> DataFrame:
