@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetmatch.llm import flat
-from fleetmatch.llm.store import hot_join, written
+from fleetmatch.llm.store import hot_join, mark, release, written
 from fleetmatch.llm.suffixes import Text
 
 #: Symbols in contexts of one gram that are sorted in one task (a symbol takes about 100 bytes there); grams with
@@ -356,20 +356,23 @@ def stretches(docs: DataFrame, spec: Spec, row: str, text: str, crowd: int | Non
     hold is never gathered.  Grams with more than ``crowd`` contexts are those of CROWD symbols.
     """
     crowd = CROWD // (2 * spec.window - spec.gram) if crowd is None else crowd
-    anchored = written(_block_rows(docs, spec, row, text)) if spec.blocks else _anchor_rows(docs, spec, row, text)
-    several = F.min(F.struct("context", "check")) != F.max(F.struct("context", "check"))
-    grams = written(anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), several.alias("several")).filter("n > 1"))
-    place = F.xxhash64("row", "at")
-    shared = written(hot_join(anchored, grams, ["gram"], "n", place).drop("n"))
-    classes = written(shared.groupBy(*SET, "several").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "at")).alias("first")))
+    spark, began, place = docs.sparkSession, mark(), F.xxhash64("row", "at")
+    if spec.blocks:
+        shared = written(_block_rows(docs, spec, row, text))  # these occur again
+    else:
+        anchored = _anchor_rows(docs, spec, row, text)
+        grams = written(anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        shared = written(hot_join(anchored, grams, ["gram"], "n", place).drop("n"))
+    release(spark, began, keep=1)
+    classes = written(shared.groupBy(*SET).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "at")).alias("first")))
     # what a gram's contexts are compared for: any that is alone, or with `earlier` the first of each
-    asking = classes.filter("several").groupBy("gram").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("contexts"))
+    asking = classes.groupBy("gram").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
     asking = written(asking.filter((F.col("least") == 1) | F.lit(spec.earlier)).select("gram", "contexts", (F.col("contexts") > crowd).alias("crowded")))
     compared = hot_join(classes.select("gram", "first"), asking, ["gram"], "contexts", F.xxhash64("first"))
     wanted = compared.select("first.row", F.struct("gram", "first.at", "crowded").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
 
     again = classes.filter("copies > 1").select(*SET, "first", "copies")
-    repeated = hot_join(shared.drop("several"), again, SET, "copies", place)
+    repeated = hot_join(shared, again, SET, "copies", place)
     if spec.earlier:
         repeated = repeated.filter(F.struct("row", "at") != F.col("first"))
     low = F.shiftright("at", 32) - F.shiftright("at", 16).bitwiseAND(0xFFFF)
@@ -382,8 +385,9 @@ def stretches(docs: DataFrame, spec: Spec, row: str, text: str, crowd: int | Non
         uncertain = _solve(contexts.filter("not crowded"), spec).unionByName(_counted(contexts.filter("crowded"), spec))
     else:
         uncertain = _solve(contexts, spec)
-    parts = certain.unionByName(uncertain).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
-    return written(parts)
+    parts = written(certain.unionByName(uncertain).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("parts")))
+    release(spark, began, keep=1)
+    return parts
 
 
 def _counted(contexts: DataFrame, spec: Spec) -> DataFrame:
