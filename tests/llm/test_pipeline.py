@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetmatch.llm.mixing import water_filled
+from fleetmatch.llm.sharding import ADDED
 from fleetmatch.llm.store import written
 from tests.conftest import SF
+from tests.llm.conftest import documents, untouched
 from tests.llm.test_dedup import brute_near
 from tests.llm.test_text import brute_hits
 
@@ -54,3 +56,20 @@ def test_run_has_the_rows_of_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "shard", "slot"} <= set(out.columns)
     assert out.count() == out.select(F.struct("shard", "slot")).distinct().count() > 0
+
+
+def test_stages_on_edge_tables(spark, corpus):
+    """Nulls, empty and long texts, repeated rows, null ids and columns of every internal name; then no rows at all."""
+    docs = documents(spark, [*corpus, None, ""])
+    more = docs.filter("doc_id < 12").unionByName(docs.filter("doc_id = 40").selectExpr("cast(null as long) doc_id", *docs.columns[1:]))
+    docs = written(docs.unionByName(more))
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, SF))
+        rows = out.collect()
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert rows and (last or out.columns == docs.columns)
+        assert untouched([r for r in rows if r["doc_id"] is not None], ADDED if last else ())
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.columns == out.columns and empty.count() == 0
+        docs = out
+    assert docs.count() == docs.select("shard", "slot").distinct().count()
