@@ -49,15 +49,18 @@ def apply_event(order: dict, e: dict) -> None:
         order["status"] = "match_pending"
 
 
-def _order(idle_ms: int | None):
+def _order(idle: int | None):
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:  # nothing came for so long that no event comes again
             state.update((*state.get[:-1], []))
+            yield pd.DataFrame([], columns=["order_id", "shard_id", *ORDER_FIELDS, "version", "changed", "next_offset", "requests"])
             return
         events = pd.concat(list(parts)).sort_values(["shard_id", "offset_value"]).to_dict("records")
         if state.exists:
             shard, *fields, version, rejected, seen = state.get
             order = dict(zip(ORDER_FIELDS, fields, strict=True))
+            if idle and 1000 * (order["updated_at"] + idle) <= state.getCurrentWatermarkMs():
+                seen = []  # events came in the batch in which the time ran out
         else:
             shard, version, rejected, seen = events[0]["shard_id"], 0, events[0]["event_type"] == S.ORDER_RETRY, []
             order = dict(zip(ORDER_FIELDS, BLANK, strict=True))
@@ -73,15 +76,15 @@ def _order(idle_ms: int | None):
                 requests.append({"event_id": f"{e['event_id']}-match-requested", "attempt": attempt, "x": int(order["x"]), "y": int(order["y"]), "shard_id": int(e["shard_id"]), "occurred_at": int(e["occurred_at"])})
         values = [order[f] for f in ORDER_FIELDS]
         state.update((int(shard), *values, version, rejected, sorted(known)))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        if idle:
+            state.setTimeoutTimestamp(max(1000 * (max(int(e["occurred_at"]) for e in events) + idle), state.getCurrentWatermarkMs() + 1))
         columns = ["order_id", "shard_id", *ORDER_FIELDS, "version", "changed", "next_offset", "requests"]
         yield pd.DataFrame([[key[0], shard, *values, version, version > before, events[-1]["offset_value"] + 1, requests]], columns=columns)
 
     return step
 
 
-def stream_order_state(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def stream_order_state(events: DataFrame, idle: int | None = None) -> DataFrame:
     """A row of every order that gets events (update mode): events of a key in log order, each event id once.
 
     ``version`` counts the events applied; the row of the highest version is current, and
@@ -89,10 +92,12 @@ def stream_order_state(events: DataFrame, idle_ms: int | None = None) -> DataFra
     the created and retry events applied, ``next_offset`` is the offset after the last event
     read.  An order that begins with a retry is rejected for good.  Events that arrive in a
     later batch than ones after them are applied late, as the log has no other order by
-    then.  With ``idle_ms`` the ids seen of an order that got nothing for so long are forgotten.
+    then.  With ``idle`` (seconds of the log's time, occurred_at) events further behind than
+    that are dropped, and an order's seen ids are forgotten once none of them can come again.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy("order_id").applyInPandasWithState(_order(idle_ms), ORDER_OUT, ORDER_STATE, "update", timeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    rows = events.withColumn("_ts", F.timestamp_seconds("occurred_at")).withWatermark("_ts", f"{idle} seconds") if idle else events
+    return rows.groupBy("order_id").applyInPandasWithState(_order(idle), ORDER_OUT, ORDER_STATE, "update", timeout)
 
 
 ORDER_ROW = f"order_id long, shard_id int, {ORDER_TYPES}, version long"
@@ -100,7 +105,7 @@ OUTBOX_ROW = "event_id string, event_type string, aggregate_type string, aggrega
 POSITION_ROW = "shard_id int, offset_value long"
 
 
-def apply_order_stream(events: DataFrame, path: str, checkpoint: str, idle_ms: int | None = None) -> StreamingQuery:
+def apply_order_stream(events: DataFrame, path: str, checkpoint: str, idle: int | None = None) -> StreamingQuery:
     """Order state with what belongs to it: each batch writes changed orders, match requests and positions.
 
     They go to ``path``/orders, /outbox and /positions, each in batch=N, from one evaluation
@@ -121,7 +126,7 @@ def apply_order_stream(events: DataFrame, path: str, checkpoint: str, idle_ms: i
         out.write.mode("overwrite").parquet(f"{path}/outbox/batch={number}")
         rows.groupBy("shard_id").agg(F.max("next_offset").alias("offset_value")).write.mode("overwrite").parquet(f"{path}/positions/batch={number}")
 
-    stream = stream_order_state(events, idle_ms).writeStream.outputMode("update").foreachBatch(save)
+    stream = stream_order_state(events, idle).writeStream.outputMode("update").foreachBatch(save)
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
