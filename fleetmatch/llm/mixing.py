@@ -24,6 +24,8 @@ MAX_COPIES = 3
 #: Rates are rounded to whole parts of a copy, so sums of them are exact and reruns and engines agree.
 PARTS = 1_000_000
 STARTS = 64
+#: Files of the (source, size) histogram, which every Newton step reads.
+FILES = 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,7 +61,7 @@ def water_filled(sources: DataFrame) -> DataFrame:
     )
 
 
-def newton_multipliers(histogram: DataFrame, targets: DataFrame, tolerance: float = 1e-14, most: int = 100) -> DataFrame:
+def newton_multipliers(histogram: DataFrame, targets: DataFrame, tolerance: float = 1e-12, most: int = 100) -> DataFrame:
     """``source, size, n`` and ``source, source_size, target`` -> the latter with ``lam`` and ``scale``.
 
     Minimises, per source, ``sum n phi(lam x) - lam T`` with ``phi' = min(MAX_COPIES, exp)``,
@@ -77,7 +79,7 @@ def newton_multipliers(histogram: DataFrame, targets: DataFrame, tolerance: floa
     high = F.when(has, F.lit(limit) / F.col("_x")).otherwise(0.0)
     start = F.when(F.col("target") >= F.col("source_size") * F.lit(float(MAX_COPIES)), F.col("high")).otherwise(0.0)
     state = known.withColumns({"low": low, "high": high}).withColumn("lam", start).select("source", "source_size", "target", "scale", "low", "high", "lam")
-    state = written(state)
+    state = written(state.coalesce(1))
     x, n, at = F.col("h.size") / F.col("s.scale"), F.col("h.n"), F.col("s.lam")
     rate = F.least(F.lit(float(MAX_COPIES)), F.exp(at * x))
     keys = ["source", "source_size", "target", "scale", "low", "high", "lam"]
@@ -93,7 +95,7 @@ def newton_multipliers(histogram: DataFrame, targets: DataFrame, tolerance: floa
         newton = F.when(F.col("bend") > 0, F.col("lam") - F.col("slope") / F.col("bend"))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         new = F.when(F.col("slope") == 0, F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        state = written(sums.withColumn("new", new).select("source", "source_size", "target", "scale", "low", "high", F.col("new").alias("lam"), (F.abs(F.col("new") - F.col("lam")) / (F.abs("lam") + 1)).alias("off")))
+        state = written(sums.withColumn("new", new).select("source", "source_size", "target", "scale", "low", "high", F.col("new").alias("lam"), (F.abs(F.col("new") - F.col("lam")) / (F.abs("lam") + 1)).alias("off")).coalesce(1))  # a row a source
         if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
     lams = state.select(F.col("source").alias("_name"), F.col("lam").alias("_lam"))
@@ -128,8 +130,9 @@ def ranked_copies(lean: DataFrame, row: str, rows: int = 8192) -> DataFrame:
     it in its own range, so no class is sorted as a whole however many rows it has.
     """
     histogram = written(lean.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    histogram = written(histogram.coalesce(FILES))  # read once a step
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    classes = written(class_copies(histogram, newton_multipliers(histogram, written(water_filled(sizes)))))
+    classes = written(class_copies(histogram, newton_multipliers(histogram, written(water_filled(sizes).coalesce(1)))))
     ranges = lean.select(F.col(row).alias("row"), "source", "size", F.floor(F.col(row) / F.lit(rows)).alias("range"))
     key = ["source", "size", "range"]
     counts = written(ranges.groupBy(*key).agg(F.count(F.lit(1)).alias("here")))

@@ -142,7 +142,7 @@ def resharded(docs: DataFrame, old: Column, shards: int = SHARDS, id_: str = "do
     return joined.select(*[c for c in docs.columns if c not in ADDED], *[F.col(own)[c].alias(c) for c in ADDED])
 
 
-def rewrite_affected(placed: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
+def rewrite_affected(placed: DataFrame, path: str, rows_per_file: int = 100_000) -> DataFrame:
     """Writes the shards that gain or lose rows under ``path``/shard=N; ``placed`` with their rows read from there.
 
     Shards that stay as they are aren't written.  ``placed`` should be written, as it is read more than once.
