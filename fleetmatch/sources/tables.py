@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import re
 import tempfile
@@ -67,12 +68,18 @@ def mark() -> int:
 
 
 def release(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the tables this thread has ``written`` since ``mark()``, but for the last ``keep``; nothing may need them any more."""
+    """Deletes the tables this thread has ``written`` since ``mark()``, but for the last ``keep``; nothing may need them any more.
+
+    The driver's JVM is asked to collect garbage, so that Spark's cleaner also removes the
+    shuffle files of the jobs that made them.
+    """
     gone = _made.paths[since : len(_made.paths) - keep]
     del _made.paths[since : len(_made.paths) - keep]
     for path in gone:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def importable(spark: SparkSession) -> None:
