@@ -16,7 +16,7 @@ from fleetmatch.llm.store import fresh, numbered, table
 
 BYTES = Spec(window=200, gram=32, earlier=False, symbols=byte_symbols, width=1)
 #: Fixed reference blocks of ten words, probed by every rolling window.
-WORDS = Spec(window=20, gram=10, earlier=True, symbols=word_symbols, width=8, blocks=True)
+WORDS = Spec(window=20, gram=10, earlier=True, symbols=word_symbols, width=6, blocks=True)
 
 
 def _mapped(docs: DataFrame, spec: Spec, id_: str, names: str, make) -> DataFrame:

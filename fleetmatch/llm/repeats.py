@@ -140,7 +140,7 @@ def _contexts(texts: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
             n = at & 0xFFFF
             first = np.cumsum(n) - n
             index = np.repeat(low - first, n) + np.arange(int(n.sum()))
-            flat_symbols = (symbols[index] - np.uint64(1)).astype(np.uint8) if spec.width == 1 else symbols[index]
+            flat_symbols = (symbols[index] - np.uint64(1)).astype(np.uint8) if spec.width == 1 else symbols[index].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : spec.width]
             ends = np.zeros(len(n) + 1, np.int32)
             ends[1:] = np.cumsum(n * spec.width)
             blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat_symbols.tobytes())])
@@ -150,13 +150,22 @@ def _contexts(texts: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
     return texts.mapInArrow(cut, "gram long, row long, at long, blob binary, crowded boolean")
 
 
+def _shipped(data: np.ndarray, width: int) -> np.ndarray:
+    """Symbols of shipped contexts: bytes, or the low ``width`` bytes of word hashes."""
+    if width == 1:
+        return data.astype(np.uint64) + np.uint64(1)
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = data.reshape(-1, width)
+    return wide.view("<u8").ravel()
+
+
 def solved(group: np.ndarray, row: np.ndarray, at: np.ndarray, blobs: pa.Array, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Repeated stretches (row, start, end) among contexts; ``group`` numbers the grams and doesn't fall."""
     position, left = at >> 32, at >> 16 & 0xFFFF
     order = np.lexsort((position, row, group))  # earlier first within a gram
     group, row, at, position, left = group[order], row[order], at[order], position[order], left[order]
     data, offsets = flat.texts(blobs.take(pa.array(order)))
-    symbols = data.astype(np.uint64) + np.uint64(1) if spec.width == 1 else np.frombuffer(data.tobytes(), np.uint64)
+    symbols = _shipped(data, spec.width)
     offsets = offsets // spec.width
     n, total = len(group), len(symbols)
     anchor = offsets[:-1] + left
@@ -385,6 +394,9 @@ def stretches(docs: DataFrame, spec: Spec, row: str, text: str, crowd: int | Non
         uncertain = _solve(contexts.filter("not crowded"), spec).unionByName(_counted(contexts.filter("crowded"), spec))
     else:
         uncertain = _solve(contexts, spec)
+    uncertain = written(uncertain)
+    del contexts, texts, wanted, compared
+    release(spark, mark())  # the shuffles behind them
     parts = written(certain.unionByName(uncertain).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("parts")))
     release(spark, began, keep=1)
     return parts
@@ -396,7 +408,7 @@ def _counted(contexts: DataFrame, spec: Spec) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat.texts(batch.column("blob"))
-            symbols = data.astype(np.uint64) + np.uint64(1) if spec.width == 1 else np.frombuffer(data.tobytes(), np.uint64)
+            symbols = _shipped(data, spec.width)
             offsets = offsets // spec.width
             at = batch.column("at").to_numpy()
             left = at >> 16 & 0xFFFF
