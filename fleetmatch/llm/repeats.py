@@ -330,7 +330,8 @@ def _block_rows(docs: DataFrame, spec: Spec, row: str, text: str) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(8, int(total / BUCKET_BYTES))
     texts = written(docs.select(F.col(row).alias("row"), F.col(text).alias("text"), F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk")))
-    hits = _hits(_probes(texts, spec, "text", buckets))
+    hits = written(_hits(_probes(texts, spec, "text", buckets)))
+    release(docs.sparkSession, mark())  # the probes' shuffle
     none = F.lit(None)
     both = hits.select("chunk", F.lit(0).alias("kind"), none.cast("long").alias("row"), none.cast("string").alias("text"), "keys").unionByName(
         texts.select("chunk", F.lit(1).alias("kind"), "row", "text", none.cast("array<long>").alias("keys"))
