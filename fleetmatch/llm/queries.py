@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetmatch.llm import chat, decontamination, embedding_dedup, exact_dedup, manifest, mixing, near_dedup, secrets, sharding, toxicity
+from fleetmatch.llm import chat, decontamination, embedding_dedup, exact_dedup, manifest, mixing, near_dedup, secrets, sharding, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_super_minhash": near_dedup.op1_super_minhash,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_snapshot_collapse": chat.op8_snapshot_collapse,
     "op9_anchor_dedup": exact_dedup.op9_anchor_dedup,
     "op10_entropy_mixing": mixing.op10_entropy_mixing,
+    "op11_whitening": whitening.op11_whitening,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
