@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetmatch.llm import chat, decontamination, embedding_dedup, exact_dedup, manifest, mixing, near_dedup, secrets, sharding, toxicity, whitening
+from fleetmatch.llm import chat, decontamination, embedding_dedup, exact_dedup, main_text, manifest, mixing, near_dedup, secrets, sharding, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_super_minhash": near_dedup.op1_super_minhash,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_anchor_dedup": exact_dedup.op9_anchor_dedup,
     "op10_entropy_mixing": mixing.op10_entropy_mixing,
     "op11_whitening": whitening.op11_whitening,
+    "op12_main_text": main_text.op12_main_text,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
