@@ -9,6 +9,8 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,37 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scope:
+    """The tables that a ``temporary`` block leaves behind."""
+
+    def __init__(self) -> None:
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written, as a table that outlives the block and belongs to what is around it."""
+        out = written(df)
+        self.kept.add(_made.paths[-1])
+        return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Scope]:
+    """Owns what is ``written`` in the block (by this thread): it is deleted at the end, but for what the scope keeps."""
+    began, scope = len(_made.paths), Scope()
+    try:
+        yield scope
+    finally:
+        mine = _made.paths[began:]
+        _made.paths[began:] = [p for p in mine if p in scope.kept]
+        _delete(spark, [p for p in mine if p not in scope.kept])
+
+
 def mark() -> int:
     """A point in time for ``release``."""
     return len(_made.paths)
@@ -75,9 +108,7 @@ def release(spark: SparkSession, since: int, keep: int = 0) -> None:
     """
     gone = _made.paths[since : len(_made.paths) - keep]
     del _made.paths[since : len(_made.paths) - keep]
-    for path in gone:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, gone)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -152,7 +152,7 @@ def stream_rider_state(events: DataFrame) -> DataFrame:
 RIDERS = "uid long, x int, y int, online boolean, count long"
 
 
-def stream_match(rows: DataFrame, layout: Layout, path: str, checkpoint: str, k: int = 10, cap: int = CAP, load_weight: int = LOAD_WEIGHT, radii: tuple[int, ...] = RADII, mode: str = "exact_home") -> StreamingQuery:
+def stream_match(rows: DataFrame, layout: Layout, path: str, checkpoint: str, k: int = 10, cap: int = CAP, load_weight: int = LOAD_WEIGHT, radii: tuple[int, ...] = RADII, mode: str = "exact") -> StreamingQuery:
     """Writes an outcome of every order to ``path``/batch=..., as riders and orders arrive; no rider is a miss.
 
     ``rows`` has riders and orders as is_order, seq, order_id (a rider's uid), x, y, load.
