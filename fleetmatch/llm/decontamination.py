@@ -376,11 +376,11 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
                     keep[k] = left is not None
                     column[k] = None if left is None else left.decode()
                 names = {text: pa.array(column, batch.schema.field(text).type)}
-                if "n_chars" in batch.schema.names:
-                    chars = batch.column("n_chars").to_pylist()
+                for name in [n for n in batch.schema.names if n.lower() == "n_chars"]:
+                    chars = batch.column(name).to_pylist()
                     for k in found:
                         chars[k] = None if column[k] is None else len(column[k])
-                    names["n_chars"] = pa.array(chars, batch.schema.field("n_chars").type)
+                    names[name] = pa.array(chars, batch.schema.field(name).type)
                 batch = pa.RecordBatch.from_arrays([names.get(f.name, batch.column(f.name)) for f in batch.schema], schema=batch.schema)
                 batch = batch.filter(pa.array(keep))
             yield batch
@@ -422,8 +422,8 @@ def _cleaned_by_blocks(docs: DataFrame, benchmark: DataFrame, text: str, item: s
     final = done.select(F.col("row").alias(row), F.struct("text", stays.alias("stays")).alias(own))
     out = rows.join(final, row, "left").filter(F.coalesce(F.col(own)["stays"], F.lit(True)))
     new = {text: F.coalesce(F.col(own)["text"], F.col(text))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col(own).isNotNull(), F.length(F.col(own)["text"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    for c in [c for c in docs.columns if c.lower() == "n_chars"]:
+        new[c] = F.when(F.col(own).isNotNull(), F.length(F.col(own)["text"])).otherwise(F.col(c)).cast(docs.schema[c].dataType)
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetmatch.llm.store import fresh, table
+from fleetmatch.llm.store import fresh, others, table
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -310,7 +310,7 @@ def extracted(pages: DataFrame, column: str = "html", weights: dict[str, float]
         for part in parts:
             yield pd.Series([main_text(source, scorer) for source in part], dtype=object)
 
-    kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    kept = others(pages, ["text", "n_chars"])
     rows = pages.withColumn(out, texts(F.col(f"`{column}`")))
     return rows.select(*[F.col(f"`{c}`") for c in kept], F.col(out).alias("text"), F.char_length(out).cast("long").alias("n_chars"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetmatch.llm.store import fresh, numbered, table, written
+from fleetmatch.llm.store import fresh, numbered, others, table, written
 
 MAX_COPIES = 3
 #: Rates are rounded to whole parts of a copy, so sums of them are exact and reruns and engines agree.
@@ -162,7 +162,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     lean = written(rows.select(F.col(row).alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
     own = ranked_copies(lean, "row").select(F.col("row").alias(row), F.struct(*ADDED).alias(fresh(rows, "_own")))
     joined = rows.join(own, row)
-    return joined.select(*[c for c in docs.columns if c not in ADDED], *[F.col(own.columns[1])[c].alias(c) for c in ADDED])
+    return joined.select(*others(docs, ADDED), *[F.col(own.columns[1])[c].alias(c) for c in ADDED])
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -16,7 +16,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetmatch.llm.store import fresh, numbered, table
+from fleetmatch.llm.store import fresh, numbered, others, table
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_: str = "doc_id
         if rule not in full:
             own = F.when(F.array_contains(kinds, rule.kind), own)
         spans.append(F.coalesce(_tagged(own, rank, rule.kind), F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")))
-    return checked.select(*[c for c in docs.columns if c != "found"], F.array_sort(F.concat(*spans)).alias("found"))
+    return checked.select(*others(docs, ["found"]), F.array_sort(F.concat(*spans)).alias("found"))
 
 
 def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fleetmatch.llm.store import fresh, numbered, table, written
+from fleetmatch.llm.store import fresh, numbered, others, table, written
 
 SHARDS = 24
 OVERHEAD = 8  # bytes a row takes besides its text
@@ -139,7 +139,7 @@ def resharded(docs: DataFrame, old: Column, shards: int = SHARDS, id_: str = "do
     own = fresh(rows, "_own")
     placed = placements(lean, shards).select(F.col("row").alias(row), F.struct(*ADDED).alias(own))
     joined = rows.join(placed, row)
-    return joined.select(*[c for c in docs.columns if c not in ADDED], *[F.col(own)[c].alias(c) for c in ADDED])
+    return joined.select(*others(docs, ADDED), *[F.col(own)[c].alias(c) for c in ADDED])
 
 
 def rewrite_affected(placed: DataFrame, path: str, rows_per_file: int = 100_000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetmatch.sources.tables import importable, mark, release, table, written
 
-__all__ = ["Numbered", "fresh", "hot_join", "importable", "mark", "numbered", "release", "table", "written"]
+__all__ = ["Numbered", "fresh", "hot_join", "importable", "mark", "numbered", "others", "release", "table", "written"]
 
 #: Keys with more than one in HOT of all rows are spread over WAYS tasks each; there are fewer than HOT of them.
 HOT, WAYS = 1000, 64
@@ -23,6 +23,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def others(df: DataFrame, added: list[str]) -> list[str]:
+    """Columns of ``df`` but for those that have one of the ``added`` names, in whatever case."""
+    return [c for c in df.columns if c.lower() not in {a.lower() for a in added}]
+
+
 class Numbered(NamedTuple):
     rows: DataFrame
     name: str  # of the column that tells rows apart

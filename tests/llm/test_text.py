@@ -83,7 +83,7 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(6)
     some = lambda n: " ".join(rng.choice("red green blue cyan teal été".split()) for _ in range(n))
     items = [(str(k), t) for k, t in enumerate([some(14), some(25), some(3), "lone", "", None, some(10), some(9), "a b a b a b a b a b a b"])]
@@ -91,11 +91,11 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id string, text string")
     docs = documents(spark, texts)
     for limit in (16 << 20, 60):
-        decontamination.BLOCK_BYTES = limit
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", limit)
         got = decontamination.scanned(docs, bench).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == {i: brute_hits(t, items) for i, t in enumerate(texts)}
         assert untouched(got, decontamination.ADDED)
-    decontamination.BLOCK_BYTES = 16 << 20
+    monkeypatch.undo()
     clean = decontamination.cleaned(docs, bench)
     assert clean.columns == docs.columns and untouched(clean.collect())
     kept = {r["doc_id"]: r["text"] for r in clean.collect()}
