@@ -6,9 +6,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetmatch import schemas as S
@@ -21,7 +22,7 @@ ORDER_FIELDS = ("status", "x", "y", "attempt", "cancel_reason", "retry_reason",
 ORDER_TYPES = "status string, x int, y int, attempt int, cancel_reason string, retry_reason string, miss_reason string, rider_id long, score int, last_event_id string, updated_at long"
 REQUEST = "struct<event_id:string,attempt:int,x:int,y:int,shard_id:int,occurred_at:long>"
 ORDER_OUT = f"order_id long, shard_id int, {ORDER_TYPES}, version long, changed boolean, next_offset long, requests array<{REQUEST}>"
-ORDER_STATE = f"shard_id int, {ORDER_TYPES}, version long, rejected boolean, seen array<string>"
+ORDER_STATE = f"shard_id int, {ORDER_TYPES}, version long, rejected boolean, last long"  # last: latest time of its events
 # An order before its first event.
 BLANK = ("", 0, 0, 0, "", "", "", 0, 0, "", 0)
 
@@ -49,39 +50,62 @@ def apply_event(order: dict, e: dict) -> None:
         order["status"] = "match_pending"
 
 
-def _order(idle: int | None):
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # nothing came for so long that no event comes again
-            state.update((*state.get[:-1], []))
-            yield pd.DataFrame([], columns=["order_id", "shard_id", *ORDER_FIELDS, "version", "changed", "next_offset", "requests"])
-            return
-        events = pd.concat(list(parts)).sort_values(["shard_id", "offset_value"]).to_dict("records")
-        if state.exists:
-            shard, *fields, version, rejected, seen = state.get
+class _Orders(StatefulProcessor):
+    """An order's row, and one entry for each event id seen: an event touches its own entry only."""
+
+    def __init__(self, idle: int | None) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.order = handle.getValueState("order", ORDER_STATE)
+        self.seen = handle.getMapState("seen", "event_id string", "at long")
+
+    def _forgets(self, last: int, watermark: int) -> bool:
+        """Whether nothing came for so long that no event comes again."""
+        return bool(self.idle) and 1000 * (last + self.idle) <= watermark
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["shard_id", "offset_value"]).to_dict("records")
+        watermark = timerValues.getCurrentWatermarkInMs() if self.idle else 0
+        if self.order.exists():
+            shard, *fields, version, rejected, last = self.order.get()
             order = dict(zip(ORDER_FIELDS, fields, strict=True))
-            if idle and 1000 * (order["updated_at"] + idle) <= state.getCurrentWatermarkMs():
-                seen = []  # events came in the batch in which the time ran out
+            if self._forgets(last, watermark):
+                self.seen.clear()  # the time ran out in the batch in which events came
         else:
-            shard, version, rejected, seen = events[0]["shard_id"], 0, events[0]["event_type"] == S.ORDER_RETRY, []
+            shard, version, rejected, last = events[0]["shard_id"], 0, events[0]["event_type"] == S.ORDER_RETRY, 0
             order = dict(zip(ORDER_FIELDS, BLANK, strict=True))
-        known, before, requests = set(seen), version, []
+        before, requests = version, []
         for e in events:
-            if rejected or e["event_id"] in known:
+            if rejected or self.seen.containsKey((e["event_id"],)):
                 continue
-            known.add(e["event_id"])
+            self.seen.updateValue((e["event_id"],), (int(e["occurred_at"]),))
             apply_event(order, e)
             version += 1
             if e["event_type"] in (S.ORDER_CREATED, S.ORDER_RETRY):
                 attempt = int(e["attempt"]) if e["event_type"] == S.ORDER_RETRY else 0
                 requests.append({"event_id": f"{e['event_id']}-match-requested", "attempt": attempt, "x": int(order["x"]), "y": int(order["y"]), "shard_id": int(e["shard_id"]), "occurred_at": int(e["occurred_at"])})
-        values = [order[f] for f in ORDER_FIELDS]
-        state.update((int(shard), *values, version, rejected, sorted(known)))
-        if idle:
-            state.setTimeoutTimestamp(max(1000 * (max(int(e["occurred_at"]) for e in events) + idle), state.getCurrentWatermarkMs() + 1))
+        last = max([last, *(int(e["occurred_at"]) for e in events)])
+        values = [order[f] if isinstance(order[f], str) else int(order[f]) for f in ORDER_FIELDS]
+        self.order.update((int(shard), *values, version, rejected, last))
+        if self.idle:
+            self.handle.registerTimer(max(1000 * (last + self.idle), watermark + 1))
         columns = ["order_id", "shard_id", *ORDER_FIELDS, "version", "changed", "next_offset", "requests"]
         yield pd.DataFrame([[key[0], shard, *values, version, version > before, events[-1]["offset_value"] + 1, requests]], columns=columns)
 
-    return step
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.order.exists() and self._forgets(self.order.get()[-1], timerValues.getCurrentWatermarkInMs()):
+            self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """State of more than one variable a key is kept in RocksDB; streams that have a checkpoint go on with what they began with."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_order_state(events: DataFrame, idle: int | None = None) -> DataFrame:
@@ -95,9 +119,9 @@ def stream_order_state(events: DataFrame, idle: int | None = None) -> DataFrame:
     then.  With ``idle`` (seconds of the log's time, occurred_at) events further behind than
     that are dropped, and an order's seen ids are forgotten once none of them can come again.
     """
-    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    keep_state_in_rocksdb(events.sparkSession)
     rows = events.withColumn("_ts", F.timestamp_seconds("occurred_at")).withWatermark("_ts", f"{idle} seconds") if idle else events
-    return rows.groupBy("order_id").applyInPandasWithState(_order(idle), ORDER_OUT, ORDER_STATE, "update", timeout)
+    return rows.groupBy("order_id").transformWithStateInPandas(_Orders(idle), ORDER_OUT, "update", "EventTime" if idle else "None")
 
 
 ORDER_ROW = f"order_id long, shard_id int, {ORDER_TYPES}, version long"
@@ -130,23 +154,44 @@ def apply_order_stream(events: DataFrame, path: str, checkpoint: str, idle: int
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _rider(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    here, x, y, last = state.get if state.exists else (None, None, None, -1)
-    for e in pd.concat(list(parts)).sort_values("seq").to_dict("records"):
-        if e["type"] == "online" or (e["type"] == "move" and here):
-            x, y = e["x"], e["y"]
-        if e["type"] != "move" and (e["type"] == "online" or here is not None):
-            here = e["type"] == "online"
-        last = e["seq"]
-    state.update((here, x, y, last))
-    if here is not None:
-        yield pd.DataFrame([[key[0], x, y, here, last]], columns=["uid", "x", "y", "online", "version"])
+RIDER_STATE = "online boolean, x int, y int, last long"
 
 
-def stream_rider_state(events: DataFrame) -> DataFrame:
-    """Rider rows as they change: online places, moves while there, offline leaves (online = false)."""
-    schema = "x int, y int"
-    return events.groupBy("uid").applyInPandasWithState(_rider, f"uid long, {schema}, online boolean, version long", f"online boolean, {schema}, last long", "update", GroupStateTimeout.NoTimeout)
+class _Riders(StatefulProcessor):
+    """Where a rider is; offline riders stay known, riders that never were online do not."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rider = handle.getValueState("rider", RIDER_STATE)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        r = initialState.iloc[0]
+        self.rider.update((bool(r["online"]), int(r["x"]), int(r["y"]), -1))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        here, x, y, last = self.rider.get() if self.rider.exists() else (None, None, None, -1)
+        for e in pd.concat(list(rows)).sort_values("seq").to_dict("records"):
+            if e["type"] == "online" or (e["type"] == "move" and here):
+                x, y = int(e["x"]), int(e["y"])
+            if e["type"] != "move" and (e["type"] == "online" or here is not None):
+                here = e["type"] == "online"
+            last = int(e["seq"])
+        if here is not None:
+            self.rider.update((here, x, y, last))
+            yield pd.DataFrame([[key[0], x, y, here, last]], columns=["uid", "x", "y", "online", "version"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rider_state(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rider rows as they change: online places, moves while there, offline leaves (online = false).
+
+    ``known`` riders (uid, x, y, online; one row each) are the state that the stream starts
+    from; it is read once, when the stream has no checkpoint yet.
+    """
+    keep_state_in_rocksdb(events.sparkSession)
+    start = known.select("uid", "x", "y", "online").groupBy("uid") if known is not None else None
+    return events.groupBy("uid").transformWithStateInPandas(_Riders(), "uid long, x int, y int, online boolean, version long", "update", "None", start)
 
 
 RIDERS = "uid long, x int, y int, online boolean, count long"

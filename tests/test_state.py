@@ -324,3 +324,16 @@ def test_order_stream_writes_what_belongs_together(spark, tmp_path, idle):
     first = read("outbox").filter("event_id = 'e0-match-requested' and occurred_at = 100").collect()
     assert [(r["topic"], r["payload"]) for r in first] == [("match-requests", '{"OrderID":1,"X":10,"Y":20,"Attempt":0}')]
     assert read("positions").agg({"offset_value": "max"}).first()[0] == 21
+
+
+def test_rider_stream_starts_from_known_riders(spark, tmp_path):
+    """Moves of a known rider count from the first batch on; the state is not loaded again after a restart."""
+    from fleetmatch.streaming import streams as S
+
+    known = spark.createDataFrame([(1, 5, 5, True), (2, 6, 6, False)], "uid long, x int, y int, online boolean")
+    schema, out = "uid long, type string, x int, y int, seq long", str(tmp_path / "out")
+    for step in ([(1, "move", 7, 7, 1), (2, "move", 8, 8, 2), (3, "move", 9, 9, 3)], [(1, "offline", 0, 0, 4), (2, "online", 1, 1, 5)], [(1, "move", 3, 3, 6)]):
+        stream = streamed(spark, spark.createDataFrame(step, schema), str(tmp_path / "in"))
+        S.update_log(S.stream_rider_state(stream, known), out, str(tmp_path / "checkpoint")).awaitTermination()
+    rows = sorted((r["version"], r["uid"], r["x"], r["online"]) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, 1, 7, True), (2, 2, 6, False), (4, 1, 7, False), (5, 2, 1, True), (6, 1, 7, False)]
