@@ -14,6 +14,7 @@ from fleetmatch.plans.spatial import layout, online
 from fleetmatch.plans.state import ONCE, RIDERS, folded
 from fleetmatch.sources.event_log import tail_event_log
 from fleetmatch.sources.fixtures import Inputs
+from fleetmatch.sources.runs import ddl
 from fleetmatch.sources.tables import scratch
 from fleetmatch.streaming import streams as S
 
@@ -118,9 +119,7 @@ def outbox_after_publishing(fx: Inputs) -> DataFrame:
     rows, path = fx("outbox"), scratch(fx.spark, "topics")
     stream = arrivals(fx, rows, ["shard_id < 32", "shard_id >= 32"], "event_id")
     S.publish_outbox_stream(stream, path, KNOWN, scratch(fx.spark, "stream"), clock=lambda: NOW).awaitTermination()
-    last = fx.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, batch long").parquet(f"{path}-outbox")
-    top = last.agg(F.max("batch").alias("batch"))
-    return last.join(F.broadcast(top), "batch").select("event_id", "published_at", "claimed_by", "last_error")
+    return S.kept_outbox(fx.spark, path, ddl(rows)).rows().select("event_id", "published_at", "claimed_by", "last_error")
 
 
 @query("t7_stream_sustained_breach", f"""WITH {INCREASE}, b AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts) - row_number() OVER (PARTITION BY metric, increase >= 3 ORDER BY ts) AS island FROM i)
@@ -143,8 +142,8 @@ def upsert_stream(fx: Inputs) -> DataFrame:
     rows = rows.select("order_id", F.col("event_type").alias("status"), F.col("seq").alias("updated_at"))
     stream = arrivals(fx, rows, [p.replace("seq", "updated_at") for p in parts], "order_id")
     path = scratch(fx.spark, "orders")
-    upsert_stream(stream, path, ["order_id"], "updated_at", scratch(fx.spark, "stream"), 16).awaitTermination()
-    return read_upserted(fx.spark, path, "order_id long, status string, updated_at long")
+    upsert_stream(stream, path, ["order_id"], "updated_at", scratch(fx.spark, "stream")).awaitTermination()
+    return read_upserted(fx.spark, path, "order_id long, status string, updated_at long", ["order_id"], "updated_at")
 
 
 @query("s3_tail_event_log", "SELECT shard_id, count(*) AS events, max(offset_value) AS last_offset FROM lifecycle GROUP BY shard_id")

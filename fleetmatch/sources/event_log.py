@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from fleetmatch.operators.ranks import with_place
 from fleetmatch.schemas import EVENT_LOG
-from fleetmatch.sources.tables import written
+from fleetmatch.sources.runs import Runs, ddl
 
 
 def write_event_log(log: DataFrame, path: str, fmt: str = "json") -> None:
@@ -60,39 +60,24 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], version: st
     return every.withColumn("_nth", F.row_number().over(latest)).filter("_nth = 1").select(*columns)
 
 
-def part_of(keys: list[str], parts: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+def upserted(spark: SparkSession, path: str, schema: str, keys: list[str], version: str) -> Runs:
+    """The table that ``upsert_stream`` keeps under ``path``."""
+    return Runs(spark, path, schema, keys, order=F.col(version))
 
 
-def read_upserted(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """Rows of a table that ``upsert_stream`` keeps: of each part the files of its last batch (ahead of ``before``)."""
-    rows = spark.read.schema(f"{schema}, batch long, part int").parquet(path)
-    if before is not None:
-        rows = rows.filter(F.col("batch") < before)
-    last = rows.groupBy("part").agg(F.max("batch").alias("batch"))  # as many rows as parts
-    return rows.join(F.broadcast(last), ["part", "batch"], "left_semi").drop("batch", "part")
+def read_upserted(spark: SparkSession, path: str, schema: str, keys: list[str], version: str) -> DataFrame:
+    """The latest row of each key in a table that ``upsert_stream`` keeps."""
+    runs = upserted(spark, path, schema, keys, version)
+    return runs.rows(runs.batches())
 
 
-def upsert_stream(updates: DataFrame, path: str, keys: list[str], version: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
-    """Keeps the latest row of each key under ``path``/batch=.../part=..., rewriting in each batch only the parts it touches.
-
-    A key's part is a hash of it.  A batch that is run again after a failure starts from the
-    batches before it and replaces what it wrote; older files stay until they are removed.
-    """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in updates.schema.fields)
+def upsert_stream(updates: DataFrame, path: str, keys: list[str], version: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the latest row of each key (by ``version``, of equal ones the later) under ``path``; a batch writes its own keys only (``sources.runs``)."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = written(batch.withColumn("part", part_of(keys, parts)))
-        touched = new.select("part").distinct()  # as many rows as parts
-        merged = new.drop("part")
-        if number:
-            held = read_upserted(spark, path, fields, number).withColumn("part", part_of(keys, parts))
-            merged = upsert(held.join(F.broadcast(touched), "part", "left_semi").drop("part"), merged, keys, version)
-        else:
-            merged = upsert(merged.limit(0), merged, keys, version)
-        out = merged.withColumn("part", part_of(keys, parts)).repartition("part")
-        out.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
+        runs = upserted(batch.sparkSession, path, ddl(batch), keys, version)
+        runs.merge(number)
+        runs.add(upsert(batch.limit(0), batch, keys, version), number)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

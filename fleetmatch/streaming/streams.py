@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from fleetmatch import schemas as S
 from fleetmatch.functions.spatial import LOAD_WEIGHT, RADII, Layout
 from fleetmatch.operators.matching import CAP, OUTCOME, match_orders
-from fleetmatch.operators.outbox import apply_claims, claim_outbox, create_outbox, mark_outbox_failed, mark_outbox_published, split_by_topic
-from fleetmatch.sources.tables import written
+from fleetmatch.operators.outbox import apply_claims, claim_outbox, mark_outbox_failed, mark_outbox_published, split_by_topic
+from fleetmatch.sources.runs import Runs, ddl
+from fleetmatch.sources.tables import temporary, written
 
 ORDER_FIELDS = ("status", "x", "y", "attempt", "cancel_reason", "retry_reason", "miss_reason", "rider_id", "score", "last_event_id", "updated_at")
 ORDER_TYPES = "status string, x int, y int, attempt int, cancel_reason string, retry_reason string, miss_reason string, rider_id long, score int, last_event_id string, updated_at long"
@@ -138,7 +140,10 @@ def apply_order_stream(events: DataFrame, path: str, checkpoint: str, idle: int
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        rows = written(batch)
+        with temporary(batch.sparkSession):
+            write(written(batch), number)
+
+    def write(rows: DataFrame, number: int) -> None:
         rows.filter("changed").drop("changed", "next_offset", "requests").write.mode("overwrite").parquet(f"{path}/orders/batch={number}")
         due = rows.select("order_id", F.explode("requests").alias("r")).select("order_id", "r.*")
         body = F.to_json(F.struct(F.col("order_id").alias("OrderID"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("attempt").alias("Attempt")))
@@ -203,65 +208,103 @@ def stream_match(rows: DataFrame, layout: Layout, path: str, checkpoint: str, k:
     ``rows`` has riders and orders as is_order, seq, order_id (a rider's uid), x, y, load.
     Orders of a batch are matched by ``match_orders``, those of other shards' riders
     included, after the batch's new riders; a rider that comes again replaces its row.
-    Riders with their loads after a batch are in ``path``-riders/batch=..., so a batch that
-    is run again after a failure starts from the same loads and replaces what it wrote.
+    Riders and their loads are a table of runs in ``path``-riders: a batch adds those that
+    are new or have gained orders.  A batch that is run again after a failure starts from
+    the same loads and replaces what it wrote.
     """
 
     def match(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        place = F.struct("x", "y", F.lit(True).alias("online"), F.col("load").alias("count"))
-        riders = batch.filter("not is_order").groupBy(F.col("order_id").alias("uid")).agg(F.max_by(place, "seq").alias("s")).select("uid", "s.*")
-        if number:
-            held = spark.read.schema(RIDERS).parquet(f"{path}-riders/batch={number - 1}")
-            riders = held.join(riders.select("uid"), "uid", "left_anti").unionByName(riders)
-        out = match_orders(batch.filter("is_order"), riders, layout, k, cap, load_weight, radii, mode)
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        taken = spark.read.schema(OUTCOME).parquet(f"{path}/batch={number}").filter("rider_id is not null")
-        gained = taken.groupBy(F.col("rider_id").alias("uid")).agg(F.count(F.lit(1)).alias("_more"))
-        after = riders.join(gained, "uid", "left").withColumn("count", F.col("count") + F.coalesce("_more", F.lit(0))).drop("_more")
-        after.write.mode("overwrite").parquet(f"{path}-riders/batch={number}")
+        with temporary(spark):
+            table = rider_runs(spark, path)
+            table.merge(number)
+            place = F.struct("x", "y", F.lit(True).alias("online"), F.col("load").alias("count"))
+            new = written(batch.filter("not is_order").groupBy(F.col("order_id").alias("uid")).agg(F.max_by(place, "seq").alias("s")).select("uid", "s.*"))
+            riders = written(table.rows(number).join(new.select("uid"), "uid", "left_anti").unionByName(new))
+            out = match_orders(batch.filter("is_order"), riders, layout, k, cap, load_weight, radii, mode)
+            out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            taken = spark.read.schema(OUTCOME).parquet(f"{path}/batch={number}").filter("rider_id is not null")
+            gained = taken.groupBy(F.col("rider_id").alias("uid")).agg(F.count(F.lit(1)).alias("_more"))
+            changed = riders.join(gained.unionByName(new.select("uid", F.lit(0).cast("long").alias("_more"))).groupBy("uid").agg(F.sum("_more").alias("_more")), "uid")
+            table.add(changed.withColumn("count", F.col("count") + F.col("_more")).drop("_more"), number)
 
     return rows.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def rider_runs(spark: SparkSession, path: str) -> Runs:
+    """The riders that ``stream_match`` keeps beside ``path``."""
+    return Runs(spark, f"{path}-riders", RIDERS, ["uid"])
+
+
 def append_topic(rows: DataFrame, path: str) -> None:
     """Appends events to a topic as files; rerun batches replace what they wrote."""
     rows.write.mode("overwrite").parquet(path)
 
 
+DAY = 86_400
+#: Days of one batch's rows whose folders are looked up by name; with more all published ids are read.
+DAYS = 1000
+
+
+class Outbox(NamedTuple):
+    """What ``publish_outbox_stream`` keeps: pending rows by themselves, published ones by the day of the event."""
+
+    pending: Runs
+    published: Runs
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        """All rows as they are, or were ahead of the batch ``before``."""
+        n = self.pending.batches() if before is None else before
+        return self.pending.rows(n).unionByName(self.published.rows(n).drop("_day"))
+
+
+def kept_outbox(spark: SparkSession, path: str, schema: str) -> Outbox:
+    runs = lambda name, fields, by: Runs(spark, f"{path}-{name}", fields, ["event_id"], by)
+    return Outbox(runs("pending", schema, ()), runs("published", f"{schema}, _day long", ("_day",)))
+
+
 def publish_outbox_stream(outbox: DataFrame, path: str, known: list[str], checkpoint: str, worker: str = "publisher", lease: int = 30, limit: int | None = None, clock: Callable[[], int] = lambda: int(time.time()), append: Callable[[DataFrame, str], None] = append_topic) -> StreamingQuery:
-    """Publishes outbox rows to ``path``/batch=.../topic=... as they come, and keeps the outbox in ``path``-outbox/batch=....
+    """Publishes outbox rows to ``path``/batch=.../topic=... as they come; the outbox is kept beside it (``kept_outbox``).
 
-    Each batch adds its new rows to the outbox, claims the rows that are free (with ``limit``
-    the oldest of them), appends each topic's rows at once and marks them published.  Rows
+    Each batch takes in its new rows, claims the rows that are free (with ``limit`` the
+    oldest of them), appends each topic's rows at once and marks them published.  Rows
     of an unknown topic and of a topic whose append fails are marked failed with the error
-    and lose the claim, so a later batch tries them again.  A batch that is run again after
-    a failure starts from the outbox of the batch before and replaces what it wrote:
+    and lose the claim, so a later batch tries them again.  A batch reads what is pending,
+    and of published rows the ids of the days its own events are of (an event that comes
+    again has its time); it writes the rows it changes.  A batch that is run again after a
+    failure starts from the outbox of the batch before and replaces what it wrote:
     at-least-once in, exactly-once out.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
         spark, now = batch.sparkSession, clock()
-        box = batch.dropDuplicates(["event_id"])
-        if number:
-            box = create_outbox(spark.read.schema(batch.schema).parquet(f"{path}-outbox/batch={number - 1}"), box)
-        box = written(box)
-        claimed = claim_outbox(box, worker, now, lease, limit)
-        claimed = written(claimed)
-        box = apply_claims(box, claimed)
-        good, bad = split_by_topic(claimed, known)
-        failed = bad.select("event_id", "error")
-        for topic in known:
-            rows = good.filter(F.col("topic") == topic)
-            try:
-                append(rows.drop("topic"), f"{path}/batch={number}/topic={topic}")
-            except Exception as e:  # noqa: BLE001  whatever the sink raises is what the rows failed of
-                failed = failed.unionByName(rows.select("event_id", F.lit(f"{type(e).__name__}: {e}"[:200]).alias("error")))
-        failed = written(failed)
-        done = mark_outbox_published(box, claimed.join(failed, "event_id", "left_anti"), worker, now).drop("updated")
-        for error in [r["error"] for r in failed.select("error").distinct().collect()]:  # a few texts: one an unknown topic or failed append
-            done = mark_outbox_failed(done, failed.filter(F.col("error") == error), worker, error).drop("updated")
-        done.select(*batch.columns).write.mode("overwrite").parquet(f"{path}-outbox/batch={number}")
+        day = F.floor(F.col("occurred_at") / DAY).cast("long")
+        with temporary(spark):
+            kept = kept_outbox(spark, path, ddl(batch))
+            for table in kept:
+                table.merge(number)
+            held, new = written(kept.pending.rows(number)), written(batch.dropDuplicates(["event_id"]))
+            days = [r[0] for r in new.select(day).distinct().limit(DAYS + 1).collect()]
+            past = kept.published.rows(number, F.col("_day").isin(days) if len(days) <= DAYS else None)
+            fresh = written(new.join(held.select("event_id").unionByName(past.select("event_id")), "event_id", "left_anti").select(*batch.columns))
+            claimed = written(claim_outbox(held.unionByName(fresh), worker, now, lease, limit))
+            box = apply_claims(fresh, claimed)
+            good, bad = split_by_topic(claimed, known)
+            failed = bad.select("event_id", "error")
+            for topic in known:
+                rows = good.filter(F.col("topic") == topic)
+                try:
+                    append(rows.drop("topic"), f"{path}/batch={number}/topic={topic}")
+                except Exception as e:  # noqa: BLE001  whatever the sink raises is what the rows failed of
+                    failed = failed.unionByName(rows.select("event_id", F.lit(f"{type(e).__name__}: {e}"[:200]).alias("error")))
+            failed = written(failed)
+            done = mark_outbox_published(box, claimed.join(failed, "event_id", "left_anti"), worker, now).drop("updated")
+            for error in [r["error"] for r in failed.select("error").distinct().collect()]:  # a few texts: one an unknown topic or failed append
+                done = mark_outbox_failed(done, failed.filter(F.col("error") == error), worker, error).drop("updated")
+            done = written(done.select(*batch.columns))
+            out = done.filter("published_at is not null")
+            kept.published.add(out.withColumn("_day", day), number)
+            kept.pending.add(done.filter("published_at is null"), number, out.join(held.select("event_id"), "event_id", "left_semi"))
 
     writer = outbox.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -272,7 +272,7 @@ def test_publication_claims_marks_and_tries_again(spark, tmp_path):
         stream = streamed(spark, spark.createDataFrame(batch, schema), str(tmp_path / "in"))
         S.publish_outbox_stream(stream, out, ["a", "b"], str(tmp_path / "checkpoint"), clock=lambda: 100, append=append).awaitTermination()
 
-    state = lambda n: {r["event_id"]: (r["published_at"], r["claimed_by"], r["last_error"], r["attempts"]) for r in spark.read.parquet(f"{out}-outbox/batch={n}").collect()}
+    state = lambda n: {r["event_id"]: (r["published_at"], r["claimed_by"], r["last_error"], r["attempts"]) for r in S.kept_outbox(spark, out, schema).rows(n + 1).collect()}
     run(rows)
     assert state(0) == {"e1": (100, "", "", 1), "e2": (None, "", "OSError: no broker", 1), "e3": (None, "", "unknown topic x", 1), "e4": (9, "", "", 0), "e5": (None, "other", "", 0)}
     broken.clear()
@@ -297,15 +297,37 @@ def test_breaches_are_raised_by_samples_and_by_the_timer(spark, tmp_path):
     assert not any(s == "short" or s == "clock" for s, *_ in got)
 
 
-def test_upserts_rewrite_touched_parts_only(spark, tmp_path):
+def test_upserts_write_their_own_keys_only(spark, tmp_path):
     schema = "key long, value string, version long"
     path = str(tmp_path / "table")
-    for rows in ([(k, "a", 1) for k in range(50)], [(3, "old", 0), (3, "b", 2), (99, "new", 1)]):
+    for rows in ([(k, "a", 1) for k in range(50)], [(3, "old", 0), (3, "b", 2), (99, "new", 1), (7, "late", 0)]):
         stream = streamed(spark, spark.createDataFrame(rows, schema), str(tmp_path / "in"))
-        L.upsert_stream(stream, path, ["key"], "version", str(tmp_path / "checkpoint"), 8).awaitTermination()
-    got = {r["key"]: r["value"] for r in L.read_upserted(spark, path, schema).collect()}
+        L.upsert_stream(stream, path, ["key"], "version", str(tmp_path / "checkpoint")).awaitTermination()
+    got = {r["key"]: r["value"] for r in L.read_upserted(spark, path, schema, ["key"], "version").collect()}
     assert got == {**{k: "a" for k in range(50)}, 3: "b", 99: "new"}
-    assert len(list((tmp_path / "table" / "batch=1").glob("part=*"))) <= 2 < len(list((tmp_path / "table" / "batch=0").glob("part=*")))
+    assert spark.read.parquet(f"{path}/level=0/upto=2").count() == 3
+
+
+def test_runs_against_a_dictionary(spark, tmp_path):
+    """Changes and deletions over many batches, some run again in part or whole; few runs, and deleted keys leave no trace."""
+    from fleetmatch.sources.runs import Runs
+
+    rng, schema, path = random.Random(9), "key long, day long, value long", str(tmp_path / "runs")
+    want, levels = {}, lambda: {str(p.parent.name) + str(p.name) for p in (tmp_path / "runs").glob("level=*/upto=*")}
+    for n in range(22):
+        runs = Runs(spark, path, schema, ["key"], ("day",))
+        changed = {k: (k % 3, n) for k in rng.sample(range(12), rng.randrange(0, 4))}
+        gone = [k for k in rng.sample(range(12), 2) if k in want and k not in changed] if n % 2 else []
+        frame = lambda rows: spark.createDataFrame([(k, *v) for k, v in rows], schema)
+        for again in range(2 if n % 5 == 1 else 1):
+            runs.merge(n)
+            if n % 7 == 0 or again:
+                assert {r.key: (r.day, r.value) for r in runs.rows(n).collect()} == want
+                assert {r.key for r in runs.rows(n, F.col("day") == 1).collect()} == {k for k in want if k % 3 == 1}
+            runs.add(frame(changed.items()), n, frame((k, want[k]) for k in gone))
+        want = {k: v for k, v in {**want, **changed}.items() if k not in gone}
+        assert len(levels()) <= 13
+    assert runs.batches() == 22 and {r.key: (r.day, r.value) for r in runs.rows(22).collect()} == want
 
 
 @pytest.mark.parametrize("idle", [None, 50])
