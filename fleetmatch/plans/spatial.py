@@ -96,7 +96,7 @@ def score(fx: Inputs) -> DataFrame:
 
 @query("a1_best_rider", f"WITH p AS ({PAIR}), s AS (SELECT order_id, rider_id, CAST((abs(x - rx) + abs(y - ry)) // 2000 + load * 10000 AS BIGINT) AS score FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY score, rider_id) AS k FROM s) SELECT order_id, rider_id, score FROM n WHERE k = 1")
 def best_rider(fx: Inputs) -> DataFrame:
-    return C.best_rider(C.with_score(C.radius_join(fx("match_orders"), online(fx), RING_CELL, 3), RING_CELL))
+    return C.nearest(fx("match_orders"), online(fx), RING_CELL, 3)
 
 
 @query("a2_merge_best", f"WITH p AS ({PAIR}), s AS (SELECT order_id, rider_id, CAST((abs(x - rx) + abs(y - ry)) // 2000 + load * 10000 AS BIGINT) AS score FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY score, rider_id) AS k FROM s) SELECT order_id, rider_id, score FROM n WHERE k = 1")
@@ -129,9 +129,7 @@ def tiered_candidate_join(fx: Inputs) -> DataFrame:
 
 @query("w1_top_k_candidates", f"WITH {TIERS}, n AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY score, rider_id) AS k FROM pool) SELECT order_id, rider_id, score, CAST(k AS INT) AS rank FROM n WHERE k <= 10")
 def top_k_candidates(fx: Inputs) -> DataFrame:
-    lay = layout(fx)
-    pool = C.with_score(C.tiered_candidate_join(fx("match_orders"), online(fx), lay), lay.cell)
-    return C.top_k_candidates(pool, 10).select("order_id", "rider_id", "score", "rank")
+    return C.ranked_pool(fx("match_orders"), online(fx), layout(fx), 10).select("order_id", "rider_id", "score", "rank")
 
 
 @query("j4_fence_filter", "SELECT shard_id, (shard_id, node_id, epoch) IN (SELECT (shard_id, node_id, epoch) FROM ownership) AS kept, count(*) AS writes FROM (SELECT l.shard_id, CAST(l.shard_id % 4 + 1 AS INT) AS node_id, CAST(l.shard_id % 3 + 1 AS BIGINT) AS epoch FROM lifecycle l) GROUP BY ALL")

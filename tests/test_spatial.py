@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from fleetmatch.functions import spatial as S
@@ -140,3 +142,21 @@ def test_shards_are_replaced_and_removed(spark, tmp_path):
     H.replace_shard(riders(spark, []), path, 3)
     H.remove_shard(spark, path, 2)
     assert at() == [(0, 7)]
+
+
+@pytest.mark.parametrize(("weight", "k"), [(10_000, 1), (10_000, 10), (1, 3), (0, 1), (-2, 4), (3, 200)])
+def test_bounds_lose_no_candidate(spark, weight, k):
+    """Any weight, crowded and empty cells, ties, places on both sides of zero."""
+    rng = random.Random(weight + k)
+    place = lambda: rng.choice([rng.randrange(-60, 200), rng.randrange(20, 30)])
+    orders = spark.createDataFrame([(i, place(), place()) for i in range(120)], "order_id long, x int, y int")
+    riders = spark.createDataFrame([(i, place(), place(), rng.choice([0, 0, 1, 5])) for i in range(150)], "uid long, x int, y int, count long")
+    cell, keep = 13, ["order_id", "rider_id", "score"]
+    rows = lambda df: sorted(map(tuple, df.select(*keep).collect()))
+    whole = C.with_score(C.radius_join(orders, riders, cell, 3), cell, weight)
+    o, r = C.with_cell(orders, cell), C.with_cell(riders, cell)
+    some = C.within_bounds(o, r, C.cell_pairs(o, r, -1, 3), cell, k, weight)
+    assert rows(C.top_k_candidates(some, k)) == rows(C.top_k_candidates(whole, k))
+    assert some.count() < whole.count() or k == 200
+    if k == 1:
+        assert rows(C.nearest(orders, riders, cell, 3, weight)) == rows(C.best_rider(whole))
