@@ -26,12 +26,12 @@ FILES = 4
 KNOWN = [schemas.MATCH_REQUESTS, schemas.ORDER_EVENTS]
 
 
-def arrivals(fx: Inputs, rows: DataFrame, parts: list[str], *key: str) -> DataFrame:
+def arrivals(fx: Inputs, rows: DataFrame, parts: list[str], *key: str, checkpoints: DataFrame | None = None) -> DataFrame:
     """``rows`` as a stream that gets the rows of one condition after the other; rows of a ``key`` lie in one file."""
     path = scratch(fx.spark, "arrivals")
     for condition in parts:
         rows.filter(condition).repartition(FILES, *key).write.mode("append").parquet(path)
-    return tail_event_log(fx.spark, path, "parquet", rows.schema, maxFilesPerTrigger=str(FILES))
+    return tail_event_log(fx.spark, path, "parquet", rows.schema, checkpoints, maxFilesPerTrigger=str(FILES))
 
 
 def changes(fx: Inputs, stream: DataFrame, mode: str = "update") -> DataFrame:
@@ -152,6 +152,24 @@ def tail(fx: Inputs) -> DataFrame:
     return got.groupBy("shard_id").agg(F.count(F.lit(1)).alias("events"), F.max("offset_value").alias("last_offset"))
 
 
+@query("s3_tail_from_positions", "SELECT l.shard_id, l.offset_value, l.event_id FROM lifecycle l LEFT JOIN checkpoints c ON c.shard_id = l.shard_id AND l.shard_id % 5 <> 0 WHERE l.offset_value >= coalesce(c.offset_value, 0)")
+def tail_from_positions(fx: Inputs) -> DataFrame:
+    """Checkpoints of four shards in five; the log arrives in two steps."""
+    rows, parts = halves(fx, "lifecycle", "seq")
+    rows, known = rows.select("shard_id", "offset_value", "event_id", "seq"), fx("checkpoints").filter("shard_id % 5 <> 0")
+    return changes(fx, arrivals(fx, rows, parts, checkpoints=known), "append").drop("seq")
+
+
+@query("s5_append_stream", "SELECT event_id, shard_id, CAST(row_number() OVER (PARTITION BY shard_id ORDER BY seq) - 1 AS BIGINT) AS offset_value FROM lifecycle")
+def append_stream(fx: Inputs) -> DataFrame:
+    from fleetmatch.sources.event_log import append_stream as appended, read_appended
+
+    rows, parts = halves(fx, "lifecycle", "seq")
+    rows, path = rows.select("event_id", "seq", F.col("shard_id").cast("string").alias("key")), scratch(fx.spark, "log")
+    appended(arrivals(fx, rows, parts), path, ["seq"], scratch(fx.spark, "stream"), "key", list(range(64))).awaitTermination()
+    return read_appended(fx.spark, path, "event_id string, seq long, key string, shard_id int, offset_value long").select("event_id", "shard_id", "offset_value")
+
+
 @query("t6_stream_event_rates", "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL")
 def stream_event_rates(fx: Inputs) -> DataFrame:
     from fleetmatch.sources.tables import table
