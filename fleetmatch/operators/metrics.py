@@ -133,5 +133,5 @@ def dead_owners(ownership: DataFrame, sessions: DataFrame, now: Column, ttl_seco
     ttl = max(1, -int(-ttl_seconds // 1))
     last = sessions.groupBy("node_id").agg(F.max("last_beat").alias("last"))
     owners = ownership.select("node_id").distinct().join(last, "node_id", "left")
-    alive = F.unix_micros(F.col("last")) + ttl * 1_000_000 > F.unix_micros(now)
+    alive = F.unix_micros(F.col("last").cast("timestamp")) + ttl * 1_000_000 > F.unix_micros(now.cast("timestamp"))
     return owners.filter(~F.coalesce(alive, F.lit(False))).select("node_id")

@@ -181,16 +181,26 @@ def micro_batches(fx: Inputs) -> DataFrame:
     return B.micro_batches(fx("lifecycle"), 100).groupBy("shard_id", "batch_no").agg(F.count(F.lit(1)).alias("events"))
 
 
+# records come 3 to 7 ms apart, by their number: batches end by the wait of 10 ms, or by the size
+TIMED = """SELECT *, CAST(sum(2 + seq % 5 * CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY shard_id ORDER BY offset_value) AS BIGINT) AS arrived_at FROM lifecycle"""
+
+
+@query("w3_micro_batches_wait", f"""WITH t AS ({TIMED}), r AS (
+  SELECT shard_id, offset_value, arrived_at AS first, CAST(0 AS BIGINT) AS batch_no, 1 AS n FROM t WHERE offset_value = 0
+  UNION ALL
+  SELECT t.shard_id, t.offset_value, CASE WHEN cut THEN t.arrived_at ELSE first END, batch_no + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN 1 ELSE n + 1 END
+  FROM (SELECT r.*, r.offset_value + 1 AS next FROM r) r JOIN t ON t.shard_id = r.shard_id AND t.offset_value = r.next, LATERAL (SELECT n >= 4 OR t.arrived_at >= first + 10 AS cut)
+) SELECT shard_id, offset_value, batch_no FROM r""")
+def micro_batches_wait(fx: Inputs) -> DataFrame:
+    rows = fx.spark.sql(TIMED.replace("FROM lifecycle", "FROM {rows}"), rows=fx("lifecycle"))
+    return B.micro_batches(rows, 4, 10).select("shard_id", "offset_value", "batch_no")
+
+
 @query("w5_claim_outbox", f"SELECT event_id, 'w1' AS claimed_by, CAST({NOW + 30} AS BIGINT) AS claimed_until, attempts + 1 AS attempts FROM outbox WHERE published_at IS NULL AND claimed_until < {NOW} ORDER BY occurred_at, event_id LIMIT 100")
 def claim_outbox(fx: Inputs) -> DataFrame:
     return X.claim_outbox(fx("outbox"), "w1", NOW).select("event_id", "claimed_by", "claimed_until", "attempts")
 
 
-@query("w6_pending_outbox", "SELECT event_id, aggregate_id FROM outbox WHERE published_at IS NULL AND CAST(aggregate_id AS BIGINT) BETWEEN 20 AND 90")
-def pending_outbox(fx: Inputs) -> DataFrame:
-    return X.pending_outbox(fx("outbox"), 20, 90).select("event_id", "aggregate_id")
-
-
 @query("w6_pending_outbox_all", "SELECT event_id, aggregate_id FROM outbox WHERE published_at IS NULL")
 def pending_outbox_all(fx: Inputs) -> DataFrame:
     return X.pending_outbox(fx("outbox")).select("event_id", "aggregate_id")
@@ -242,6 +252,33 @@ def save_checkpoints_strict(fx: Inputs) -> DataFrame:
     return both.select("consumer_name", "shard_id", "offset_value", "epoch", F.col("error").alias("result"))
 
 
+# many saves a shard: offsets and epochs that mostly rise
+SAVES = """SELECT 'order-worker' AS consumer_name, 'order-events' AS topic, shard_id, offset_value + (seq * 7919) % 11 - 5 AS offset_value,
+  CAST(1 + floor(offset_value / 7) + (seq * 31) % 4 - 1 AS BIGINT) AS epoch, CAST(shard_id % 4 + 1 AS INT) AS node_id, CAST(0 AS BIGINT) AS updated_at, seq FROM lifecycle"""
+SAVED = f"""WITH s AS ({SAVES}), v AS (SELECT *, offset_value < 0 OR epoch <= 0 AS bad, row_number() OVER (PARTITION BY shard_id ORDER BY seq) AS k FROM s), r AS (
+  SELECT shard_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seq, CASE WHEN shard_id % 2 = 0 THEN CAST(10 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS o, CASE WHEN shard_id % 2 = 0 THEN CAST(2 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS e, '' AS result FROM v WHERE k = 1
+  UNION ALL
+  SELECT v.shard_id, v.k, v.seq, CASE WHEN ok THEN offset_value ELSE o END, CASE WHEN ok THEN epoch ELSE e END, CASE WHEN bad THEN 'invalid' WHEN ok THEN 'saved' ELSE 'stale' END
+  FROM r JOIN v ON v.shard_id = r.shard_id AND v.k = r.k + 1, LATERAL (SELECT NOT bad AND offset_value >= o AND epoch >= e AS ok)
+) """
+
+
+def _saves(fx: Inputs) -> tuple[DataFrame, DataFrame]:
+    new = fx.spark.sql(SAVES.replace("FROM lifecycle", "FROM {rows}"), rows=fx("lifecycle"))
+    stored = new.filter("shard_id % 2 = 0").dropDuplicates(["shard_id"]).drop("seq").withColumns({"offset_value": F.lit(10).cast("long"), "epoch": F.lit(2).cast("long")})
+    return stored, new
+
+
+@query("f11_save_in_sequence", SAVED + "SELECT shard_id, seq, result FROM r WHERE k > 0 AND result <> 'saved'")
+def save_in_sequence(fx: Inputs) -> DataFrame:
+    return K.save_checkpoints_in_sequence(*_saves(fx), "seq")[1].select("shard_id", "seq", F.col("error").alias("result"))
+
+
+@query("f11_saved_in_sequence", SAVED + "SELECT shard_id, o AS offset_value, e AS epoch FROM (SELECT *, max(k) OVER (PARTITION BY shard_id) AS last FROM r) WHERE k = last AND (o > 0 OR e > 0)")
+def saved_in_sequence(fx: Inputs) -> DataFrame:
+    return K.save_checkpoints_in_sequence(*_saves(fx), "seq")[0].select("shard_id", "offset_value", "epoch")
+
+
 @query("f12_load_checkpoints", "SELECT shard_id, offset_value, epoch FROM new_checkpoints WHERE consumer_name = 'matcher-worker' AND topic = 'order-events'")
 def load_checkpoints(fx: Inputs) -> DataFrame:
     return K.load_checkpoints(fx("new_checkpoints"), "matcher-worker", "order-events").select("shard_id", "offset_value", "epoch")

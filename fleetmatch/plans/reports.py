@@ -11,12 +11,6 @@ from fleetmatch.sources.event_log import end_offsets
 from fleetmatch.sources.fixtures import Inputs
 
 
-@query("a4_order_result_summary", """SELECT count(*) AS created, CAST(count(*) FILTER (status = 'matched') AS BIGINT) AS matched, CAST(count(*) FILTER (status = 'missed') AS BIGINT) AS missed, count(*) FILTER (status IN ('matched', 'missed')) AS terminal, max(attempt) AS max_attempt,
-  round(count(*) FILTER (status = 'matched') / greatest(count(*), 1), 6) AS match_rate FROM order_status WHERE order_id BETWEEN 1 AND 10000""")
-def order_result_summary(fx: Inputs) -> DataFrame:
-    return R.order_result_summary(fx("order_status"), 1, 10_000)
-
-
 def last_order(fx: Inputs) -> int:
     return fx("order_status").agg(F.max("order_id")).first()[0] or 0
 
@@ -85,14 +79,6 @@ def throughput(fx: Inputs) -> DataFrame:
     return done.select("shard_id", R.throughput(F.col("n").cast("double"), F.lit(22.5)).alias("orders_per_second"))
 
 
-@query("a12_capacity_report", """WITH c AS (SELECT unnest([100, 1000]) AS riders, unnest([1000, 10000]) AS orders, unnest([2.0, 20.0]) AS seconds)
-SELECT CAST(riders AS INT) AS riders, CAST(orders AS INT) AS orders, m AS matched, k AS missed, round(m / greatest(n, 1), 6) AS match_rate, CAST((m + k) / seconds AS DOUBLE) AS orders_per_second
-FROM (SELECT riders, orders, seconds, count(*) AS n, count(*) FILTER (status = 'matched') AS m, count(*) FILTER (status = 'missed') AS k FROM c JOIN order_status ON order_id BETWEEN 1 AND orders GROUP BY ALL)""")
-def capacity_report(fx: Inputs) -> DataFrame:
-    status = fx("order_status")
-    return R.capacity_report([(100, 1000, status, 2.0), (1000, 10_000, status, 20.0)])
-
-
 @query("a12_capacity_report_all", """WITH c AS (SELECT (SELECT count(*) FROM riders_small) AS riders, CAST(2.0 AS DOUBLE) AS seconds UNION ALL SELECT (SELECT count(*) FROM riders), 20.0)
 SELECT CAST(riders AS INT) AS riders, CAST((SELECT max(order_id) FROM order_status) AS INT) AS orders, m AS matched, k AS missed, round(m / greatest(n, 1), 6) AS match_rate, CAST((m + k) / seconds AS DOUBLE) AS orders_per_second
 FROM c, (SELECT count(*) AS n, count(*) FILTER (status = 'matched') AS m, count(*) FILTER (status = 'missed') AS k FROM order_status)""")
@@ -137,3 +123,13 @@ SELECT node_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch
 def liveness_sessions(fx: Inputs) -> DataFrame:
     out = R.liveness_sessions(fx("heartbeats"), 900)
     return out.select("node_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("last_beat").alias("last_beat"), "beats")
+
+
+@query("t9_dead_owners", """WITH o AS (SELECT DISTINCT node_id FROM ownership UNION ALL SELECT 9), l AS (SELECT node_id, max(ts) AS last FROM heartbeats GROUP BY node_id)
+SELECT CAST(o.node_id AS INT) AS node_id FROM o LEFT JOIN l ON l.node_id = o.node_id WHERE last IS NULL OR last + INTERVAL 900 SECOND <= (SELECT max(ts) FROM heartbeats)""")
+def dead_owners(fx: Inputs) -> DataFrame:
+    """At the time of the last heartbeat of all; node 9 owns shards and was never heard."""
+    beats = fx("heartbeats")
+    owners = fx("ownership").select("node_id").unionByName(fx.spark.range(1).select(F.lit(9).alias("node_id")))
+    now = F.lit(beats.agg(F.max("ts")).first()[0])
+    return R.dead_owners(owners, R.liveness_sessions(beats, 900), now, 900)

@@ -173,12 +173,6 @@ def validate_moves(fx: Inputs) -> DataFrame:
     return good.withColumn("result", F.lit("good")).unionByName(bad.withColumnRenamed("error", "result")).select("key", "from_node", "to_node", "result")
 
 
-@query("a8_placement_balance", """WITH o AS (SELECT node, count(*) AS owned FROM keyed WHERE node IS NOT NULL GROUP BY node), t AS (SELECT count(DISTINCT key) AS d FROM keyed WHERE node IS NOT NULL AND key BETWEEN 0 AND 99999)
-SELECT n.node, coalesce(owned, 0) AS owned, d AS distinct_owned, greatest(0, 100000 - d) AS without_owner, (SELECT count(*) FROM nodes) AS alive FROM nodes n LEFT JOIN o ON o.node = n.node, t""")
-def placement_balance(fx: Inputs) -> DataFrame:
-    return P.placement_balance(fx("keyed"), fx("nodes"), 100_000)
-
-
 @query("a8_placement_balance_all", """WITH o AS (SELECT node, count(*) AS owned FROM keyed WHERE node IS NOT NULL GROUP BY node), t AS (SELECT count(DISTINCT key) FILTER (node IS NOT NULL) AS d, max(key) + 1 AS n FROM keyed)
 SELECT n.node, coalesce(owned, 0) AS owned, d AS distinct_owned, greatest(0, t.n - d) AS without_owner, (SELECT count(*) FROM nodes) AS alive FROM nodes n LEFT JOIN o ON o.node = n.node, t""")
 def placement_balance_all(fx: Inputs) -> DataFrame:

@@ -90,11 +90,6 @@ def mark_missed(fx: Inputs) -> DataFrame:
     return T.mark_missed(fx("order_status"), fx("order_status").filter("order_id % 2 = 0"), "no_available_rider").select("order_id", "status", "miss_reason")
 
 
-@query("w4_list_missed_for_retry", "SELECT order_id, shard_id FROM order_status WHERE status = 'missed' AND attempt < 3 AND order_id BETWEEN 10 AND 9000")
-def list_missed_for_retry(fx: Inputs) -> DataFrame:
-    return T.list_missed_for_retry(fx("order_status"), 10, 9000, 3)
-
-
 @query("w4_list_missed_for_retry_all", "SELECT order_id, shard_id FROM order_status WHERE status = 'missed' AND attempt < 3")
 def list_missed_for_retry_all(fx: Inputs) -> DataFrame:
     last = fx("order_status").agg(F.max("order_id")).first()[0] or 0

@@ -180,3 +180,23 @@ def stream_event_rates(fx: Inputs) -> DataFrame:
     # windows change until the watermark passes them: the last count of each is the greatest
     out = changes(fx, S.stream_event_rates(stream, "1 hour", "2 hours"))
     return out.groupBy(F.unix_timestamp("window_start").alias("window_start"), "event_type").agg(F.max("events").alias("events"))
+
+
+@query("j5_stream_dedupe", "SELECT event_id, shard_id, occurred_at FROM lifecycle")
+def stream_dedupe(fx: Inputs) -> DataFrame:
+    from fleetmatch.operators.batches import stream_dedupe as deduped
+
+    rows, parts = halves(fx, "lifecycle_dup", "seq")
+    again = [f"({p}) and offset_value {sign} 1000000" for p in parts for sign in ("<", ">=")]
+    return changes(fx, deduped(arrivals(fx, rows, again), "40 days"), "append").select("event_id", "shard_id", "occurred_at")
+
+
+@query("t6_stream_counter_rates", f"WITH {INCREASE} SELECT metric, CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, CAST(sum(increase) AS DOUBLE) AS increase FROM i GROUP BY ALL")
+def stream_counter_rates(fx: Inputs) -> DataFrame:
+    """A sample of another counter, weeks later, moves the watermark past all windows."""
+    rows = fx("counter_samples").select("metric", F.col("ts").cast("timestamp").alias("ts"), "value")
+    facts = rows.agg(F.expr("percentile_approx(ts, 0.5)").alias("cut"), F.max("ts").alias("last")).first()
+    late = fx.spark.range(1).select(F.lit("clock").alias("metric"), (F.lit(facts["last"]) + F.expr("interval 30 days")).alias("ts"), F.lit(0.0).alias("value"))
+    parts = [f"ts <= timestamp '{facts['cut']}'", f"ts > timestamp '{facts['cut']}' and metric <> 'clock'", "metric = 'clock'"]
+    out = changes(fx, S.stream_counter_rates(arrivals(fx, rows.unionByName(late), parts), "1 day", "0 seconds"), "append")
+    return out.filter("metric <> 'clock'").select("metric", F.unix_timestamp("window_start").alias("window_start"), "increase")

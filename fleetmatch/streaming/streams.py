@@ -353,6 +353,96 @@ def stream_sustained_breach(samples: DataFrame, seconds: int, late: str) -> Data
     return out.withColumns({c: F.timestamp_millis(c) for c in ("start", "end")})
 
 
+class _Liveness(StatefulProcessor):
+    """An owner's last heartbeat, and whether it has been called dead; a timer runs out a TTL after the beat."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl  # milliseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.node = handle.getValueState("node", "owner boolean, last long, dead boolean, changes long")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        since = int(initialState["since"].max())
+        self.node.update((True, since, False, 0))
+        self.handle.registerTimer(since + self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        owner, last, dead, changes = self.node.get() if self.node.exists() else (False, 0, False, 0)
+        last = max(last, *(int(part["at"].max()) for part in rows))
+        back = dead and last + self.ttl > timerValues.getCurrentWatermarkInMs()
+        self.node.update((owner, last, dead and not back, changes + back))
+        if owner:
+            self.handle.registerTimer(max(last + self.ttl, timerValues.getCurrentWatermarkInMs() + 1))
+        yield _liveness([[key[0], False, last, changes + 1]] if owner and back else [])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        owner, last, dead, changes = self.node.get()
+        out = []
+        if owner and not dead and last + self.ttl <= timerValues.getCurrentWatermarkInMs():
+            self.node.update((owner, last, True, changes + 1))
+            out = [[key[0], True, last + self.ttl, changes + 1]]
+        yield _liveness(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _liveness(rows: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["node_id", "dead", "at", "changes"]).astype({"node_id": "int32", "dead": "bool", "at": "int64", "changes": "int64"})
+
+
+def stream_dead_owners(heartbeats: DataFrame, owners: DataFrame, ttl_seconds: float, late: str) -> DataFrame:
+    """Owners as they die and come back: ``node_id, dead, at`` (milliseconds), ``changes`` (the highest is current).
+
+    ``owners`` have node_id and since (milliseconds): from when on they should have been
+    heard.  An owner is dead once the watermark is a TTL (whole seconds, 1 at least) past
+    its last heartbeat (node_id, ts), heard or not; nodes that own nothing give no rows.
+    """
+    keep_state_in_rocksdb(heartbeats.sparkSession)
+    ttl = 1000 * max(1, -int(-ttl_seconds // 1))
+    beats = heartbeats.withWatermark("ts", late).withColumn("at", F.unix_millis("ts")).groupBy("node_id")
+    start = owners.select(F.col("node_id").cast("int").alias("node_id"), F.col("since").cast("long").alias("since")).groupBy("node_id")
+    return beats.transformWithStateInPandas(_Liveness(ttl), "node_id int, dead boolean, at long, changes long", "update", "EventTime", start)
+
+
+class _Increases(StatefulProcessor):
+    """The last sample of a cumulative counter."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sample = handle.getValueState("sample", "at timestamp, value double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last, value = self.sample.get() if self.sample.exists() else (None, None)
+        out = []
+        for at, new in pd.concat(list(rows)).sort_values("ts")[["ts", "value"]].itertuples(index=False):
+            if last is not None and at <= pd.Timestamp(last):
+                continue  # told already, or come too late to be told
+            out.append([key[0], at, 0.0 if value is None else new if new < value else new - value])
+            last, value = at.to_pydatetime(), float(new)
+        if out:
+            self.sample.update((last, value))
+        yield pd.DataFrame(out, columns=["metric", "ts", "increase"]).astype({"increase": "float64", "ts": "datetime64[ns]"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_counter_rates(samples: DataFrame, width: str, late: str) -> DataFrame:
+    """Increase of cumulative counters (metric, ts, value) per window of event time: ``metric, window_start, increase``.
+
+    Two operators in a chain: the difference to the counter's sample before, a fall being a
+    reset that starts from 0, and the sum per window, told once when the watermark is past
+    it.  Samples of a counter come in the order of their time; one that does not is left out.
+    """
+    keep_state_in_rocksdb(samples.sparkSession)
+    rows = samples.select("metric", "ts", "value").withWatermark("ts", late).groupBy("metric")
+    steps = rows.transformWithStateInPandas(_Increases(), "metric string, ts timestamp, increase double", "append", "EventTime", eventTimeColumnName="ts")
+    sums = steps.groupBy("metric", F.window("ts", width).alias("w")).agg(F.sum("increase").alias("increase"))
+    return sums.select("metric", F.col("w.start").alias("window_start"), "increase")
+
+
 def stream_event_rates(events: DataFrame, width: str, late: str, at: str = "ts") -> DataFrame:
     """Events per type and window of event time; rows later than ``late`` are dropped with their window's state."""
     counts = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"))
