@@ -5,8 +5,10 @@ into cells by spherical k-means, and large cells again, until they have about CE
 Centroids are trained cell by cell in tasks, each on a bounded sample of the cell.  A vector
 lies in the cell of its nearest centroid and visits every other cell that a vector within the
 cosine limit of it could lie in: those whose bisecting plane is no farther than the largest
-chord that the limit allows.  So no pair is missed, whatever the centroids.  A cell that
-would not be split to advantage, as most of its vectors would visit most parts, stays whole.
+chord that the limit allows.  So no pair is missed, whatever the centroids.  Visits are
+copies, so a split must pay: of ever fewer parts, the first is taken that makes at most
+GROWTH rows of one and halves the products, while the copies over all levels stay under
+COPIES.  A cell for which there is none stays whole.
 Within a cell visitors and members are compared with members, block against block, as matrix
 products.
 """
@@ -26,8 +28,10 @@ COSINE = 0.98
 CELL, FAN, LEAST = 2048, 64, 4
 #: k-means of a cell is fitted on about this many of its vectors a part at most; every vector is indexed.
 SAMPLE = 64
-#: Bytes of vectors in one side of a block pair, or in one task that splits.
-BLOCK_BYTES = 8 << 20
+#: Bytes of vectors in one task that splits, and in one side of a block pair: a cell that stays whole is copied to as many tasks as it has blocks.
+BLOCK_BYTES, PAIR_BYTES = 8 << 20, 24 << 20
+#: Rows that one split may make of one, and all splits of a cell together.
+GROWTH, COPIES = 3.0, 8.0
 PLACE = ["label", "d", "cell"]
 
 
@@ -71,32 +75,40 @@ def _visited(x: np.ndarray, centre: np.ndarray, chord: float) -> tuple[np.ndarra
 
 
 def _centroids(rows: DataFrame, large: DataFrame, chord: float) -> DataFrame:
-    """PLACE, ``n, k, centre`` (flat) of the cells in ``large`` that are split to advantage."""
+    """PLACE, ``n, k, by`` (rows that the split makes of one), ``centre`` (flat) of the cells in ``large`` that are split to advantage."""
     k = F.least(F.lit(FAN), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / F.lit(CELL)))).cast("int")
     wanted = large.withColumn("k", k)
     chance = F.lit(2**31 - 1) * F.least(F.lit(1.0), F.col("k") * SAMPLE / F.col("n"))
-    some = rows.join(wanted, PLACE).filter(F.pmod(F.xxhash64("unit", "cell"), F.lit(2**31 - 1)) < chance).select(*PLACE, "n", "k", "head", "unit")
+    some = rows.join(wanted, PLACE).filter(F.pmod(F.xxhash64("unit", "cell"), F.lit(2**31 - 1)) < chance).select(*PLACE, "n", "k", "grown", "head", "unit")
 
     def train(part: pa.Table) -> pa.Table:
         part = part.sort_by("head")
-        x, k = _matrix(part.column("unit")), part.column("k")[0].as_py()
-        kept = part.slice(0, 1).select([*PLACE, "n", "k"])
-        if len(x) >= k:
-            centre = k_means(x, k)
-            if _visited(x, centre, chord)[1].mean() < 0.5:
-                return kept.append_column("centre", pa.array([centre.ravel()], pa.list_(pa.float64())))
-        return kept.slice(0, 0).append_column("centre", pa.array([], pa.list_(pa.float64())))
+        x, k, grown = _matrix(part.column("unit")), part.column("k")[0].as_py(), part.column("grown")[0].as_py()
+        kept = part.slice(0, 1).select([*PLACE, "n"])
+        while k > 1:
+            centre = k_means(x, k) if len(x) >= k else None
+            visits = float(_visited(x, centre, chord)[1].mean()) if centre is not None else 1.0
+            if visits < 0.5 and k * visits <= GROWTH and grown * k * visits <= COPIES:
+                flat = pa.array([centre.ravel()], pa.list_(pa.float64()))
+                return kept.append_column("k", pa.array([k], pa.int32())).append_column("by", pa.array([k * visits])).append_column("centre", flat)
+            k //= 2
+        none = [("k", pa.int32()), ("by", pa.float64()), ("centre", pa.list_(pa.float64()))]
+        return kept.slice(0, 0).append_column(*_none(*none[0])).append_column(*_none(*none[1])).append_column(*_none(*none[2]))
 
     kind = dict(rows.dtypes)["label"]
-    return some.groupBy(*PLACE).applyInArrow(train, f"label {kind}, d int, cell long, n long, k int, centre array<double>")
+    return some.groupBy(*PLACE).applyInArrow(train, f"label {kind}, d int, cell long, n long, k int, by double, centre array<double>")
+
+
+def _none(name: str, kind: pa.DataType) -> tuple[str, pa.Array]:
+    return name, pa.array([], kind)
 
 
 def _celled(distinct: DataFrame, cosine: float) -> DataFrame:
-    """One row per vector and cell: PLACE, ``home, head, weight, unit``."""
+    """One row per vector and cell: PLACE, ``home, head, weight, unit, grown`` (about the copies that the splits have made of a row)."""
     chord = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
     kind = dict(distinct.dtypes)["label"]
-    columns = [*PLACE, "home", "head", "weight", "unit"]
-    open_ = distinct.select("label", F.size("unit").alias("d"), F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "head", "weight", "unit")
+    columns = [*PLACE, "home", "head", "weight", "unit", "grown"]
+    open_ = distinct.select("label", F.size("unit").alias("d"), F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "head", "weight", "unit", F.lit(1.0).alias("grown"))
     done = None
     for _ in range(10):  # a cell's number has room for as many levels; what is left then stays whole
         sizes = open_.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
@@ -122,10 +134,11 @@ def _celled(distinct: DataFrame, cosine: float) -> DataFrame:
             out = part.take(pa.array(r)).select(columns)
             cell = part.column("cell").to_numpy()[r] * FAN + c + 1
             home = part.column("home").to_numpy(zero_copy_only=False)[r] & (c == own[r])
-            return out.set_column(2, "cell", pa.array(cell)).set_column(3, "home", pa.array(home))
+            grown = part.column("grown").to_numpy()[r] * centre.column("by")[0].as_py()
+            return out.set_column(2, "cell", pa.array(cell)).set_column(3, "home", pa.array(home)).set_column(7, "grown", pa.array(grown))
 
         both = rows.groupBy(*PLACE, "block").cogroup(dealt.groupBy(*PLACE, "block"))
-        open_ = written(both.applyInArrow(split, f"label {kind}, d int, cell long, home boolean, head long, weight long, unit array<double>"))
+        open_ = written(both.applyInArrow(split, f"label {kind}, d int, cell long, home boolean, head long, weight long, unit array<double>, grown double"))
     return open_ if done is None else done.unionByName(open_)
 
 
@@ -144,7 +157,7 @@ def linked(vectors: DataFrame, id_: str = "vec_id", embedding: str = "embedding"
     distinct = written(units.groupBy("label", "unit").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("weight")))
     placed = written(_celled(distinct, cosine))
     # blocks of members and of visitors; every pair of a block of one and a block of the other is a task's group
-    rows_a_block = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (F.col("d") * 8)))
+    rows_a_block = F.greatest(F.lit(1), F.floor(F.lit(PAIR_BYTES) / (F.col("d") * 8)))
     blocks = placed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("own")).filter("own > 0")
     blocks = written(blocks.select(*PLACE, F.ceil(F.col("n") / rows_a_block).cast("int").alias("all"), F.ceil(F.col("own") / rows_a_block).cast("int").alias("members")))
     rows = placed.join(blocks, PLACE)

@@ -241,6 +241,7 @@ def usable(v):
 def test_vectors(spark, monkeypatch, cell):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
     monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 7 * 8 * 8)
+    monkeypatch.setattr(embedding_dedup, "PAIR_BYTES", 5 * 8 * 8)
     rng = np.random.default_rng(4)
     rows = []
     for k in range(30):
@@ -266,3 +267,21 @@ def test_vectors_with_repeated_and_null_ids(spark):
 
 def test_given_vectors(spark):
     assert_same(embedding_dedup.op2_spherical_cells(spark, SF), embedding_dedup.OP2_SQL)
+
+
+@pytest.mark.parametrize("shape", ["uniform", "clustered", "flat"])
+def test_copies_of_vectors_stay_bounded(spark, monkeypatch, shape):
+    """One label of vectors that lie evenly, in clusters, or in few dimensions: a split that does not pay is not made."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(embedding_dedup, "CELL", 100)
+    rng = np.random.default_rng(2)
+    n, d = 3000, 24
+    x = {"uniform": rng.normal(size=(n, d)), "clustered": rng.normal(size=(40, d))[rng.integers(0, 40, n)] + 0.05 * rng.normal(size=(n, d)), "flat": rng.normal(size=(n, 3)) @ rng.normal(size=(3, d))}[shape]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(0, i, 1, [float(c) for c in u]) for i, u in enumerate(unit)], "label int, head long, weight long, unit array<double>")
+    placed = embedding_dedup._celled(rows, 0.98).groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
+    facts = placed.agg(F.sum("n"), F.min("homes"), F.max("homes"), F.count(F.lit(1))).first()
+    assert facts[1:] == (1, 1, n)
+    assert facts[0] <= 1.25 * embedding_dedup.COPIES * n and (facts[0] == n if shape == "uniform" else facts[0] > n)
