@@ -37,6 +37,8 @@ BANDS, ROWS = 32, 4  # bands of slots: a pair at 0.75 is missed by all once in 1
 SKETCH = SLOTS // 32
 #: Slots in which the sketches of a pair at 0.75 may differ: 48 expected, over 5 standard deviations more.
 DIFFERENT = 80
+#: Rows that ask for one shingle in one task.
+SHARE = 4096
 SKETCHES = [f"sketch_{k}" for k in range(SKETCH)]
 
 
@@ -184,28 +186,40 @@ def _sets(rows: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
     return wanted.mapInArrow(cut, "row long, shingles array<long>")
 
 
-def _across(open_: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
-    """Links between components among ``open_`` (row, component, foreign, n_shingles, sketch).
+def _meeting(sets: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs ``x_row, y_row`` of ``open_`` rows in different components that sizes, places and sketches let pass.
 
-    Shingles are ordered by how many of these rows have them, rarest first.  Two sets of
+    Shingles are ordered by how many rows of ``sets`` have them, rarest first.  Two sets of
     n and m shingles that agree must share ``least`` of them, so their first common one
-    lies at most n - least down the one list and m - least down the other.  Near misses
-    have more shingles of their own than that and never meet, so the pairs that do are few
-    however large a group is.
+    lies at most n - least down the one list and m - least down the other.  Of the two the
+    one with fewer shingles (``short``) has its first common one within the first seventh,
+    whatever the other's size.  A near miss has more shingles of its own than that and
+    they come first, so rows of a family of near misses ask for nothing that they share.
+    A shingle that many rows ask for is dealt over tasks of SHARE rows that ask.
     """
-    sets = written(_sets(open_, docs, row, text))
     single = sets.select("row", F.explode("shingles").alias("shingle"))
     common = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("row").orderBy("df", "shingle")) - 1
     ranked = single.join(common, "shingle").withColumn("place", place).join(open_, "row")
     n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
     spare = F.col("n_shingles") - F.ceil(F.col("n_shingles") * F.lit(PERCENT / 100))
-    prefix = written(ranked.filter((F.col("place") <= spare) & (F.col("df") > 1)))
+    short = F.col("n_shingles") - F.ceil(F.col("n_shingles") * F.lit(2 * PERCENT / (100 + PERCENT)) - 1e-6)
+    prefix = written(ranked.filter((F.col("place") <= spare) & (F.col("df") > 1)).withColumn("short", F.col("place") <= short))
+    asked = written(prefix.filter("short").groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("ways")))
+    x = prefix.filter("short").join(asked, "shingle").withColumn("part", F.pmod(F.xxhash64("row"), F.col("ways")).cast("int")).alias("x")
+    y = prefix.join(asked, "shingle").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).alias("y")
     least = F.ceil((n + m) * F.lit(PERCENT / (100 + PERCENT)) - 1e-6)
     fits = (n - F.col("x.place") >= least) & (m - F.col("y.place") >= least)
-    x, y = prefix.filter("foreign = 1").alias("x"), prefix.alias("y")
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & fits & _close("x", "y"))
-    pairs = met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+    once = (n < m) | ((n == m) & (F.col("x.row") < F.col("y.row")))
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.foreign") + F.col("y.foreign") > 0)
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part"))
+    return x.join(y, same & once & apart & fits & _close("x", "y")).select(F.col("x.row").alias("x_row"), F.col("y.row").alias("y_row"))
+
+
+def _across(open_: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
+    """Links between components among ``open_`` (row, component, foreign, n_shingles, sketch), checked on full sets."""
+    sets = written(_sets(open_, docs, row, text))
+    pairs = _meeting(sets, open_).select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("q")), "b")
     same = F.size(F.array_intersect("p", "q"))
     return both.filter(same * 100 >= (F.size("p") + F.size("q") - same) * PERCENT).select("a", "b")

@@ -74,6 +74,40 @@ def test_one_of_each_with_repeated_and_null_ids(spark, corpus):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def family(spark, n, own):
+    """Open rows of one family: 100 shingles each, all but ``own`` of them the family's, each in its own component."""
+    sets = [(r, [*range(100 - own), *range(1000 * (r + 1), 1000 * (r + 1) + own)]) for r in range(n)]
+    sets = spark.createDataFrame(sets, "row long, shingles array<long>")
+    return sets, sets.selectExpr("row", "row as component", "1 as foreign", "100L as n_shingles", *[f"0L as {c}" for c in near_dedup.SKETCHES])
+
+
+@pytest.mark.parametrize("share", [4096, 3])
+def test_near_misses_ask_for_nothing_they_share(spark, monkeypatch, share):
+    monkeypatch.setattr(near_dedup, "SHARE", share)
+    at_limit = 14  # 86 shared of 114
+    met = near_dedup._meeting(*family(spark, 12, at_limit)).distinct()
+    assert {(r["x_row"], r["y_row"]) for r in met.collect()} == {(a, b) for a in range(12) for b in range(a + 1, 12)}
+    sets, open_ = family(spark, 12, at_limit + 1)  # 85 of 115: 0.739
+    asked = near_dedup._meeting(sets, open_)
+    assert asked.count() == 0
+
+
+def test_families_of_several_sizes(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    core = [word() for _ in range(120)]
+    texts = []
+    for _ in range(60):  # similarities from 0.6 to 0.9, lengths from three quarters to all
+        w = core[rng.randrange(12) : len(core) - rng.randrange(18)]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join([*w, *[word() for _ in range(rng.randint(0, 14))]]))
+    got = near_dedup.near_duplicates(documents(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_near(texts)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     value = rng.integers(0, 2**63, 300).astype(np.uint64)
