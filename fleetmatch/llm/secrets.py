@@ -74,18 +74,24 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return None if frozenset() in ways else sorted(ways, key=sorted)
 
 
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
 def found(text: Column, rule: Rule) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end>> in code points.
 
     Each step of ``\\G(.*?)(match)`` begins where the last match ended, so the lengths
-    of what is skipped and of what is matched add up to positions in one pass.
+    of what is skipped and of what is matched add up to positions.  An array that grows
+    is copied at each step, so n matches are taken in about sqrt(n) blocks: positions
+    within each block, then the blocks' own.
     """
     step = F.lit(rf"(?s)\G(.*?)({rule.pattern})")
     skipped, matched = F.regexp_extract_all(text, step, 1), F.regexp_extract_all(text, step, 2)
     valued = F.regexp_extract_all(text, step, 3) if rule.value else matched
     parts = F.arrays_zip(skipped.alias("s"), matched.alias("m"), valued.alias("v"))
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("spans"))
+
+    def state(kind: str) -> Column:
+        return F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("spans"))
 
     def move(state: Column, part: Column) -> Column:
         first = state["at"] + F.length(part["s"])
@@ -94,8 +100,17 @@ def found(text: Column, rule: Rule) -> Column:
         spans = F.when(F.length(part["v"]) >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.cast("long").alias("at"), spans.alias("spans"))
 
-    spans = F.aggregate(parts, start, move, lambda state: state["spans"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), spans).otherwise(nothing)
+    def append(state: Column, block: Column) -> Column:
+        moved = F.transform(block["spans"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["spans"], F.array(moved)).alias("spans"))
+
+    def spans(parts: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(parts))), F.lit(1)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), width), lambda k: F.aggregate(F.slice(parts, k, width), state(SPANS), move))
+        return F.flatten(F.aggregate(blocks, state(f"array<{SPANS}>"), append, lambda whole: whole["spans"]))
+
+    every = F.transform(F.array(parts), spans)[0]  # a lambda's variable: the expressions run once
+    return F.when(F.rlike(text, F.lit(rule.pattern)), every).otherwise(F.array().cast(SPANS))
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str) -> DataFrame:
