@@ -24,7 +24,8 @@ def prefix_keys(turns: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("nth", F.row_number().over(order))
-    rows = rows.select("conv_id", "nth", F.xxhash64("nth", "role", "text").alias("a"), F.xxhash64("text", F.lit(1), "role", "nth").alias("b"))
+    parts = [p for c in ("role", "text") for p in (F.col(c).isNull(), F.col(c))]  # a hash passes over nulls
+    rows = rows.select("conv_id", "nth", F.xxhash64("nth", *parts).alias("a"), F.xxhash64(*parts[::-1], F.lit(1), "nth").alias("b"))
     rolling = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("conv_id")
     return rows.select(

@@ -57,6 +57,12 @@ def test_given_secrets(spark):
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_text_of_very_many_secrets(spark):
+    text = " ".join(f"t{k}é token: {'x' * (6 + k % 5)} AKIA{'A' * (10 + k % 4)}" for k in range(5001))
+    (row,) = secrets.scanned(documents(spark, [text])).collect()
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in row["found"]] == brute_spans(text)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert secrets.trigram_query("[0-9a-f]{32,}") is None
@@ -232,6 +238,14 @@ def test_chats(spark):
     assert chat.rendered(turns.limit(0)).count() == 0
 
 
+def test_a_null_is_not_what_stands_beside_it(spark):
+    from pyspark.sql import functions as F
+
+    turns = spark.createDataFrame([(1, 1, None, "x"), (2, 1, "x", None), (3, 1, None, None), (4, 1, "", None), (5, 1, None, "")], "conv_id long, turn int, role string, text string")
+    both = chat.prefix_keys(turns).agg(F.count_distinct("h1").alias("a"), F.count_distinct("h2").alias("b")).first()
+    assert (both["a"], both["b"]) == (5, 5)
+
+
 def test_chats_with_ties_and_other_columns(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 0, "user", "b"), (2, 1, "bot", "c"), (2, 1, "bot", "c"), (3, 0, "user", "x" * 100_000), (None, 0, "user", "n"), (None, 0, "user", "n")]
     turns = spark.createDataFrame([(*r, "mine", "mine") for r in rows], "conv_id long, turn int, role string, text string, nth string, h1 string")
