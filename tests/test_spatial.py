@@ -160,3 +160,55 @@ def test_bounds_lose_no_candidate(spark, weight, k):
     assert some.count() < whole.count() or k == 200
     if k == 1:
         assert rows(C.nearest(orders, riders, cell, 3, weight)) == rows(C.best_rider(whole))
+
+
+def sent(spark, df):
+    """Rows shuffled by the stages that count ``df`` where no join is a broadcast, and the rows there are."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, *[getattr(store, f"stageList$default${i}")() for i in range(2, 6)])
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    rows = df().count()
+    new = stages()
+    return sum(s.shuffleWriteRecords() for s in map(new.apply, range(new.size())) if s.stageId() not in before), rows
+
+
+def crowd(spark, n_orders, n_riders, side=60):
+    rng = random.Random(5)
+    place = lambda: rng.randrange(side)
+    o = spark.createDataFrame([(i, place(), place()) for i in range(n_orders)], "order_id long, x int, y int")
+    return o, spark.createDataFrame([(i, place(), place(), i % 2) for i in range(n_riders)], "uid long, x int, y int, count long")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.usefixtures("no_broadcast")
+@pytest.mark.parametrize(("find", "cells"), [
+    (lambda o, r: C.nearest(o, r, 10, 3), 36),
+])
+def test_orders_are_not_copied_to_the_cells_they_see(spark, find, cells):
+    o, r = crowd(spark, 3000, 200)
+    shuffled, rows = sent(spark, lambda: find(o, r))
+    assert rows >= 3000 and shuffled < 3 * (3000 + cells * 200)
+
+
+@pytest.mark.parametrize(("weight", "k"), [(10_000, 1), (10_000, 10), (1, 3), (0, 1), (-2, 4), (3, 200)])
+def test_parts_of_crowds_are_ranked_as_one(spark, monkeypatch, weight, k):
+    monkeypatch.setattr(C, "ORDERS", 16)
+    o, r = crowd(spark, 300, 200, 30)
+    o, r, rows = C.with_cell(o, 10), C.with_cell(r, 10), lambda df: sorted(map(tuple, df.select("order_id", "rider_id", "score", "rank").collect()))
+    pairs = C.cell_pairs(o, r, -1, 1)
+    want = rows(C.top_k_candidates(C.within_bounds(o, r, pairs, 10, k, weight), k))
+    assert rows(C.best_within(o, r, pairs, 10, k, weight)) == want
+    monkeypatch.setattr(C, "POOL", 20)
+    assert rows(C.best_within(o, r, pairs, 10, k, weight)) == want
+
+
+def test_no_candidates_without_riders_or_places(spark):
+    o, r = crowd(spark, 20, 5)
+    assert C.nearest(o, r.limit(0), 10, 3).count() == C.nearest(o.limit(0), r, 10, 3).count() == 0
+    assert C.ranked_pool(o, r, S.Layout(area=60, cell=10, shards=4), 0).count() == 0
