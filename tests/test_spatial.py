@@ -188,7 +188,7 @@ def no_broadcast(spark):
 
 @pytest.mark.usefixtures("no_broadcast")
 @pytest.mark.parametrize(("find", "cells"), [
-    (lambda o, r: C.nearest(o, r, 10, 3), 36),
+    (lambda o, r: C.nearest(o, r, 10, 3), 36), (lambda o, r: C.nearest(o, r, 10, 3, inner=1), 36),
 ])
 def test_orders_are_not_copied_to_the_cells_they_see(spark, find, cells):
     o, r = crowd(spark, 3000, 200)
