@@ -189,7 +189,7 @@ def no_broadcast(spark):
 @pytest.mark.usefixtures("no_broadcast")
 @pytest.mark.parametrize(("find", "cells"), [
     (lambda o, r: C.nearest(o, r, 10, 3), 36), (lambda o, r: C.nearest(o, r, 10, 3, inner=1), 36),
-    (lambda o, r: C.ranked_pool(o, r, S.Layout(area=60, cell=10, shards=4)), 36),
+    (lambda o, r: C.ranked_pool(o, r, S.Layout(area=60, cell=10, shards=4)), 36), (lambda o, r: C.radius_join(o, r, 10, 1), 9),
 ])
 def test_orders_are_not_copied_to_the_cells_they_see(spark, find, cells):
     o, r = crowd(spark, 3000, 200)
