@@ -6,6 +6,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetmatch.functions import codec
 from fleetmatch.functions.spatial import Layout
@@ -383,3 +384,46 @@ def test_seen_ids_are_kept_by_the_bucket():
         assert (len(new), state.calls - before <= len(batch) // 4 + 4) == ({2000: 2000, 3: 1, 2010: 2000}[len(batch)], True)
         n = seen.ids
     assert n == sum(len(ids) for (ids,) in state.values()) == 4001 and max(len(ids) for (ids,) in state.values()) < 4 * _Seen.BUCKET
+
+
+def test_an_event_on_an_order_is_the_fold(spark):
+    kinds = [[(k,) for k in KINDS], [(a, b) for a in KINDS for b in KINDS], [(a, b, c) for a in KINDS for b in KINDS for c in KINDS]]
+    every = [(i + 1, seq) for i, seq in enumerate(x for k in kinds for x in k)]
+    log = events(spark, *[(i, k) for i, seq in every for k in seq]).cache()
+    want, _ = T.fold_order_state_tx(log)
+    fields = [f for f in want.schema.fields if f.name != "order_id"]
+    kept = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields) + ">"
+    nth = F.row_number().over(Window.partitionBy("order_id").orderBy("offset_value"))
+    steps, order = log.withColumn("nth", nth).cache(), None
+    for n in (1, 2, 3):
+        step = steps.filter(F.col("nth") == n)
+        step = step.withColumn("order", F.lit(None).cast(kept)) if order is None else step.join(order, "order_id")
+        done = T.apply_events_tx(step).select("order_id", "order").cache()
+        order = done if order is None else done.unionByName(order.join(done, "order_id", "left_anti"))
+    begun_well = {i for i, seq in every if seq[0] != "order_retry_request"}
+    got = {r["order_id"]: r["order"].asDict() for r in order.collect() if r["order_id"] in begun_well}
+    assert got == {r["order_id"]: {f.name: r[f.name] for f in fields} for r in want.collect()}
+
+
+def test_a_retry_round_works_on_its_orders_only(spark, monkeypatch):
+    from fleetmatch.operators import batches, greedy, ranks
+    from fleetmatch.sources import tables
+
+    rows, real, match = [0], tables.written, M.match_orders
+
+    def counted(df):
+        out = real(df)
+        rows[-1] += out.count()
+        return out
+
+    def matched(*args, **options):
+        rows.append(0)
+        return match(*args, **options)
+
+    for module in (M, greedy, ranks, batches, tables):
+        monkeypatch.setattr(module, "written", counted, raising=False)
+    monkeypatch.setattr(M, "match_orders", matched)
+    orders = spark.range(1, 61).select(F.col("id").alias("order_id"), (F.col("id") % 50).cast("int").alias("x"), F.lit(5).alias("y"), F.col("id").alias("seq"))
+    riders = spark.createDataFrame([(1, 5, 5, True, 0)], "uid long, x int, y int, online boolean, count long")
+    M.retry_missed(orders, riders, Layout(area=100, cell=10, shards=1), 3)
+    assert len(rows) == 5 and rows[3] <= rows[2]  # between the matchings of a round and the next nothing of the rounds before is written again
