@@ -15,7 +15,7 @@ from fleetmatch.plans.state import ONCE, RIDERS, folded
 from fleetmatch.sources.event_log import tail_event_log
 from fleetmatch.sources.fixtures import Inputs
 from fleetmatch.sources.runs import ddl
-from fleetmatch.sources.tables import scratch
+from fleetmatch.sources.tables import scratch, written
 from fleetmatch.streaming import streams as S
 
 
@@ -26,12 +26,17 @@ FILES = 4
 KNOWN = [schemas.MATCH_REQUESTS, schemas.ORDER_EVENTS]
 
 
-def arrivals(fx: Inputs, rows: DataFrame, parts: list[str], *key: str, checkpoints: DataFrame | None = None) -> DataFrame:
+def arrivals(fx: Inputs, rows: DataFrame, parts: list[str], *key: str, checkpoints: DataFrame | None = None, files: int = FILES) -> DataFrame:
     """``rows`` as a stream that gets the rows of one condition after the other; rows of a ``key`` lie in one file."""
     path = scratch(fx.spark, "arrivals")
     for condition in parts:
-        rows.filter(condition).repartition(FILES, *key).write.mode("append").parquet(path)
-    return tail_event_log(fx.spark, path, "parquet", rows.schema, checkpoints, maxFilesPerTrigger=str(FILES))
+        rows.filter(condition).repartition(files, *key).write.mode("append").parquet(path)
+    return tail_event_log(fx.spark, path, "parquet", rows.schema, checkpoints, maxFilesPerTrigger=str(files))
+
+
+def files_for(fx: Inputs, rows: int) -> int:
+    """Files of a step of ``rows`` rows or more: one a core, where each gets thousands, so that none stays empty."""
+    return max(FILES, min(fx.spark.sparkContext.defaultParallelism, rows // 10_000))
 
 
 def changes(fx: Inputs, stream: DataFrame, mode: str = "update") -> DataFrame:
@@ -88,7 +93,8 @@ def stream_positions(fx: Inputs) -> DataFrame:
 @query("t3_stream_rider_state", RIDERS + "online IS NOT NULL")
 def stream_rider_state(fx: Inputs) -> DataFrame:
     rows, parts = halves(fx, "rider_events", "seq")
-    return latest(changes(fx, S.stream_rider_state(arrivals(fx, rows, parts, "uid"))), "uid")
+    files = files_for(fx, rows.select("uid").distinct().count() // 2)
+    return latest(changes(fx, S.stream_rider_state(arrivals(fx, rows, parts, "uid", files=files))), "uid")
 
 
 @query("t2_stream_match")
@@ -194,7 +200,7 @@ def stream_dedupe(fx: Inputs) -> DataFrame:
 @query("t6_stream_counter_rates", f"WITH {INCREASE} SELECT metric, CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, CAST(sum(increase) AS DOUBLE) AS increase FROM i GROUP BY ALL")
 def stream_counter_rates(fx: Inputs) -> DataFrame:
     """A sample of another counter, weeks later, moves the watermark past all windows."""
-    rows = fx("counter_samples").select("metric", F.col("ts").cast("timestamp").alias("ts"), "value")
+    rows = written(fx("counter_samples").select("metric", F.col("ts").cast("timestamp").alias("ts"), "value"))  # events are read once, not for each step
     facts = rows.agg(F.expr("percentile_approx(ts, 0.5)").alias("cut"), F.max("ts").alias("last")).first()
     late = fx.spark.range(1).select(F.lit("clock").alias("metric"), (F.lit(facts["last"]) + F.expr("interval 30 days")).alias("ts"), F.lit(0.0).alias("value"))
     parts = [f"ts <= timestamp '{facts['cut']}'", f"ts > timestamp '{facts['cut']}' and metric <> 'clock'", "metric = 'clock'"]

@@ -427,3 +427,44 @@ def test_a_retry_round_works_on_its_orders_only(spark, monkeypatch):
     riders = spark.createDataFrame([(1, 5, 5, True, 0)], "uid long, x int, y int, online boolean, count long")
     M.retry_missed(orders, riders, Layout(area=100, cell=10, shards=1), 3)
     assert len(rows) == 5 and rows[3] <= rows[2]  # between the matchings of a round and the next nothing of the rounds before is written again
+
+
+def test_riders_of_a_bucket_cost_one_call(spark):
+    import pandas as pd
+
+    from fleetmatch.streaming.streams import _Riders
+
+    class State:
+        value, calls = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    task, rows = _Riders(), [(u, kind, u, u + n, 10 * u + n) for u in range(100) for n, kind in enumerate(("move", "offline", "online", "move", "offline") if u else ("move", "offline"))]
+    task.riders = State()
+    out = pd.concat(task.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["uid", "type", "x", "y", "seq"])]), None))
+    assert sorted(out.itertuples(index=False, name=None)) == [(u, u, u + 3, False, 10 * u + 4) for u in range(1, 100)]
+    assert task.riders.calls == 1
+
+
+def test_stores_of_a_stream_do_not_grow_with_shuffle_partitions(spark, tmp_path):
+    from fleetmatch.streaming import streams as S
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = spark.createDataFrame([(u, "online", 1, 2, u) for u in range(50)], "uid long, type string, x int, y int, seq long")
+        S.update_log(S.stream_rider_state(streamed(spark, rows, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len([p for p in (tmp_path / "checkpoint/state/0").iterdir() if p.name.isdigit()]) <= spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
