@@ -104,7 +104,8 @@ def stream_match(fx: Inputs) -> DataFrame:
     left = orders.select(F.lit(True).alias("is_order"), "seq", "order_id", "x", "y", load)
     right = online(fx).select(F.lit(False).alias("is_order"), F.lit(0).cast("long").alias("seq"), F.col("uid").alias("order_id"), "x", "y", load)
     cut = (orders.agg(F.max("seq")).first()[0] or 0) // 2
-    rows = arrivals(fx, right.unionByName(left), ["not is_order", f"is_order and seq <= {cut}", f"is_order and seq > {cut}"], "order_id")
+    files = files_for(fx, min(left.count() // 2, right.count()))
+    rows = arrivals(fx, right.unionByName(left), ["not is_order", f"is_order and seq <= {cut}", f"is_order and seq > {cut}"], "order_id", files=files)
     S.stream_match(rows, layout(fx), path, scratch(fx.spark, "stream")).awaitTermination()
     return fx.spark.read.schema(OUTCOME).parquet(path).select("order_id", "rider_id", "score", "home_shard")
 
