@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetmatch.functions import codec
-from fleetmatch.functions.spatial import Layout
+from fleetmatch.functions.spatial import Layout, with_cell
 from fleetmatch.operators import batches as B
 from fleetmatch.operators import checkpoints as K
 from fleetmatch.operators import matching as M
@@ -468,3 +468,45 @@ def test_stores_of_a_stream_do_not_grow_with_shuffle_partitions(spark, tmp_path)
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len([p for p in (tmp_path / "checkpoint/state/0").iterdir() if p.name.isdigit()]) <= spark.sparkContext.defaultParallelism
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_fields_of_an_event_are_those_of_its_text(spark):
+    big = 3 * 10**9
+    rows = [(1, 2, 3, 7, 5), (None, None, 4, None, None), (2**62, -5, 2**31 - 1, 2**62, -1), (4, big, 1, 8, 2), (5, 1, -big, 9, big)]
+    frame = spark.createDataFrame(rows, "order_id long, x long, y long, rider_id long, score long")
+    base = frame.withColumns({"event_id": F.lit("e"), "shard_id": F.lit(3), "occurred_at": F.lit(0).cast("long")})
+    score = codec.clamped("score")
+    result = F.when(F.col("rider_id").isNull(), "order_missed").otherwise("order_matched")
+    made = [
+        (codec.created_event(F.col("shard_id"), F.lit(0)), F.lit("order_created"), {"X": F.col("x"), "Y": F.col("y")}),
+        (codec.retry_event(2, "late", F.lit(0)), F.lit("order_retry_request"), {"Attempt": F.lit(2), "Reason": F.lit("late")}),
+        (codec.result_event(), result, {"RiderID": F.col("rider_id"), "Score": score, "Reason": F.lit("no_available_rider")}),
+    ]
+    for event, kind, values in made:
+        want = codec.decode_payloads(base.select(*event))[0].select("event_type", *codec.FIELDS).collect()
+        got = codec.with_fields(base.withColumn("event_type", kind), ["event_type"], OrderID=F.col("order_id"), **values)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want)) and len(want) in (3, 5)
+
+
+def test_events_on_an_order_do_not_multiply_each_other(spark):
+    rows = spark.range(1, 9).select(F.col("id").alias("order_id"), F.lit(None).cast(M.KEPT).alias("order"), F.concat(F.lit("order_"), F.col("id")).alias("event_type"))
+    cases = []
+    for n in range(3):
+        rows = M._after(rows, X=F.lit(n), Attempt=F.lit(n), RiderID=F.lit(n), Score=F.lit(n)).select("order_id", "order", F.concat(F.lit("order_"), F.col("order_id") + n).alias("event_type"))
+        cases.append(rows._jdf.queryExecution().optimizedPlan().toString().count("CASE"))
+    assert cases[2] - cases[1] <= 2 * (cases[1] - cases[0])
+
+
+@pytest.mark.parametrize(("options", "appended"), [({}, 1), ({"k": 1, "load_weight": 1}, 3)])
+def test_retries_ask_only_where_there_is_room(spark, monkeypatch, options, appended):
+    seed, calls, append = random.Random(4), [], M.append_to_ends
+    orders = spark.createDataFrame([(i, seed.randrange(100), seed.randrange(100), seed.randrange(999)) for i in range(1, 81)], "order_id long, x int, y int, seq long")
+    riders = spark.createDataFrame([(u, seed.randrange(50), seed.randrange(100), u % 5 > 0, u % 3) for u in range(1, 41 if options else 16)], "uid long, x int, y int, online boolean, count long")
+    monkeypatch.setattr(M, "append_to_ends", lambda *args: calls.append(1) or append(*args))
+    lay = Layout(area=100, cell=10, shards=4)
+    got = sorted(map(tuple, M.retry_missed(orders, riders, lay, 2, **options).collect()))
+    assert len(got) == 80 and len(calls) == appended
+    cells = with_cell(orders, 10).select("cell_x", "cell_y").distinct()
+    monkeypatch.setattr(M, "cells_with_room", lambda *args, **limits: cells)
+    assert got == sorted(map(tuple, M.retry_missed(orders, riders, lay, 2, **options).collect()))
+    assert len(calls) == appended + 3 and {r[2] for r in got if r[1] == "missed"} == {2}
