@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetmatch.functions import spatial as S
 from fleetmatch.operators import candidates as C
@@ -209,6 +210,26 @@ def test_parts_of_crowds_are_ranked_as_one(spark, monkeypatch, weight, k):
     assert rows(C.best_within(o, r, pairs, 10, k, weight)) == want
 
 
+@pytest.mark.parametrize(("orders_a_part", "pool", "tile"), [(4096, 65_536, 256), (16, 20, 7), (1, 1, 1), (300, 200, 1000)])
+def test_parts_of_crowds_are_paired_as_one(spark, monkeypatch, orders_a_part, pool, tile):
+    for name, n in (("ORDERS", orders_a_part), ("POOL", pool), ("TILE", tile)):
+        monkeypatch.setattr(C, name, n, raising=False)
+    o, r = crowd(spark, 60, 45, 30)
+    o, r = o.unionByName(o.limit(5)), r.unionByName(r.limit(5))  # rows that come twice count twice
+    ring = lambda a, b: max(abs(a["x"] // 10 - b["x"] // 10), abs(a["y"] // 10 - b["y"] // 10))
+    want = sorted((a["order_id"], b["uid"], b["count"], ring(a, b)) for a in o.collect() for b in r.collect() if ring(a, b) <= 1)
+    assert sorted(map(tuple, C.radius_join(o, r, 10, 1).select("order_id", "rider_id", "load", "ring").collect())) == want
+
+
+def test_pairs_of_a_crowd_are_few_bytes_and_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(C, "ORDERS", 500)
+    o, r = crowd(spark, 3000, 600, 3000)
+    pairs = C.with_score(C.radius_join(o, r, 3000, 1), 3000).select("order_id", "rider_id", "score")
+    assert max(x["count"] for x in pairs.groupBy(F.spark_partition_id()).count().collect()) < 0.7 * 3000 * 600
+    pairs.write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.35 * 3000 * 600
+
+
 def test_no_candidates_without_riders_or_places(spark):
     o, r = crowd(spark, 20, 5)
     assert C.nearest(o, r.limit(0), 10, 3).count() == C.nearest(o.limit(0), r, 10, 3).count() == 0
