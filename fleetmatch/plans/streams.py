@@ -57,12 +57,18 @@ def halves(fx: Inputs, name: str, column: str) -> tuple[DataFrame, list[str]]:
     return rows, [f"{column} <= {cut}", f"{column} > {cut}"]
 
 
+def order_log(fx: Inputs) -> DataFrame:
+    """The log of orders as a stream: each half, and then the events of it that come a second time."""
+    rows = written(fx("lifecycle_dup"))  # put in sequence once, not for each step
+    cut = (rows.agg(F.max("seq")).first()[0] or 0) // 2
+    again = [f"(seq {half} {cut}) and offset_value {sign} 1000000" for half in ("<=", ">") for sign in ("<", ">=")]
+    return arrivals(fx, rows, again, "order_id", files=files_for(fx, rows.count() // 16))
+
+
 @query("t1_stream_order_state", folded(ONCE, True))
 def stream_order_state(fx: Inputs) -> DataFrame:
-    rows, parts = halves(fx, "lifecycle_dup", "seq")
-    again = [f"({p}) and offset_value {sign} 1000000" for p in parts for sign in ("<", ">=")]
     columns = [f.split()[0] for f in S.ORDER_ROW.split(", ")]
-    return latest(changes(fx, S.stream_order_state(arrivals(fx, rows, again, "order_id"))).filter("changed").select(*columns), "order_id")
+    return latest(changes(fx, S.stream_order_state(order_log(fx))).filter("changed").select(*columns), "order_id")
 
 
 APPLIED = f"""WITH n AS (SELECT *, first(event_type) OVER (PARTITION BY order_id ORDER BY shard_id, offset_value) AS opening FROM ({ONCE})),
@@ -73,10 +79,8 @@ FROM c WHERE event_type IN ('order_created', 'order_retry_request')"""
 
 
 def applied(fx: Inputs, table: str, schema: str) -> DataFrame:
-    rows, parts = halves(fx, "lifecycle_dup", "seq")
-    again = [f"({p}) and offset_value {sign} 1000000" for p in parts for sign in ("<", ">=")]
     path = scratch(fx.spark, "applied")
-    S.apply_order_stream(arrivals(fx, rows, again, "order_id"), path, scratch(fx.spark, "stream")).awaitTermination()
+    S.apply_order_stream(order_log(fx), path, scratch(fx.spark, "stream")).awaitTermination()
     return fx.spark.read.schema(schema).parquet(f"{path}/{table}")
 
 

@@ -386,6 +386,103 @@ def test_seen_ids_are_kept_by_the_bucket():
     assert n == sum(len(ids) for (ids,) in state.values()) == 4001 and max(len(ids) for (ids,) in state.values()) < 4 * _Seen.BUCKET
 
 
+class FakeStates:
+    """What a stateful processor is given, for one key: values, maps and timers in memory, and the calls there were."""
+
+    def __init__(self):
+        self.calls, self.timers, self.watermark = 0, [], 0
+
+    def getValueState(self, name, schema):
+        return FakeState(self)
+
+    def getMapState(self, name, key, schema):
+        return FakeState(self)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class FakeState:
+    def __init__(self, states):
+        self.states, self.rows = states, {}
+
+    def _called(self):
+        self.states.calls += 1
+
+    def exists(self):
+        return self.get() is not None
+
+    def get(self):
+        self._called()
+        return self.rows.get(())
+
+    def update(self, row):
+        self._called()
+        self.rows[()] = row
+
+    def getValue(self, key):
+        self._called()
+        return self.rows.get(key)
+
+    def updateValue(self, key, row):
+        self._called()
+        self.rows[key] = row
+
+    def clear(self):
+        self._called()
+        self.rows.clear()
+
+
+def order_frame(n, each=3):
+    import pandas as pd
+
+    rows = [(i, f"e{i}-{k}", KINDS[(i + k) % len(KINDS)], i % 4, 10 * i + k, 100 + k, i, k, k, "why", 7, 8) for k in range(each) for i in range(n)]
+    names = ["order_id", "event_id", "event_type", "shard_id", "offset_value", "occurred_at", "x", "y", "attempt", "reason", "rider_id", "score"]
+    return pd.DataFrame(rows, columns=names)
+
+
+def test_orders_of_a_bucket_share_calls_to_the_state():
+    from fleetmatch.streaming.streams import _Orders
+
+    states, orders = FakeStates(), _Orders(None)
+    orders.init(states)
+    frame = order_frame(300)
+    (out,) = orders.handleInputRows((0,), iter([frame[:500], frame[500:]]), states)
+    assert sorted(out.order_id) == list(range(300)) and states.calls < 100
+    for r in out.to_dict("records"):
+        own = frame[frame.order_id == r["order_id"]].sort_values("offset_value").to_dict("records")
+        order = dict(zip(ORDER_FIELDS, BLANK, strict=True))
+        for e in own if own[0]["event_type"] != "order_retry_request" else []:
+            apply_event(order, e)
+        assert {f: r[f] for f in ORDER_FIELDS} == order and r["next_offset"] == own[-1]["offset_value"] + 1
+    (again,) = orders.handleInputRows((0,), iter([frame]), states)
+    assert len(again) == 300 and not again.changed.any() and list(again.version) == list(out.version)
+
+
+def test_orders_of_a_bucket_forget_each_for_itself():
+    from fleetmatch.streaming.streams import _Orders
+
+    states, orders = FakeStates(), _Orders(50)
+    orders.init(states)
+    frame = order_frame(40)
+    (out,) = orders.handleInputRows((0,), iter([frame]), states)
+    applied = set(out[out.changed].order_id)
+    late = frame[frame.order_id == 1].assign(event_id="later", occurred_at=500)
+    list(orders.handleInputRows((0,), iter([late]), states))
+    assert states.timers == [1000 * 152] and orders.sizes.get()[:2] == (40, 3 * len(applied) + 1)
+    states.watermark = 300_000
+    list(orders.handleExpiredTimer((0,), states, None))
+    assert orders.sizes.get() == (40, 4, True) and len(states.timers) == 2  # order 1 is kept
+    (again,) = orders.handleInputRows((0,), iter([frame]), states)
+    assert set(again[again.changed].order_id) == applied - {1}
+    states.watermark = 10_000_000
+    list(orders.handleExpiredTimer((0,), states, None))
+    assert orders.sizes.get() == (40, 0, False) and len(states.timers) == 2
+
+
 def test_an_event_on_an_order_is_the_fold(spark):
     kinds = [[(k,) for k in KINDS], [(a, b) for a in KINDS for b in KINDS], [(a, b, c) for a in KINDS for b in KINDS for c in KINDS]]
     every = [(i + 1, seq) for i, seq in enumerate(x for k in kinds for x in k)]
